@@ -1,0 +1 @@
+"""Nothing to stream: every job here is a batch job over whole tables."""
