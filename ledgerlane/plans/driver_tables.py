@@ -13,6 +13,7 @@ from ..operators.resolution import cumulative
 from ..session import checkpointed
 
 PERIODS = ("Q1", "HY", "Q3", "FY")
+YEAR_SHIFT = 20  # the tables cover 1995-2001, report periods are written 20YY
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +30,17 @@ def _period_rows(facts: DataFrame, key: str, day: str, measures: dict[str, Colum
     Quarters are summed as conditional aggregates, so the fact table is shuffled once, after
     partial aggregation, and the four period rows come out of a map-side explode.
     """
-    year, quarter = F.year(day), F.quarter(day)
+    year, quarter = F.year(day) + YEAR_SHIFT, F.quarter(day)
     sums = [
         F.sum(F.when(quarter == q, c)).alias(f"{m}_{q}") for m, c in measures.items() for q in (1, 2, 3, 4)
     ]
     wide = facts.groupBy(F.col(key).alias("key"), year.alias("y")).agg(*sums)
-    to_date = {m: cumulative([F.col(f"{m}_{q}").cast("double") for q in (1, 2, 3, 4)]) for m in measures}
+    # added up exactly, then turned into doubles
+    to_date = {m: cumulative([F.col(f"{m}_{q}") for q in (1, 2, 3, 4)]) for m in measures}
     rows = F.array(*[
         F.struct(
             F.concat(F.col("y").cast("string"), F.lit(p)).alias("report_period"),
-            *[to_date[m][i].alias(m) for m in measures],
+            *[to_date[m][i].cast("double").alias(m) for m in measures],
         )
         for i, p in enumerate(PERIODS)
     ])
@@ -49,7 +51,9 @@ def within_years(facts: DataFrame, day: str, years) -> DataFrame:
     """Keep whole years, as a range on the date itself so that it reaches the Parquet scan."""
     if years is None:
         return facts
-    start, stop = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (min(years), max(years) + 1))
+    start, stop = (
+        F.lit(f"{y - YEAR_SHIFT}-01-01").cast("timestamp_ntz") for y in (min(years), max(years) + 1)
+    )
     return facts.filter((F.col(day) >= start) & (F.col(day) < stop))
 
 
@@ -151,7 +155,7 @@ def customer_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "cash_flow_sheet": rows.select(
             *key,
             (c("done") - c("open")).alias("operating_cf_net_amount"),
-            (c("pending") * -5).alias("investing_cf_net_amount"),
+            (F.lit(0.0) - c("pending") * 5).alias("investing_cf_net_amount"),
             (c("low") * 3).alias("financing_cf_net_amount"),
             (c("done") - c("low")).alias("net_cash_flow"),
         ),
