@@ -170,6 +170,23 @@ def token_overlap(query_tokens: Column, text_tokens: Column) -> Column:
     return F.size(F.filter(query_tokens, lambda t: F.array_contains(text_tokens, t)))
 
 
+def token_levels(query_tokens: Column) -> Column:
+    """Level k holds the tokens that occur at least k times: counting repeats then needs only
+    hashed set intersections, one per level."""
+    counted = F.transform(
+        F.array_distinct(query_tokens),
+        lambda t: F.struct(t.alias("t"), F.size(F.filter(query_tokens, lambda x: x == t)).alias("n")),
+    )
+    most = F.coalesce(F.array_max(F.transform(counted, lambda c: c["n"])), F.lit(0))
+    level = lambda k: F.transform(F.filter(counted, lambda c: c["n"] >= k), lambda c: c["t"])
+    return F.when(most > 0, F.transform(F.sequence(F.lit(1), most), level)).otherwise(F.array().cast("array<array<string>>"))
+
+
+def level_overlap(levels: Column, text_tokens: Column) -> Column:
+    """``token_overlap`` from ``token_levels``."""
+    return F.aggregate(levels, F.lit(0), lambda acc, tokens_: acc + F.size(F.array_intersect(tokens_, text_tokens)))
+
+
 def score_text(query: Column, text: Column, query_tokens=None, text_tokens=None) -> Column:
     q = query_tokens if query_tokens is not None else tokens(query)
     t = text_tokens if text_tokens is not None else tokens(text)

@@ -17,6 +17,7 @@ from .. import fixed_values as fv
 from ..functions import numbers as N
 from ..functions.periods import allowed_periods
 from ..functions.text import compact_text, contains_any, quote, split_glued_numbers
+from ..session import checkpointed
 from .resolution import cumulative
 
 NUMBER = r"(不适用|-?[0-9,]+(?:\.[0-9]+)?%?)"
@@ -156,8 +157,8 @@ def read_periodic(df: DataFrame, tokens: str, name: str = "row") -> DataFrame:
 
 def quarter_values(tokens: Column) -> list[Column]:
     """First four plain numbers: no percentages, no years."""
-    plain = F.filter(merge_broken(tokens), lambda t: ~t.endswith("%") & ~t.rlike("^20[0-9]{2}$") & N.plain_number(t).isNotNull())
-    return [N.plain_number(F.get(plain, i)) for i in range(4)]
+    kept = F.filter(tokens, lambda t: ~t.endswith("%") & ~t.rlike("^20[0-9]{2}$") & N.plain_number(t).isNotNull())
+    return [N.plain_number(F.get(kept, i)) for i in range(4)]
 
 
 def period_pick(period: Column, row: Column, what: str) -> Column:
@@ -178,10 +179,11 @@ DOC = ["stock_code", "stock_abbr", "report_period", "report_date", "file_path",
 def _rule_rows(docs: DataFrame, section: str, rules) -> DataFrame:
     """One row per document and rule: ``rule`` number and ``tokens``."""
     items = [
-        F.struct(F.lit(i).alias("rule"), number_tokens(snippet_after(F.col(section), labels, window, fv.ROW_STOP_LABELS)).alias("tokens"))
+        F.struct(F.lit(i).alias("rule"), snippet_after(F.col(section), labels, window, fv.ROW_STOP_LABELS).alias("snippet"))
         for i, (labels, window) in enumerate(rules)
     ]
-    return docs.select(*DOC, F.explode(F.array(*items)).alias("x")).select(*DOC, "x.rule", "x.tokens")
+    rows = docs.select(*DOC, F.inline(F.array(*items))).filter(F.col("snippet") != "")
+    return rows.withColumn("tokens", number_tokens(F.col("snippet"))).drop("snippet")
 
 
 def _targets(rules) -> Column:
@@ -256,11 +258,12 @@ def quarter_series(docs: DataFrame, rules=fv.QUARTER_RULES, anchors=fv.QUARTER_A
     items = [
         F.struct(
             F.lit(table).alias("table_name"), F.lit(field).alias("field_name"), F.lit(excerpt).alias("source_excerpt"),
-            number_tokens(snippet_after(section, labels, 420, fv.ROW_STOP_LABELS), 12).alias("tokens"),
+            snippet_after(section, labels, 420, fv.ROW_STOP_LABELS).alias("snippet"),
         )
         for labels, table, field, excerpt in rules
     ]
-    rows = d.select(*DOC, F.explode(F.array(*items)).alias("x")).select(*DOC, "x.*")
+    rows = d.select(*DOC, F.inline(F.array(*items))).withColumn("tokens", number_tokens(F.col("snippet"), 12))
+    rows = rows.withColumn("tokens", merge_broken(F.col("tokens")))
     for i, q in enumerate(quarter_values(F.col("tokens"))):
         rows = rows.withColumn(f"_q{i}", q)
     year = F.substring("report_period", 1, 4)
@@ -286,10 +289,10 @@ def extract(docs: DataFrame) -> DataFrame:
     d = docs.filter(
         F.col("readable") & (F.coalesce("stock_code", F.lit("")) != "") & (F.coalesce("report_period", F.lit("")) != "")
     ).withColumn("doc_priority", document_priority(F.col("title"), F.col("text")))
-    main = annual_candidates(d).unionByName(periodic_candidates(d))
-    stored = resolve_fields(usable(main), mixed=False)
-    series = veto_series(quarter_series(d), stored).drop("year", "doc")
-    return usable(main.unionByName(profit_candidates(d)).unionByName(series))
+    # candidates are small next to the texts and read several times: parse each text once
+    main = checkpointed(usable(annual_candidates(d).unionByName(periodic_candidates(d))))
+    series = veto_series(checkpointed(quarter_series(d)), resolve_fields(main, mixed=False)).drop("year", "doc")
+    return main.unionByName(checkpointed(usable(profit_candidates(d).unionByName(series))))
 
 
 def within_allowed_periods(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -302,3 +305,8 @@ def within_allowed_periods(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def with_metric_values(sheet: DataFrame, metrics) -> DataFrame:
     return sheet.filter(F.coalesce(*[F.col(m) for m in metrics]).isNotNull())
+
+
+def raw_numbers(text: Column) -> Column:
+    """All number tokens of a text, as printed."""
+    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))

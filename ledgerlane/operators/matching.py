@@ -171,10 +171,11 @@ def longest_in_list(c: Column, entries) -> Column:
     """The entry (alias, *fields) whose alias is the longest contained in the text, for a
     fixed short list; first listed wins ties.  NULL when none occurs."""
     ranked = sorted(enumerate(entries), key=lambda e: (-len(e[1][0]), e[0]))
-    out = None
+    width = max((len(e) for e in entries), default=4) - 1
+    out = F.lit(None).cast("struct<" + ",".join(f"_{i + 1}:string" for i in range(width)) + ">")
     for _, (alias, *fields) in reversed(ranked):
         hit = F.struct(*[F.lit(f).alias(f"_{i + 1}") for i, f in enumerate(fields)])
-        out = F.when(c.contains(alias), hit) if out is None else F.when(c.contains(alias), hit).otherwise(out)
+        out = F.when(c.contains(alias), hit).otherwise(out)
     return out
 
 

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from . import statement_queries  # noqa: F401
+from . import statement_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

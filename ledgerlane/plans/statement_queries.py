@@ -366,15 +366,15 @@ def cell_issues(spark, d):
     return _issues(spark, d).select("table_name", "stock_code", "report_period", "column_name", "value", "reason")
 
 
-@query("sanitized_facts", ISSUES + " SELECT table_name, column_name AS metric_key, count(value) AS facts, CAST(SUM(CAST(value AS DECIMAL(30,4))) AS DOUBLE) AS total FROM every "
+@query("sanitized_facts", ISSUES + " SELECT table_name, column_name AS metric_key, count(value) AS facts, CAST(SUM(CAST(value AS DECIMAL(30,8))) AS DOUBLE) AS total FROM every "
        "WHERE reason IS NULL AND value IS NOT NULL AND column_name <> 'operating_revenue_yoy_growth' GROUP BY 1, 2 "
-       "UNION ALL SELECT 'cash_flow_sheet', 'net_cash_flow', count(*), CAST(SUM(CAST(net_cash_flow AS DECIMAL(30,4))) AS DOUBLE) FROM cust WHERE net_cash_flow IS NOT NULL "
+       "UNION ALL SELECT 'cash_flow_sheet', 'net_cash_flow', count(*), CAST(SUM(CAST(net_cash_flow AS DECIMAL(30,8))) AS DOUBLE) FROM cust WHERE net_cash_flow IS NOT NULL "
        "UNION ALL SELECT 'core_performance_indicators_sheet', 'gross_profit_margin_dummy', 0, 0 FROM cust WHERE false")
 def sanitized_facts(spark, d):
     clean = Q.sanitize(Q.judge_all(customer_sheets(spark, d)))
     facts = FA.metric_facts(clean)
     return facts.groupBy("table_name", "metric_key").agg(
-        F.count("metric_value").alias("facts"), F.sum(F.col("metric_value").cast("decimal(30,4)")).cast("double").alias("total")
+        F.count("metric_value").alias("facts"), F.sum(F.col("metric_value").cast("decimal(30,8)")).cast("double").alias("total")
     )
 
 

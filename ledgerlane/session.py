@@ -26,6 +26,7 @@ def build(app: str = "ledgerlane", cores: str | None = None, memory: str = "8g")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
