@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.matching import longest_in_list
-from .text import compact_text, contains_any, normalize_text, quote, text_or_empty
+from .text import compact_text, contains_any, let, normalize_text, quote, text_or_empty
 
 
 def payload_questions(raw: Column) -> Column:
@@ -58,16 +56,26 @@ def detect_top_k(question: Column) -> Column:
 
 
 def canonical_question(question: Column, lex: Lexicon = DEFAULT) -> Column:
-    """Normalised text with set phrases unified and known intents spelled out at the end."""
-    text = normalize_text(question)
-    compact = F.lower(compact_text(text))
-    out = text
-    for phrase, unless, instead in fv.SET_PHRASES:
-        out = F.when(out.contains(phrase) & ~out.contains(unless), F.replace(out, F.lit(phrase), F.lit(instead))).otherwise(out)
-    for pattern, addition in lex.rewrites:
-        add = ~out.contains(addition) & compact.rlike(pattern)
-        out = F.when(add, F.concat(out, F.lit(" " + addition))).otherwise(out)
-    return normalize_text(out)
+    """Normalised text with set phrases unified and known intents spelled out at the end.
+
+    No added phrase contains another, so each is decided on the text before any is added.
+    """
+    def unify(text, rules):
+        if not rules:
+            return text
+        phrase, unless, instead = rules[0]
+        swap = lambda t: F.when(
+            t.contains(phrase) & ~t.contains(unless), F.replace(t, F.lit(phrase), F.lit(instead))
+        ).otherwise(t)
+        return unify(let(text, swap), rules[1:])
+
+    def extend(text, compact):
+        added = [F.when(~text.contains(extra) & compact.rlike(pattern), F.lit(extra)) for pattern, extra in lex.rewrites]
+        return normalize_text(F.concat_ws(" ", text, *added))
+
+    return let(normalize_text(question), lambda text: let(
+        unify(text, fv.SET_PHRASES), lambda unified: let(F.lower(compact_text(text)), lambda c: extend(unified, c))
+    ))
 
 
 def trend_requested(compact: Column, lex: Lexicon = DEFAULT) -> Column:
@@ -82,25 +90,29 @@ def fragments(canonical: Column, lex: Lexicon = DEFAULT) -> Column:
     connectors = sorted(lex.connectors, key=lambda w: -len(w))
     cause = "|".join(quote(w) for w in lex.attribution) or "(?!)"
 
+    def by_connector(part, words):
+        """Pieces around the longest connector that leaves at least two."""
+        if not words:
+            return F.array(part)
+        rest = by_connector(part, words[1:])
+        return let(
+            F.when(part.contains(words[0]), kept(F.split(part, quote(words[0])))).otherwise(none),
+            lambda pieces: F.when(F.size(pieces) >= 2, pieces).otherwise(rest),
+        )
+
     def cut(part):
-        # only the matched span is kept, as the wording rule asks for a match anywhere
+        # drawing and explaining: only the matched span is kept
         drawn = kept(F.array(F.regexp_extract(part, draw, 1), F.regexp_extract(part, draw, 2)))
-        compact = compact_text(part)
         lead = normalize_text(F.regexp_extract(part, f"^(?!(?:{cause}))(.+?)(?:{cause})", 1))
-        explained = trend_requested(compact, lex) & contains_any(compact, lex.attribution) & (lead != "")
-        joined = none
-        for word in reversed(connectors):
-            pieces = kept(F.split(part, quote(word)))
-            joined = F.when(part.contains(word) & (F.size(pieces) >= 2), pieces).otherwise(joined)
-        return (
-            F.when(F.size(drawn) > 1, drawn)
-            .when(explained, F.array(lead, part))
-            .when(F.size(joined) > 0, joined)
-            .otherwise(F.array(part))
-        )
+        both = let(compact_text(part), lambda t: trend_requested(t, lex) & contains_any(t, lex.attribution))
+        plain = by_connector(part, connectors)
+        explained = let(lead, lambda x: F.when(both & (x != ""), F.array(x, part)).otherwise(plain))
+        return let(drawn, lambda x: F.when(F.size(x) > 1, x).otherwise(explained))
 
     parts = F.flatten(F.transform(kept(F.split(canonical, "[，？。]")), cut))
-    return F.when(canonical == "", none).when(F.size(parts) == 0, F.array(canonical)).otherwise(F.array_distinct(parts))
+    return let(parts, lambda p: (
+        F.when(canonical == "", none).when(F.size(p) == 0, F.array(canonical)).otherwise(F.array_distinct(p))
+    ))
 
 
 def listing_compare(compact: Column, lex: Lexicon = DEFAULT) -> Column:
@@ -115,24 +127,23 @@ def threshold_then_extreme(compact: Column, lex: Lexicon = DEFAULT) -> Column:
 
 def intents(canonical: Column, lex: Lexicon = DEFAULT) -> Column:
     """Intents in fixed order, for a canonical question."""
-    t = compact_text(canonical)
-    extreme = contains_any(t, lex.maximum + lex.minimum)
-    yoy = contains_any(t, lex.yoy)
-    compare, bounded = listing_compare(t, lex), threshold_then_extreme(t, lex)
-    ranking = (
-        detect_top_k(canonical).isNotNull() | contains_any(t, lex.ranking) | compare | bounded
-        | (contains_any(t, lex.listing) & (yoy | extreme))
-    )
-    found = {
-        "ranking": ranking,
-        "yoy": yoy | contains_any(t, lex.max_growth) | compare,
-        "maxmin": extreme | contains_any(t, lex.max_growth) | bounded,
-        "trend": trend_requested(t, lex),
-        "attribution": contains_any(t, lex.attribution),
-    }
-    some = reduce(lambda a, b: a | b, found.values())
-    found["single_value"] = ~some & detect_metric(canonical, lex).isNotNull()
-    return F.array_compact(F.array(*[F.when(found[i], F.lit(i)) for i in fv.INTENTS]))
+    def found(text, t):
+        extreme = contains_any(t, lex.maximum + lex.minimum)
+        yoy = contains_any(t, lex.yoy)
+        compare, bounded = listing_compare(t, lex), threshold_then_extreme(t, lex)
+        flags = {
+            "ranking": detect_top_k(text).isNotNull() | contains_any(t, lex.ranking) | compare | bounded
+            | (contains_any(t, lex.listing) & (yoy | extreme)),
+            "yoy": yoy | contains_any(t, lex.max_growth) | compare,
+            "maxmin": extreme | contains_any(t, lex.max_growth) | bounded,
+            "trend": trend_requested(t, lex),
+            "attribution": contains_any(t, lex.attribution),
+        }
+        some = F.array_compact(F.array(*[F.when(flags[i], F.lit(i)) for i in fv.INTENTS if i in flags]))
+        single = F.when(detect_metric(text, lex).isNotNull(), F.array(F.lit("single_value"))).otherwise(F.array().cast("array<string>"))
+        return let(some, lambda x: F.when(F.size(x) > 0, x).otherwise(single))
+
+    return let(canonical, lambda text: let(compact_text(text), lambda t: found(text, t)))
 
 
 def chart_type(c: Column) -> Column:

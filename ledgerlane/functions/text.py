@@ -24,6 +24,11 @@ def quote(word: str) -> str:
     return "".join("\\" + ch if ch in QUOTED else ch for ch in word)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

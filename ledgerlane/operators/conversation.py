@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import questions as Q
-from ..functions.text import compact_text, contains_any, normalize_text
+from ..functions.text import compact_text, contains_any, let, normalize_text
 from ..lexicon import DEFAULT, Lexicon
 from ..scale import running
 
@@ -86,9 +86,9 @@ def _continues(s: Column, t: Column) -> Column:
     )
 
 
-def _resolve(s: Column, t: Column) -> dict[str, Column]:
+def _resolve(s: Column, t: Column, on: Column) -> dict[str, Column]:
     """Slots after a turn; only tests which slots are filled and copies values."""
-    g, on = t["signals"], _continues(s, t)
+    g = t["signals"]
     from_set = F.when(g["hint"] & (s["sk"] == 1), s["sv"])
     company = F.coalesce(g["company"], from_set, F.when(on, s["c"]))
     year = F.coalesce(g["year"], F.when(on, s["py"]))
@@ -109,7 +109,7 @@ def _state(r: dict) -> Column:
 
 
 def _step(s: Column, t: Column) -> Column:
-    return _state(_resolve(s, t))
+    return let(_continues(s, t), lambda on: _state(_resolve(s, t, on)))
 
 
 def _literal_state(c=None, sk=0, sv=None, p=None, last=None) -> Column:
@@ -150,7 +150,8 @@ def _apply(s: Column, summary: Column) -> Column:
 
 
 def _summary(items: Column, step) -> Column:
-    return F.array(*[F.aggregate(items, _literal_state(**p), step) for p in PATTERNS])
+    starts = F.array(*[_literal_state(**p) for p in PATTERNS])
+    return F.transform(starts, lambda s: F.aggregate(items, s, step))
 
 
 def _starts(units: DataFrame, key: str, fan: int) -> DataFrame:
@@ -201,8 +202,8 @@ def carry_slots(turns: DataFrame, key: str = "conv_id", fan: int = FAN) -> DataF
     pair = f"struct<s:{STATE},out:array<{OUT}>>"
     empty = F.array().cast(f"array<{OUT}>")
 
-    def walk(acc, t):
-        r = _resolve(acc["s"], t)
+    def after(acc, t, on):
+        r = _resolve(acc["s"], t, on)
         row = F.struct(
             t["turn"].alias("turn"), r["on"].alias("follow_up"), r["c"].alias("stock_code"),
             t["metric_now"].alias("metric_key"), F.concat(r["py"], r["px"]).alias("report_period"),
@@ -210,6 +211,7 @@ def carry_slots(turns: DataFrame, key: str = "conv_id", fan: int = FAN) -> DataF
         ).cast(OUT)
         return F.struct(_state(r).alias("s"), F.concat(acc["out"], F.array(row)).alias("out")).cast(pair)
 
+    walk = lambda acc, t: let(_continues(acc["s"], t), lambda on: after(acc, t, on))
     walked = F.aggregate("ts", F.struct(F.col("start").alias("s"), empty.alias("out")).cast(pair), walk)
     return segments.select(key, F.inline(walked["out"]))
 

@@ -110,7 +110,7 @@ def company_names(companies: DataFrame) -> DataFrame:
     The code without its leading zeros is not an alias: '1' occurs in every year.
     """
     alias = F.explode(F.array("stock_abbr", "company_name", normalize_code(F.col("stock_code"))))
-    rows = companies.select("stock_code", F.trim(alias).alias("alias")).filter(F.col("alias") != "")
+    rows = companies.select("stock_code", alias.alias("alias")).withColumn("alias", F.trim("alias")).filter(F.col("alias") != "")
     return rows.groupBy("alias").agg(F.max("stock_code").alias("stock_code")).withColumn("tier", F.lit(1))
 
 
