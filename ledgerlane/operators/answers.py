@@ -14,6 +14,7 @@ from ..functions.questions import chart_cell, payload_questions
 from ..functions.text import normalize_text
 from ..lexicon import DEFAULT, Lexicon
 from ..scale import top_per
+from ..session import checkpointed
 from .conversation import carry_slots, turn_signals
 from .lookups import threshold
 from .matching import best_company
@@ -68,7 +69,8 @@ def plan_answers(asked: DataFrame, aliases: DataFrame, facts: DataFrame, lex: Le
         .when(metric & ~has_company & c("limit_asked").isNotNull(), "threshold")
         .otherwise("retrieval")
     )
-    return out.withColumn("route", route)
+    # every route reads the planned questions: write them once
+    return checkpointed(out.withColumn("route", route))
 
 
 def _answer(df: DataFrame, status, content, chart=None, references=None) -> DataFrame:

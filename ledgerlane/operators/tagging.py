@@ -10,6 +10,7 @@ from ..functions import questions as Q
 from ..functions.periods import question_period
 from ..functions.text import compact_text, contains_any, normalize_text
 from ..lexicon import DEFAULT, Lexicon
+from ..session import checkpointed
 
 
 def has(array: Column, *names: str) -> Column:
@@ -170,8 +171,10 @@ def question_labels(df: DataFrame, payload: str = "payload", declared: Column |
 def label_counts(tagged: DataFrame, labels: str = "labels") -> DataFrame:
     """Questions per label, in the fixed label order."""
     order = F.array(*[F.lit(x) for x in fv.QUESTION_LABELS])
+    # a written table keeps the filters of the explode from being evaluated through all tag columns
+    rows = checkpointed(tagged.select(labels))
     return (
-        tagged.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        rows.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.array_contains(order, F.col("label")))
         .orderBy(F.array_position(order, F.col("label")))
     )
