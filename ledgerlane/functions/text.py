@@ -54,10 +54,11 @@ def count_contained(c: Column, words) -> Column:
 
 def bad_text_ratio(c: Column) -> Column:
     """Share of visible characters outside printable ASCII, CJK and full-width forms; 1 when empty."""
-    visible = compact_text(c)
-    n = F.length(visible)
-    bad = F.length(F.regexp_replace(visible, GOOD_CHARS, ""))
-    return F.when(n == 0, F.lit(1.0)).otherwise(bad / n)
+    def share(visible):
+        bad = F.length(F.regexp_replace(visible, GOOD_CHARS, ""))
+        return F.when(visible == "", F.lit(1.0)).otherwise(bad / F.length(visible))
+
+    return let(compact_text(c), share)
 
 
 def has_encoding_issue(c: Column, limit: float = 0.12) -> Column:
@@ -70,10 +71,12 @@ def is_noisy(c: Column, limit: float = 0.25) -> Column:
 
 
 def cjk_ratio(c: Column) -> Column:
-    visible = compact_text(c)
-    n = F.length(visible)
-    other = F.length(F.regexp_replace(visible, rf"[{CJK}]", ""))
-    return F.when(n == 0, F.lit(0.0)).otherwise((n - other) / n)
+    def share(visible):
+        n = F.length(visible)
+        other = F.length(F.regexp_replace(visible, rf"[{CJK}]", ""))
+        return F.when(n == 0, F.lit(0.0)).otherwise((n - other) / n)
+
+    return let(compact_text(c), share)
 
 
 def clip_clean(c: Column, limit: int = 180) -> Column:
@@ -83,18 +86,22 @@ def clip_clean(c: Column, limit: int = 180) -> Column:
 
 def reference_snippet(c: Column, limit: int = 120) -> Column:
     """Clipped snippet, or NULL when too short, too damaged or only digits."""
-    cleaned = clip_clean(c, limit)
-    n = F.length(cleaned)
-    digits = n - F.length(F.regexp_replace(cleaned, r"(?U)\d", ""))
-    only_digits = (digits / F.greatest(n, F.lit(1)) > 0.55) & ~cleaned.rlike(f"[{CJK}]")
-    return F.when((n >= 12) & (bad_text_ratio(cleaned) <= 0.08) & ~only_digits, cleaned)
+    def keep(cleaned):
+        n = F.length(cleaned)
+        digits = n - F.length(F.regexp_replace(cleaned, r"(?U)\d", ""))
+        only_digits = (digits / F.greatest(n, F.lit(1)) > 0.55) & ~cleaned.rlike(f"[{CJK}]")
+        return F.when((n >= 12) & (bad_text_ratio(cleaned) <= 0.08) & ~only_digits, cleaned)
+
+    return let(clip_clean(c, limit), keep)
 
 
 def is_clean_sentence(c: Column) -> Column:
-    cleaned = clip_clean(c, 400)
-    slashes = F.length(cleaned) - F.length(F.replace(cleaned, F.lit("\\"), F.lit("")))
-    readable = (cjk_ratio(cleaned) >= 0.08) | cleaned.rlike(r"\p{L}")
-    return (F.length(cleaned) >= 8) & (slashes < 3) & (bad_text_ratio(cleaned) <= 0.10) & readable
+    def clean(s):
+        slashes = F.length(s) - F.length(F.replace(s, F.lit("\\"), F.lit("")))
+        readable = s.rlike(r"\p{L}") | (cjk_ratio(s) >= 0.08)
+        return (F.length(s) >= 8) & (slashes < 3) & readable & (bad_text_ratio(s) <= 0.10)
+
+    return let(clip_clean(c, 400), clean)
 
 
 def collapse_spaced(c: Column) -> Column:
