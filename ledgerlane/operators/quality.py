@@ -17,6 +17,7 @@ from ..functions import numbers as N
 from ..functions.periods import is_valid_period, normalize_period, previous_period
 from ..functions.text import has_encoding_issue
 from ..scale import group_ranks
+from ..session import checkpointed
 
 LABELS = {m[1]: m[2] for m in reversed(fv.METRICS)}
 
@@ -247,8 +248,10 @@ def judged(sheet: DataFrame, table: str, sheets: dict[str, DataFrame], limits: D
 
 
 def judge_all(sheets: dict[str, DataFrame], parity: bool = False) -> dict[str, DataFrame]:
-    limits = peer_limits(peer_profile(sheets, columns=tuple(fv.AMOUNT_LIMITS)))
-    return {t: judged(df, t, sheets, limits, parity) for t, df in sheets.items()}
+    """All tables judged.  Issues, repaired tables and reports read them, so each is written once;
+    otherwise every filter on a reason would evaluate the rules again."""
+    limits = checkpointed(peer_limits(peer_profile(sheets, columns=tuple(fv.AMOUNT_LIMITS))))
+    return {t: checkpointed(judged(df, t, sheets, limits, parity)) for t, df in sheets.items()}
 
 
 def cell_issues(judged_sheets: dict[str, DataFrame]) -> DataFrame:
