@@ -33,6 +33,23 @@ def stored(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, column: str = "text", limit: int = 4 << 20):
+    """Parts of Arrow batches with at most ``limit`` bytes of ``column`` (or one row)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator uses, under its own names; a null text is empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .packing import pack
 from .token_counts import count_tokens
+from .token_files import token_index, write_tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,3 +32,13 @@ def table(spark, sf_dir: str, name: str):
 def op1(spark, sf_dir):
     counted = count_tokens(table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
+
+
+@query("op5_packing")
+def op5(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents")).drop("ids", "curve_key")
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    return token_index(write_tokens(table(spark, sf_dir, "documents")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import transducer
-from .common import default_tokenizer, texts
+from .common import default_tokenizer, slices, texts
 
 CHUNK = 262_144  # characters
 
@@ -51,7 +51,7 @@ def count_tokens(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc
         import pyarrow as pa
 
         t = machine()
-        for batch in batches:
+        for batch in slices(batches, "chunk"):
             strings, whole = batch.column("chunk").to_pylist(), batch.column("whole").to_pylist()
             counts = iter(t.totals([s for s, w in zip(strings, whole) if w]))
             got = [(True, "", next(counts), "") if w else t.chunk_map(s) for s, w in zip(strings, whole)]
