@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_index, write_tokens
 
@@ -42,3 +43,8 @@ def op5(spark, sf_dir):
 @query("op10_token_files")
 def op10(spark, sf_dir):
     return token_index(write_tokens(table(spark, sf_dir, "documents")))
+
+
+@query("op2_near_duplicates")
+def op2(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
