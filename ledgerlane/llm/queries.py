@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .decontaminate import find_benchmark
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_index, write_tokens
+from .url_rules import judge_urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -48,3 +50,68 @@ def op10(spark, sf_dir):
 @query("op2_near_duplicates")
 def op2(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# fixed values: the rules of the query as (host, path, verdict)
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = f"""
+WITH parts AS (
+  SELECT page_id, strpos(url, '://') AS cut_at, url FROM pages
+), cut AS (
+  SELECT page_id, CASE WHEN cut_at > 0 THEN substr(url, cut_at + 3) ELSE '' END AS rest FROM parts
+), named AS (
+  SELECT page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(h, p, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}
+), hits AS (
+  SELECT page_id, host, path, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS rn
+  FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT n.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, rule, coalesce(v, 'allow') AS verdict
+FROM named n LEFT JOIN hits h ON n.page_id = h.page_id AND rn = 1
+"""
+
+
+@query("op6_url_rules", OP6_SQL)
+def op6(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP7_SQL = f"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), pattern AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS p
+  FROM item, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s(i) WHERE len(w) > 0
+), spot AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+  FROM doc, (SELECT DISTINCT n FROM pattern) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS s(i)
+), hit AS (
+  SELECT doc_id, i, spot.n, item_id FROM spot JOIN pattern ON spot.n = pattern.n AND spot.p = pattern.p
+), word AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM hit, unnest(generate_series(i, i + n - 1)) AS s(j) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op7_decontamination", OP7_SQL)
+def op7(spark, sf_dir):
+    found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
