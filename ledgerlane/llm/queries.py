@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .decontaminate import find_benchmark
+from .fingerprint import edited_fingerprints, likeness, serialized
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -115,3 +116,13 @@ def op7(spark, sf_dir):
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_fingerprints")
+def op9(spark, sf_dir):
+    made = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        serialized(F.col("sketch")).alias("fingerprint"), serialized(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
