@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import prepare
+from . import language, quality
+from .common import crc_bucket, prepare
 from .decontaminate import find_benchmark
 from .fingerprint import edited_fingerprints, likeness, serialized
 from .packing import pack
@@ -126,3 +127,17 @@ def op9(spark, sf_dir):
         serialized(F.col("sketch")).alias("fingerprint"), serialized(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+@query("op8_language")
+def op8(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(documents))
+    return language.identify(documents, model).select(
+        "doc_id", (crc_bucket("doc_id", language.BUCKETS) == language.HELD_OUT).alias("held_out"), "lang_pred", "score", "entropy")
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", (crc_bucket("doc_id", quality.BUCKETS) == quality.HELD_OUT).alias("held_out"), "score", "predicted")
