@@ -13,6 +13,7 @@ from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_index, write_tokens
 from .url_rules import judge_urls
+from .wrappers import extract_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -141,3 +142,8 @@ def op8(spark, sf_dir):
 def op4(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", (crc_bucket("doc_id", quality.BUCKETS) == quality.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+@query("op3_main_text")
+def op3(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
