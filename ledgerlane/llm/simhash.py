@@ -8,7 +8,7 @@ table v keeps: every pair within the radius meets in some table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, texts
@@ -104,11 +104,11 @@ def _runs(batches, limit: int):
         yield held, np.array([0, len(held["key"])]), hot
 
 
-def _forest(fps, close):
+def _forest(size: int, close):
     """Edges of a spanning forest of the graph of close members."""
     import numpy as np
 
-    unseen = np.arange(len(fps))
+    unseen = np.arange(size)
     edges = []
     while len(unseen):
         stack, unseen = [int(unseen[0])], unseen[1:]
@@ -122,58 +122,62 @@ def _forest(fps, close):
     return edges
 
 
-def link(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all pairs within the radius.
+def link(table: DataFrame, most: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) whose components are those of all close pairs that meet in a bucket.
 
-    Each bucket yields a spanning forest of its close pairs, at most one edge a member, never all pairs.
-    A bucket over ``bucket`` members is dealt out again by covering masks over the bits it leaves free, as
-    often as needed: each time about half of the free bits are fixed, so buckets end below the limit.
+    ``table`` has key (of the bucket), id, fp, fixed (the bits of fp that the key fixes) and the two halves lo, hi of
+    the signature compared; close are two members with at most ``most`` differing signature bits.  Each bucket yields a
+    spanning forest of its close pairs, at most one edge a member, never all pairs.  A bucket over ``bucket``
+    members is dealt out again by covering masks over the bits it leaves free, as often as needed: each time
+    about half of the free bits are fixed, so buckets end below the limit, or hold one fingerprint alone.
     """
-    masks = [signed(m) for m in covering_masks(radius)]
-    table = prints.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("fixed"))
     edges = None
     while True:
-        found = stored(_linked(table.select(F.xxhash64("fixed", F.col("fp").bitwiseAND(F.col("fixed"))).alias("key"), "fp", "fixed"), radius, bucket))
-        edges = found.filter("fixed is null").select("a", "b") if edges is None else edges.union(found.filter("fixed is null").select("a", "b"))
-        hot = found.filter("fixed is not null").select(F.col("a").alias("fp"), "fixed")
+        found = stored(_linked(table, most, bucket))
+        plain = found.filter("fixed is null").select("a", "b")
+        edges = plain if edges is None else edges.union(plain)
+        hot = found.filter("fixed is not null").select(F.col("a").alias("id"), "fp", "fixed", "lo", "hi")
         if hot.isEmpty():
             return edges
         table = _refined(hot, radius)
 
 
-def _linked(table: DataFrame, radius: int, bucket: int) -> DataFrame:
+FIELDS = ("id", "fp", "fixed", "lo", "hi")
+
+
+def _linked(table: DataFrame, most: int, bucket: int) -> DataFrame:
     def linked(batches):
         import numpy as np
         import pyarrow as pa
 
         for data, cuts, hot in _runs(batches, bucket):
-            fps, a, b = data["fp"].view(np.uint64), [], []
+            ids, lo, hi = data["id"], data["lo"].view(np.uint64), data["hi"].view(np.uint64)
+            far = lambda i, j: np.bitwise_count(lo[i] ^ lo[j]).astype(np.int64) + np.bitwise_count(hi[i] ^ hi[j])
             size = np.diff(cuts)
             whole = size <= bucket
             if hot is not None and len(cuts) > 1 and data["key"][cuts[0]] == hot:
                 whole[0] = False
             twos = cuts[:-1][whole & (size == 2)]
-            twos = twos[np.bitwise_count(fps[twos] ^ fps[twos + 1]) <= radius]
-            a.append(fps[twos])
-            b.append(fps[twos + 1])
+            twos = twos[far(twos, twos + 1) <= most]
+            a, b = [ids[twos]], [ids[twos + 1]]
             for at in np.flatnonzero(whole & (size > 2)):
-                members = np.unique(fps[cuts[at]:cuts[at + 1]])
-                got = _forest(members, lambda i, rest, m=members: np.bitwise_count(m[i] ^ m[rest]) <= radius)
-                if got:
-                    pairs = np.array(got)
-                    a.append(members[pairs[:, 0]])
-                    b.append(members[pairs[:, 1]])
-            a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            over = np.repeat(~whole, size)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([a, data["fp"][:len(over)][over]])),
-                pa.array(np.concatenate([b, data["fp"][:len(over)][over]])),
-                pa.array(np.concatenate([np.zeros(len(a), np.int64), data["fixed"][:len(over)][over]]),
-                         mask=np.concatenate([np.ones(len(a), bool), np.zeros(int(over.sum()), bool)])),
-            ], names=["a", "b", "fixed"])
+                start = cuts[at]
+                pairs = np.array(_forest(size[at], lambda i, rest, s=start: far(s + i, s + rest) <= most), np.int64).reshape(-1, 2)
+                a.append(ids[start + pairs[:, 0]])
+                b.append(ids[start + pairs[:, 1]])
+            over = np.zeros(len(ids), bool)
+            over[:cuts[-1]] = np.repeat(~whole, size)
+            a, b = np.concatenate(a), np.concatenate(b)
+            left = {n: data[n][over] for n in FIELDS}
+            none = np.arange(len(a) + len(left["id"])) < len(a)
+            blank = np.zeros(len(a), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([a, left["id"]])), pa.array(np.concatenate([b, left["id"]]))]
+                + [pa.array(np.concatenate([blank, left[n]]), mask=none) for n in FIELDS[1:]], names=["a", "b", *FIELDS[1:]])
 
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long, fixed long")
+    return table.select("key", *FIELDS).repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(
+        linked, "a long, b long, " + ", ".join(f"{n} long" for n in FIELDS[1:]))
 
 
 def _refined(hot: DataFrame, radius: int) -> DataFrame:
@@ -183,18 +187,29 @@ def _refined(hot: DataFrame, radius: int) -> DataFrame:
 
         known: dict = {}
         for batch in batches:
-            fps, fixed = batch.column("fp").to_numpy(), batch.column("fixed").to_numpy()
-            out = []
-            for f in np.unique(fixed).tolist():
+            data = {n: batch.column(n).to_numpy() for n in FIELDS}
+            out: list = []
+            for f in np.unique(data["fixed"]).tolist():
                 if f not in known:
                     free = tuple(b for b in range(64) if not f >> b & 1)
                     known[f] = np.array([signed((f | m) & (1 << 64) - 1) for m in covering_masks(radius, free)], np.int64)
-                mine = fps[fixed == f]
-                out.append((np.repeat(mine, len(known[f])), np.tile(known[f], len(mine))))
+                mine = data["fixed"] == f
+                rows = {n: np.repeat(data[n][mine], len(known[f])) for n in FIELDS}
+                rows["fixed"] = np.tile(known[f], int(mine.sum()))
+                out.append(rows)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["fp", "fixed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[n] for o in out])) for n in FIELDS], names=list(FIELDS))
+
+    # the masks are codes of the fixed bits: equal masks of one table differ in no key
+    return hot.mapInArrow(dealt, ", ".join(f"{n} long" for n in FIELDS)).distinct() \
+        .withColumn("key", F.xxhash64("fixed", F.col("fp").bitwiseAND(F.col("fixed"))))
 
-    return hot.mapInArrow(dealt, "fp long, fixed long").distinct()
+
+def buckets(fp: Column, radius: int, table: int = 0) -> Column:
+    """Column: the buckets of a fingerprint as structs (key, fp, fixed)."""
+    return F.array(*[
+        F.struct(F.xxhash64(F.lit(table), F.lit(m), fp.bitwiseAND(F.lit(m))).alias("key"), fp.alias("fp"), F.lit(m).alias("fixed"))
+        for m in map(signed, covering_masks(radius))])
 
 
 def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = RADIUS, bucket: int = BUCKET, id_col: str = "doc_id",
@@ -207,10 +222,81 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = RADIUS, bucke
     """
     docs = stored(fingerprints(df, shingle, id_col, text_col))
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    grouped = components(link(nodes.select("fp"), radius, bucket))
+    table = nodes.select(F.col("fp").alias("id"), F.col("fp").alias("lo"), F.lit(0).cast("long").alias("hi"), F.explode(buckets(F.col("fp"), radius)).alias("b")) \
+        .select("id", "lo", "hi", "b.*")
+    grouped = components(link(table, radius, radius, bucket))
     named = nodes.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     # written, so that the documents of a very frequent fingerprint meet it in a join that Spark can split
     owner = stored(named.select("fp", "component").join(least, "component").select("fp", "component_id"))
     return docs.join(owner, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+TABLES = 6  # fingerprints of distinct words that find candidates
+DIFFERENT = 26  # of 128 signature bits; pairs of similarity 0.8 differ in 19 on average
+
+
+def similar_groups(df: DataFrame, shingle: int = 5, tables: int = TABLES, different: int = DIFFERENT, radius: int = RADIUS, bucket: int = 8 * BUCKET,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark (hash of the text), copies, group of every distinct (id, text): near copies by word shingles share a group.
+
+    Candidates meet in a covering table of one of ``tables`` SimHash fingerprints of the distinct words, which near
+    copies barely change.  They are near copies if their 128-bit SimHash signatures of ``shingle``-word shingles differ in
+    at most ``different`` bits: an estimate of similarity, placed so that pairs of 0.8 and more pass.  Groups are the connected components.
+    Texts without words are one group.  Repeated rows count as copies; null ids are kept.
+    """
+    rows = texts(df, id_col, text_col)
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        digest, wide = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
+        low = (1 << 64) - 1
+        for batch in slices(batches):
+            by_word, edges, lo, hi, ends = [], [0], [], [], [0]
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                by_word.extend([digest(w, SEED) for w in set(words)])
+                edges.append(len(by_word))
+                made = [wide(s) for s in shingles(words, shingle)]
+                lo.extend([h & low for h in made])
+                hi.extend([h >> 64 for h in made])
+                ends.append(len(made) + ends[-1])
+            h = np.array(by_word, np.uint64)
+            fps = []
+            for t in range(tables):  # a fingerprint each from remixed hashes
+                m = (h ^ np.uint64(t * 0x9E3779B97F4A7C15 & low)) * np.uint64(0xBF58476D1CE4E5B9)
+                m ^= m >> np.uint64(32)
+                m *= np.uint64(0x94D049BB133111EB)
+                m ^= m >> np.uint64(29)
+                fps.append(majority(m, edges).view(np.int64))
+            columns = [*fps, majority(np.array(lo, np.uint64), ends).view(np.int64), majority(np.array(hi, np.uint64), ends).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *map(pa.array, columns)], names=["doc_id", "mark", *prints, "lo", "hi"])
+
+    prints = [f"fp{t}" for t in range(tables)]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    made = rows.withColumn("mark", F.xxhash64("text")).mapInArrow(
+        hashed, f"doc_id {kind}, mark long, " + ", ".join(f"{p} long" for p in (*prints, "lo", "hi")))
+    docs = stored(made.withColumn("id", F.xxhash64(*prints, "lo", "hi")))
+    nodes = docs.select("id", *prints, "lo", "hi").dropDuplicates(["id"])
+    table = nodes.select("id", "lo", "hi", F.explode(F.concat(*[buckets(F.col(p), radius, t) for t, p in enumerate(prints)])).alias("b")).select("id", "lo", "hi", "b.*")
+    grouped = stored(components(link(table, different, radius, bucket)))
+    counted = docs.groupBy("doc_id", "mark", "id").agg(F.count(F.lit(1)).alias("copies"))
+    return counted.join(grouped, counted["id"] == grouped["node"], "left").select(
+        "doc_id", "mark", "copies", F.coalesce("component", "id").alias("group"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` without near copies: of each group the row with the least id (then text hash) stays, once."""
+    groups = stored(similar_groups(df, id_col=id_col, text_col=text_col, **options))
+    first = stored(groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "copies")).alias("k"))
+                   .select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"), F.col("k.copies").alias("_copies")))
+    marked = df.withColumn("_text_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = marked.join(first, (marked["_text_mark"] == first["_mark"]) & marked[id_col].eqNullSafe(first["_id"]))
+    once = kept.filter("_copies = 1").select(df.columns)
+    if first.filter("_copies > 1").isEmpty():
+        return once
+    return once.union(kept.filter("_copies > 1").dropDuplicates(["_mark", "_id"]).select(df.columns))
