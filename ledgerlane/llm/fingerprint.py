@@ -68,10 +68,11 @@ def edited_fingerprints(df: DataFrame, words: int = WORDS, fraction: float = FRA
     n = max(numbered.count(), 1)
     before = numbered.select(F.pmod(F.col("place") + 1, F.lit(n)).alias("place"), F.col("id").alias("before_id"), F.col("mark").alias("before_mark"),
                              F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
-    links = stored(numbered.join(before, "place").select(*key, "copies", "before_id", "before_mark", "wanted"))
-    # each text moves once; its head and sketch move once more, to the document before it
+    links = stored(numbered.join(before, "place").select("doc_id", *key, "copies", "before_id", "before_mark", "wanted"))
+    # each text moves once, in one exchange that both sides of the last join read (the id itself comes from the
+    # narrow rows, so that both want the same columns); its head and sketch move once more, to the document before it
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moved = rows.repartition(parts, *key).dropDuplicates(key).join(links, key)
+    moved = rows.select(*key, "text").repartition(parts, *key).dropDuplicates(key).join(links, key)
     own = moved.select(*key, "doc_id", "text", "copies", F.char_length("text").alias("n_chars"), sketch(F.col("text"), words, fraction).alias("sketch"))
     heads = moved.select(F.col("before_id").alias("id"), F.col("before_mark").alias("mark"), F.substring("text", F.lit(1), F.col("wanted")).alias("head"),
                          sketch(F.col("text"), words, fraction).alias("next_sketch"))
