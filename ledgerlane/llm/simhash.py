@@ -15,6 +15,7 @@ from .common import slices, stored, texts
 from .graph import components
 
 RADIUS = 3
+NEARLY_ALL = 54  # fixed bits from which a bucket is compared whole: at most 1024 fingerprints differ in the others
 BUCKET = 1024  # members compared in one task; larger buckets are split by more masks, which loses no pair
 SEED = 42
 
@@ -77,6 +78,12 @@ def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def final(fixed):
+    import numpy as np
+
+    return np.bitwise_count(fixed.view(np.uint64)) >= NEARLY_ALL
+
+
 def _runs(batches, limit: int):
     """Members of each bucket as (key, fixed, columns), from rows sorted by key.
 
@@ -94,7 +101,8 @@ def _runs(batches, limit: int):
             continue
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         last = int(cuts[-1])
-        if len(key) - last > limit or (hot is not None and key[last] == hot):  # too large already: pass on what is here
+        hold = final(data["fixed"][last:last + 1])[0] or len(key) - last <= limit and not (hot is not None and key[last] == hot)
+        if not hold:  # too large already: pass on what is here
             yield {n: c for n, c in data.items()}, np.append(cuts, len(key)), hot
             hot, held = int(key[last]), None
         else:
@@ -129,7 +137,7 @@ def link(table: DataFrame, most: int, radius: int = RADIUS, bucket: int = BUCKET
     the signature compared; close are two members with at most ``most`` differing signature bits.  Each bucket yields a
     spanning forest of its close pairs, at most one edge a member, never all pairs.  A bucket over ``bucket``
     members is dealt out again by covering masks over the bits it leaves free, as often as needed: each time
-    about half of the free bits are fixed, so buckets end below the limit, or hold one fingerprint alone.
+    about half of the free bits are fixed, and a bucket that has nearly all fixed is compared whole.
     """
     edges = None
     while True:
@@ -154,7 +162,7 @@ def _linked(table: DataFrame, most: int, bucket: int) -> DataFrame:
             ids, lo, hi = data["id"], data["lo"].view(np.uint64), data["hi"].view(np.uint64)
             far = lambda i, j: np.bitwise_count(lo[i] ^ lo[j]).astype(np.int64) + np.bitwise_count(hi[i] ^ hi[j])
             size = np.diff(cuts)
-            whole = size <= bucket
+            whole = (size <= bucket) | final(data["fixed"][cuts[:-1]])
             if hot is not None and len(cuts) > 1 and data["key"][cuts[0]] == hot:
                 whole[0] = False
             twos = cuts[:-1][whole & (size == 2)]
