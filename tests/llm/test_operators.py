@@ -169,7 +169,7 @@ def test_main_text(ready):
             (11, "http://h9.org", "<div>" * 3000 + "deep")]
     df = ready.createDataFrame(rows + more, "page_id long, url string, html string").withColumn("host", F.lit("mine")).withColumn("text", F.lit(1))
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in wrappers.extract_text(df).collect()), key=str)
-    assert got == sorted([(i, t, len(t)) for i, t in [*want.items(), (8, ""), (9, ""), (10, "plain text"), (10, "plain text"), (None, "x <"), (11, "deep")]], key=str)
+    assert got == sorted([(i, t, len(t)) for i, t in [*want.items(), (8, ""), (9, ""), (10, "plain text"), (10, "plain text"), (None, "x\n<"), (11, "deep")]], key=str)
 
 
 def test_wrappers_find_optional_and_repeated_groups():
