@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -21,25 +21,36 @@ from .matching import best_company
 from .tagging import clarification, query_mode, tag_questions
 from .trend import trend_shape, window_rule
 
-ANSWER = ("question_id", "seq", "question", "route", "status", "content", "chart", "references")
+ANSWER = ("row_key", "question_id", "seq", "question", "route", "status", "content", "chart", "references")
+
+
+def keyed(questions: DataFrame) -> DataFrame:
+    """``questions`` with ``row_key``; a group of the window holds equal rows only."""
+    content = F.concat_ws("\u0001", F.coalesce("question_id", F.lit("\u0002")), F.coalesce("payload", F.lit("\u0002")))
+    same = Window.partitionBy("_hash").orderBy("_hash")
+    return questions.withColumn("_hash", F.md5(content)).withColumn(
+        "row_key", F.concat("_hash", F.lit("-"), F.row_number().over(same).cast("string"))).drop("_hash")
 
 
 def explode_payloads(questions: DataFrame) -> DataFrame:
-    """question_id, seq from 0, question."""
+    """row_key, question_id, seq from 0, question.
+
+    Question ids may repeat or be blank, so answers are keyed by the row: its content's hash and a number among equal rows.
+    """
     asked = F.filter(F.transform(payload_questions(F.col("payload")), normalize_text), lambda q: q != "")
-    return questions.select("question_id", F.posexplode(asked).alias("seq", "question"))
+    return keyed(questions).select("row_key", "question_id", F.posexplode(asked).alias("seq", "question"))
 
 
 def plan_answers(asked: DataFrame, aliases: DataFrame, facts: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """Tags, slots carried inside each payload, and the route each question takes."""
-    found = best_company(asked, ["question_id", "seq"], "question", aliases).select("question_id", "seq", "stock_code")
-    rows = asked.join(found, ["question_id", "seq"], "left")
+    found = best_company(asked, ["row_key", "seq"], "question", aliases).select("row_key", "seq", "stock_code")
+    rows = asked.join(found, ["row_key", "seq"], "left")
     signals = turn_signals(rows, lex=lex).withColumn("turn", F.col("seq").cast("bigint"))
-    slots = carry_slots(signals, "question_id").select(
-        "question_id", F.col("turn").cast("int").alias("seq"), F.col("stock_code").alias("company"),
+    slots = carry_slots(signals, "row_key").select(
+        "row_key", F.col("turn").cast("int").alias("seq"), F.col("stock_code").alias("company"),
         "metric_key", F.col("report_period").alias("asked_period"),
     )
-    tagged = tag_questions(asked, lex=lex).join(slots, ["question_id", "seq"])
+    tagged = tag_questions(asked, lex=lex).join(slots, ["row_key", "seq"])
     labels = F.create_map(*[x for _, m, label, _, _ in lex.metrics for x in (F.lit(m), F.lit(label))])
     tables = F.create_map(*[x for t, m, _, _, _ in lex.metrics for x in (F.lit(m), F.lit(t))])
     tagged = tagged.withColumn("metric", F.when(F.col("metric_key").isNotNull(), F.struct(
@@ -76,7 +87,7 @@ def plan_answers(asked: DataFrame, aliases: DataFrame, facts: DataFrame, lex: Le
 def _answer(df: DataFrame, status, content, chart=None, references=None) -> DataFrame:
     empty = F.array().cast("array<struct<paper_path:string,text:string>>")
     return df.select(
-        "question_id", "seq", "question", "route", status.alias("status"), content.alias("content"),
+        "row_key", "question_id", "seq", "question", "route", status.alias("status"), content.alias("content"),
         (chart if chart is not None else F.lit(None).cast("string")).alias("chart"),
         (references if references is not None else empty).alias("references"),
     )
@@ -91,11 +102,12 @@ def _plain(key, value):
 
 
 def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, latest_period: DataFrame,
-               stock_reports: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+               stock_reports: DataFrame | None = None, evidence: DataFrame | None = None, listed: int = 50) -> DataFrame:
     """Answers of all routes.  ``latest_period``: one row, the newest annual period.
 
     ``evidence`` (question_id, seq, status, summary, references) comes from the retrieval job for
-    attribution and retrieval questions.
+    attribution and retrieval questions; with a ``row_key`` it is matched by that.  A threshold answer counts all
+    companies and lists the first ``listed``.
     """
     c = F.col
     values = facts.select("stock_code", "stock_abbr", "report_period", "metric_key", "metric_value")
@@ -137,16 +149,17 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
     tops = top.groupBy("metric_key", "at", "top_k").agg(lines().alias("_l"))  # at most top_k lines
     rr = r.join(tops, ["metric_key", "at", "top_k"], "left")
     out.append(_answer(rr, F.when(c("_l").isNull(), "not_found").otherwise("answered"),
-                       F.concat_ws("", "at", F.lit("的"), "label", F.lit("排名结果如下："), "_l"), F.lit(fv.BAR_CHART)))
+                       F.concat_ws("", "at", F.lit("的"), "label", F.lit("排名结果如下："), "_l"), F.when(c("_l").isNotNull(), fv.BAR_CHART)))
 
     t = route("threshold")
     asked_t = t.select("metric_key", "at", "limit_asked").distinct().withColumn("_id", F.xxhash64("metric_key", "at", "limit_asked"))
     from .lookups import compare
     over = asked_t.join(values.withColumnRenamed("report_period", "at"), ["metric_key", "at"]).filter(
         compare(c("metric_value"), c("limit_asked.operator"), c("limit_asked.bound")))
-    over = top_per(over, ["metric_key", "at", "limit_asked"], largest, 50, rank="position")
-    tl = over.groupBy("metric_key", "at", "limit_asked").agg(lines().alias("_l"), F.count(F.lit(1)).alias("_n"))  # at most 50 lines
-    tt = t.join(tl, ["metric_key", "at", "limit_asked"], "left")
+    met = over.groupBy("metric_key", "at", "limit_asked").agg(F.count(F.lit(1)).alias("_n"))  # all that meet the bound
+    over = top_per(over, ["metric_key", "at", "limit_asked"], largest, listed, rank="position")
+    tl = over.groupBy("metric_key", "at", "limit_asked").agg(lines().alias("_l"))  # at most ``listed`` lines
+    tt = t.join(tl, ["metric_key", "at", "limit_asked"], "left").join(met, ["metric_key", "at", "limit_asked"], "left")
     out.append(_answer(tt, F.when(c("_l").isNull(), "none_met").otherwise("answered"),
                        F.concat_ws("", "at", F.lit("命中"), "label", F.lit("的公司共"), F.coalesce("_n", F.lit(0)).cast("string"), F.lit("家："), "_l")))
 
@@ -179,8 +192,9 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
 
     rest = rows.filter(c("route").isin("retrieval", "attribution"))
     if evidence is not None:
-        e = evidence.select("question_id", "seq", c("status").alias("_status"), "summary", c("references").alias("_refs"))
-        rest = rest.join(e, ["question_id", "seq"], "left")
+        by = ["row_key" if "row_key" in evidence.columns else "question_id", "seq"]
+        e = evidence.select(*by, c("status").alias("_status"), "summary", c("references").alias("_refs"))
+        rest = rest.join(e, by, "left")
         out.append(_answer(rest, F.coalesce("_status", F.lit("no_match")), c("summary"), None,
                            F.coalesce("_refs", F.array().cast("array<struct<paper_path:string,text:string>>"))))
     else:
@@ -198,17 +212,17 @@ def top_per_bound(df: DataFrame, keys, order, bound: str) -> DataFrame:
 
 
 def assemble(answers: DataFrame) -> DataFrame:
-    """One row per question id: numbered content, first chart, references without repeats.
+    """One row per question row: numbered content, first chart, references without repeats.
 
     A group holds the questions of one payload cell.
     """
     item = F.struct("seq", "question", "content", "chart", "references")
-    g = answers.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("parts"))
+    g = answers.groupBy("row_key", "question_id").agg(F.array_sort(F.collect_list(item)).alias("parts"))
     n = F.size("parts")
     numbered = F.transform("parts", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(p["content"], F.lit(""))))
     refs = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["references"])))
     return g.select(
-        "question_id", n.alias("n_parts"),
+        "row_key", "question_id", n.alias("n_parts"),
         F.when(n == 1, F.coalesce(F.get("parts", 0)["content"], F.lit(""))).otherwise(F.array_join(numbered, "\n")).alias("content"),
         chart_cell(F.filter(F.transform("parts", lambda p: p["chart"]), lambda x: x.isNotNull())).alias("chart"),
         refs.alias("references"), "parts",
@@ -228,7 +242,7 @@ def export_rows(assembled: DataFrame, questions: DataFrame, variant: str = "task
         "编号": F.col("question_id"), "问题": F.col("payload"), "SQL查询语句": F.lit(""), "图形格式": F.col("chart"),
         "回答": F.to_json(F.transform("parts", record)),
     }
-    rows = questions.join(assembled, "question_id")
+    rows = keyed(questions).join(assembled.drop("question_id"), "row_key")
     return rows.select(*[cells[h].alias(h) for h in fv.EXPORT_HEADERS[variant]])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -94,8 +94,8 @@ def threshold(question: Column, column: Column, label: Column, forms=fv.THRESHOL
     return F.when(t.contains(negative), zero("<")).when(t.contains(positive), zero(">")).otherwise(out)
 
 
-def threshold_filter(sheet: DataFrame, column: str, period: str, operator: str, bound: float, limit: int | None = 50) -> DataFrame:
-    """Companies meeting a bound at a period, largest first."""
+def threshold_filter(sheet: DataFrame, column: str, period: str, operator: str, bound: float, limit: int | None = None) -> DataFrame:
+    """Companies meeting a bound at a period, largest first; all of them, or the first ``limit``."""
     value = metric_value(column, sheet.columns)
     out = (
         sheet.filter(F.col("report_period") == period)
@@ -106,12 +106,15 @@ def threshold_filter(sheet: DataFrame, column: str, period: str, operator: str,
     return out.limit(limit) if limit is not None else out
 
 
-def threshold_requests(requests: DataFrame, facts: DataFrame, limit: int = 50) -> DataFrame:
+def threshold_requests(requests: DataFrame, facts: DataFrame, limit: int | None = None) -> DataFrame:
     """The same for a table of requests (request_id, metric_key, report_period, operator, bound)."""
     hit = requests.join(facts, ["metric_key", "report_period"]).filter(
         compare(F.col("metric_value"), F.col("operator"), F.col("bound"))
     )
-    return top_per(hit, ["request_id"], [F.col("metric_value").desc_nulls_last(), "stock_code"], limit, rank="position")
+    order = [F.col("metric_value").desc_nulls_last(), "stock_code"]
+    if limit is not None:
+        return top_per(hit, ["request_id"], order, limit, rank="position")
+    return hit.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
 
 
 def in_company_set(sheet: DataFrame, members: DataFrame) -> DataFrame:

@@ -1,25 +1,15 @@
 """Finding which of many names occur inside texts, without pairing every text with every name.
 
-* Up to ``SMALL`` names (counted first): the list is broadcast and every text is scanned once
-  for all names together, map-side, with no shuffle of texts.
-* More names: each name is keyed by the n-gram of it that is rarest among the names, texts are
-  exploded into their distinct n-grams, the two meet in an ordinary equi-join, and the few
-  pairs left are checked with ``contains``.
+Each name is keyed by the n-gram of it that is rarest among the names, texts are exploded into their
+distinct n-grams, the two meet in an equi-join (names that many texts share are salted), and the few pairs
+left are checked with ``contains``.  One plan for any number of names, in column functions only.
 """
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the n-gram join then serves every size
-    ahocorasick = None
-
 from .. import fixed_values as fv
 from ..functions.codes import normalize_code
 from ..functions.text import normalize_text
@@ -46,64 +36,35 @@ def anchored(names: DataFrame, name: str, size: int = GRAM) -> DataFrame:
     return short.unionByName(rare)
 
 
-SMALL = 50_000
-_automata: dict = {}
-
-
-def _automaton(key: str, names):
-    """One automaton per worker process and name list."""
-    if key not in _automata:
-        built = ahocorasick.Automaton()
-        for w in names:
-            built.add_word(w, w)
-        built.make_automaton()
-        _automata.clear()
-        _automata[key] = built
-    return _automata[key]
-
-
-def _scan(shared, key: str):
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        names = _automaton(key, shared.value)
-        return texts.map(lambda t: sorted({w for _, w in names.iter(t)}) if t else [])
+SALTS = 8  # parts of the texts that share an n-gram
 
-    return found
 
-
-def contains_match(texts: DataFrame, id_cols, text: str, names: DataFrame, name: str, small: int = SMALL) -> DataFrame:
-    """(id_cols, name) for every name contained in the text of a row.  Ids must be unique."""
-    if ahocorasick is not None:
-        distinct = names.select(name).filter(F.length(name) > 0).distinct()
-        head = [r[0] for r in distinct.limit(small + 1).collect()]  # at most small + 1 names
-        if len(head) <= small:
-            if not head:
-                return texts.select(*id_cols, F.lit("").alias(name)).limit(0)
-            shared = texts.sparkSession.sparkContext.broadcast(head)
-            return texts.select(*id_cols, F.explode(_scan(shared, uuid.uuid4().hex)(F.col(text))).alias(name))
-    return gram_match(texts, id_cols, text, names, name)
-
-
-def gram_match(texts: DataFrame, id_cols, text: str, names: DataFrame, name: str, size: int = GRAM) -> DataFrame:
-    """The same for any number of names, as a join on n-grams."""
+def contains_match(texts: DataFrame, id_cols, text: str, names: DataFrame, name: str, size: int = GRAM) -> DataFrame:
+    """(id_cols, name) for every name contained in the text of a row.  Ids must be unique and not null."""
     keys = anchored(names, name, size)
     # at most ``size`` anchor lengths exist, so this collects at most that many integers
     sizes = sorted(r[0] for r in keys.select(F.length("_anchor")).distinct().collect())
     if not sizes:
         return texts.select(*id_cols, F.lit("").alias(name)).limit(0)
     every = F.concat(*[grams(F.col(text), n) for n in sizes])
+    salt = F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).cast("int")
+    salted = keys.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     pairs = (
-        texts.select(*id_cols, F.explode(every).alias("_anchor"))
-        .join(keys, "_anchor")
+        texts.select(*id_cols, salt.alias("_salt"), F.explode(every).alias("_anchor"))
+        .join(salted, ["_anchor", "_salt"])
         .select(*id_cols, name, (F.length(name) > F.length("_anchor")).alias("_check"))
     )
     sure = pairs.filter(~F.col("_check")).drop("_check")
+    # only texts with a candidate are fetched again
     maybe = pairs.filter("_check").join(texts.select(*id_cols, text), list(id_cols)).filter(
         F.contains(F.col(text), F.col(name))
     )
     return sure.unionByName(maybe.select(*id_cols, name))
 
 
+gram_match = contains_match
+
+
 def company_names(companies: DataFrame) -> DataFrame:
     """alias, stock_code, tier 1: abbreviation, full name and six-digit code.
 
@@ -144,17 +105,19 @@ def alias_table(companies: DataFrame, **fragment_options) -> DataFrame:
 def best_company(texts: DataFrame, id_cols, text: str, aliases: DataFrame) -> DataFrame:
     """(id_cols, stock_code, alias): the longest alias contained, names before fragments.
 
-    Questions repeat, so each distinct text is matched once.  A six-digit code counts only
-    when no digit touches it.
+    Questions repeat, so each distinct text is matched once, under a hash: texts are no keys.  A six-digit
+    code counts only when no digit touches it.
     """
-    distinct = texts.select(text).distinct()
-    found = contains_match(distinct, [text], text, aliases, "alias").join(aliases, "alias")
-    stands_alone = ~F.col("alias").rlike("^[0-9]+$") | F.regexp_like(
-        F.col(text), F.concat(F.lit("(^|[^0-9])"), F.col("alias"), F.lit("($|[^0-9])"))
-    )
+    hashed = texts.withColumn("_key", F.md5(text))
+    distinct = hashed.select("_key", text).dropDuplicates(["_key"])
+    found = contains_match(distinct, ["_key"], text, aliases, "alias").join(aliases, "alias")
+    codes = F.col("alias").rlike("^[0-9]+$")
     claim = F.struct(-F.col("tier"), F.length("alias"), "alias", "stock_code")
-    best = found.filter(stands_alone).groupBy(text).agg(F.max(claim).alias("b"))
-    return texts.join(best, text).select(*id_cols, F.col("b.stock_code").alias("stock_code"), F.col("b.alias").alias("alias"))
+    named = found.filter(~codes).select("_key", claim.alias("b"))
+    numbered = found.filter(codes).join(distinct, "_key").filter(F.regexp_like(
+        F.col(text), F.concat(F.lit("(^|[^0-9])"), F.col("alias"), F.lit("($|[^0-9])")))).select("_key", claim.alias("b"))
+    best = named.unionByName(numbered).groupBy("_key").agg(F.max("b").alias("b"))
+    return hashed.select(*id_cols, "_key").join(best, "_key").select(*id_cols, F.col("b.stock_code").alias("stock_code"), F.col("b.alias").alias("alias"))
 
 
 def company_tags(texts: DataFrame, id_cols, text: str, companies: DataFrame) -> DataFrame:

@@ -290,7 +290,7 @@ def sanitize(judged_sheets: dict[str, DataFrame]) -> dict[str, DataFrame]:
 # --- whole-table checks ------------------------------------------------------------------
 
 
-def duplicate_keys(sheet: DataFrame, keys=("stock_code", "report_period"), limit: int | None = 100) -> DataFrame:
+def duplicate_keys(sheet: DataFrame, keys=("stock_code", "report_period"), limit: int | None = None) -> DataFrame:
     out = (
         sheet.groupBy(*keys).agg(F.count(F.lit(1)).alias("duplicate_count"))
         .filter(F.col("duplicate_count") > 1)

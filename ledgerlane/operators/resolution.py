@@ -102,7 +102,7 @@ def conflicts(candidates: DataFrame, bucket_rows: int = BUCKET_ROWS, mixed: bool
     )
 
 
-def cap_conflicts(found: DataFrame, per_row: int | None = 50, overall: int | None = 200) -> DataFrame:
+def cap_conflicts(found: DataFrame, per_row: int | None = None, overall: int | None = None) -> DataFrame:
     """Report-sized excerpt of a conflict log: so many per statement row, so many in all."""
     order = ["table_name", "stock_code", "report_period", "seq", "field_name"]
     if per_row is not None:

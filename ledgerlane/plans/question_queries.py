@@ -285,8 +285,8 @@ fmt AS (SELECT *, trim(format('{:,.2f}', v)) || '万元' AS shown FROM v),
 s AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_code, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 top AS (SELECT string_agg(n || '. ' || stock_abbr || '（' || stock_code || '）: ' || shown, '；' ORDER BY n) AS l FROM (
   SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2020FY') WHERE n <= 3),
-ovr AS (SELECT string_agg(n || '. ' || stock_abbr || '（' || stock_code || '）: ' || shown, '；' ORDER BY n) AS l, count(*) AS c FROM (
-  SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2019FY' AND v > 300) WHERE n <= 50),
+ovr AS (SELECT string_agg(n || '. ' || stock_abbr || '（' || stock_code || '）: ' || shown, '；' ORDER BY n) FILTER (n <= 50) AS l, count(*) AS c FROM (
+  SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2019FY' AND v > 300)),
 ans AS (
   SELECT 'a' || k AS question_id, 0 AS seq, 'scalar' AS route, s_name || '2020FY的净利润为：' || shown AS content FROM s JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
   UNION ALL SELECT 'b' || k, 0, 'ranking', '2020FY的净利润排名结果如下：' || l FROM s, top

@@ -141,7 +141,7 @@ def company_profile(spark, d):
 SELECT stock_code, stock_abbr, report_period, net_profit AS metric_value FROM stmt
 WHERE report_period = '2020FY' AND net_profit > 300 ORDER BY net_profit DESC, stock_code LIMIT 50""")
 def threshold_filter(spark, d):
-    return L.threshold_filter(supplier_statements(spark, d, (2020,), ("net_profit",)), "net_profit", "2020FY", ">", 300)
+    return L.threshold_filter(supplier_statements(spark, d, (2020,), ("net_profit",)), "net_profit", "2020FY", ">", 300, limit=50)
 
 
 @query("sign_filter", cus() + """
@@ -156,7 +156,7 @@ def sign_filter(spark, d):
         asked["operator"].alias("operator"), asked["bound"].alias("bound"),
     )
     facts = FA.table_facts(sheet, "cash_flow_sheet")
-    return L.threshold_requests(requests, facts).select("request_id", "stock_code", "metric_value", "position")
+    return L.threshold_requests(requests, facts, limit=50).select("request_id", "stock_code", "metric_value", "position")
 
 
 THRESHOLD_TEXTS = (("不低于", ">=", ""), ("不超过", "<=", ""), ("超过", ">", "万"), ("低于", "<", "亿"), ("大于", ">", "元"), ("没有条件", None, ""))
@@ -260,7 +260,7 @@ def growth_recompute(spark, d):
 SELECT o_custkey, o_orderpriority, count(*) AS duplicate_count FROM orders GROUP BY 1, 2 HAVING count(*) > 1
 ORDER BY 3 DESC, 1, 2 LIMIT 100""")
 def duplicate_keys(spark, d):
-    return Q.duplicate_keys(read(spark, d, "orders"), ("o_custkey", "o_orderpriority"))
+    return Q.duplicate_keys(read(spark, d, "orders"), ("o_custkey", "o_orderpriority"), limit=100)
 
 
 def cells_sql(columns=None) -> str:

@@ -90,3 +90,12 @@ def test_answers_and_export(spark):
     assert '"Q":"那2023年呢"' in cells["B1001"]["回答"]
     assert answers.export_rows(answers.assemble(out), q, "task3").columns == ["编号", "问题", "SQL查询语句", "回答"]
     assert answers.export_variant(q) == "task2"
+
+
+def test_repeated_question_ids_keep_their_own_answers(spark):
+    from ledgerlane.operators import answers
+
+    rows = [("B1", '[{"Q": "甲"}, {"Q": "乙"}]'), ("B1", '[{"Q": "丙"}]'), ("B1", '[{"Q": "丙"}]'), (None, '[{"Q": "丁"}]')]
+    asked = answers.explode_payloads(spark.createDataFrame(rows, "question_id string, payload string"))
+    got = asked.groupBy("row_key", "question_id").agg(F.array_sort(F.collect_list("question")).alias("q")).collect()
+    assert sorted((r.question_id or "", r.q) for r in got) == [("", ["丁"]), ("B1", ["丙"]), ("B1", ["丙"]), ("B1", ["乙", "甲"])]

@@ -35,3 +35,25 @@ def test_group_ranks_with_repeated_values(spark):
         assert values.index(r.v) + 1 == r.first_rank
         assert len(values) - values[::-1].index(r.v) == r.last_rank
         assert len(values) == r.group_rows
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    from ledgerlane import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
