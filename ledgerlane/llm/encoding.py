@@ -95,3 +95,9 @@ def shared_encoder(holder: dict) -> Encoder:
     if "encoder" not in holder:
         holder["encoder"] = Encoder(holder["path"])
     return holder["encoder"]
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import default_tokenizer, running_start, slices, stored, texts
-from .encoding import shared_encoder
+from .encoding import shared_encoder, vocabulary_size
 
 LENGTH = 2048
 DIMENSIONS, BITS = 4, 8  # of the curve
@@ -64,8 +64,11 @@ def pack(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, length: i
     as often as they come; an empty table gives no piece; other columns are ignored.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast({"path": tokenizer or default_tokenizer()})
+    path = tokenizer or default_tokenizer()
+    shared = spark.sparkContext.broadcast({"path": path})
     rows = texts(df, id_col, text_col)
+    # ids move between steps in two bytes where the vocabulary allows it
+    held_as = "<u2" if max(vocabulary_size(path), end_id + 1) <= 1 << 16 else "<u4"
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encoded(batches):
@@ -85,7 +88,7 @@ def pack(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, length: i
                 spread.append((sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(size, 1))  # mean direction, in -1..1
             spread = np.stack(spread)
             cells = ((np.tanh(4 * spread) + 1) / 2 * ((1 << bits) - 1)).round().astype(np.int64)
-            ids = np.insert(ids, edges[1:], end_id).astype("<u4")
+            ids = np.insert(ids, edges[1:], end_id).astype(held_as)
             edges = edges + np.arange(len(edges))
             data = [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -99,11 +102,11 @@ def pack(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, length: i
     placed = running_start(tokens.select("row", "doc_id", "doc_tokens", "curve_key"),
                            ["curve_key", "doc_id", "doc_tokens", "row"], "doc_tokens", "position")
     return tokens.select("row", "data").join(placed, "row").mapInArrow(
-        lambda batches: _pieces(batches, length),
+        lambda batches: _pieces(batches, length, held_as),
         f"doc_id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, curve_key long, sequence_id long, offset long")
 
 
-def _pieces(batches, length: int):
+def _pieces(batches, length: int, held_as: str):
     """Cuts each document at the sequence edges that fall inside it."""
     import zlib
 
@@ -115,12 +118,12 @@ def _pieces(batches, length: int):
         out = {n: [] for n in names}
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "position", "doc_tokens", "curve_key", "data"))
         for doc, position, size, key, data in zip(*columns):
-            start = 0
+            start, ids = 0, np.frombuffer(data, held_as).astype("<u4")
             while start < size:
                 sequence, offset = divmod(position + start, length)
                 n = min(length - offset, size - start)
-                piece = data[4 * start:4 * (start + n)]
-                for name, value in zip(names, (doc, start, n, np.frombuffer(piece, "<i4"), zlib.crc32(piece), size, key, sequence, offset)):
+                piece = ids[start:start + n]
+                for name, value in zip(names, (doc, start, n, piece.view("<i4"), zlib.crc32(piece), size, key, sequence, offset)):
                     out[name].append(value)
                 start += n
         arrays = [batch.column("doc_id").type, pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5]
