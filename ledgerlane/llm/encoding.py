@@ -10,11 +10,44 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
+BLANKS = " \t\n\r"
+TOGETHER = 16  # new units encoded as one string: a call has its own cost
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
+class Numbered(dict):
+    """Numbers strings as they are first met; ``fresh`` lists those not yet learnt."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        n = self[unit] = len(self)
+        return n
+
+
+def byte_lengths(library):
+    """Bytes of text behind each token id of a byte-level tokenizer, whose ids cover a text byte by byte; None for others."""
+    import numpy as np
+    from tokenizers import pre_tokenizers
+
+    kind = library.pre_tokenizer
+    if not isinstance(kind, pre_tokenizers.ByteLevel) or kind.add_prefix_space or library.normalizer is not None:
+        return None
+    vocabulary = library.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token)  # one character stands for one byte
+    for i, token in library.get_added_tokens_decoder().items():
+        sizes[i] = len(token.content.encode())
+    return sizes
+
+
 class Encoder:
     KEPT = 6_000_000  # characters of units remembered; beyond it all are forgotten
 
@@ -23,30 +56,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.sizes = byte_lengths(self.library)
         self.forget()
 
     def forget(self):
         import numpy as np
 
-        self.known, self.held = {}, 0
+        self.known, self.held = Numbered(), 0
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def by_library(self, strings: list[str]):
         return [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def learn(self, units):
+    def each(self, units: list[str]):
+        """(ids of all units in a row, how many each has)."""
+        import numpy as np
+
+        got = self.by_library(units)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
+
+    def joined(self, units: list[str]):
+        """As ``each``, for units that begin with a blank and end visibly: encoded some at a time, since words end
+        between them, and told apart by the bytes that their ids cover."""
+        import numpy as np
+
+        if self.sizes is None or not units:
+            return self.each(units)
+        ids, _ = self.each(["".join(units[a:a + TOGETHER]) for a in range(0, len(units), TOGETHER)])
+        covered = np.cumsum(self.sizes[ids])
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        last = np.minimum(np.searchsorted(covered, ends), len(ids) - 1)
+        if covered[-1] != ends[-1] or (covered[last] != ends).any():
+            return self.each(units)
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self):
+        """Encodes the units met since the last call."""
         import numpy as np
 
-        new = list(set(units) - self.known.keys())
+        new = self.known.fresh
         if not new:
             return
-        got = self.by_library(new)
-        base, lengths = len(self.known), np.fromiter(map(len, got), np.int64, len(got))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        framed = np.fromiter((u[0] in BLANKS and u[-1] not in BLANKS for u in new), bool, len(new))
+        starts, lengths = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        for encode, which in ((self.joined, np.flatnonzero(framed)), (self.each, np.flatnonzero(~framed))):
+            ids, n = encode([new[i] for i in which.tolist()])
+            starts[which], lengths[which] = len(self.ids) + np.cumsum(n) - n, n
+            self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, starts])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.int32, int(lengths.sum()))])
-        self.known.update(zip(new, range(base, base + len(new))))
         self.held += sum(map(len, new))
+        new.clear()
 
     def encode(self, strings: list[str]):
         """(ids of all strings in a row, their edges)."""
@@ -59,9 +120,9 @@ class Encoder:
                 return
             if self.held > self.KEPT:
                 self.forget()
-            units = [u for us in pending for u in us]
-            self.learn(units)
-            index = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            n = sum(map(len, pending))
+            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pending)), np.int64, n)
+            self.learn()
             lengths = self.lengths[index]
             ends = np.cumsum(lengths)
             total = int(ends[-1]) if len(ends) else 0
