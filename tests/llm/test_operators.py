@@ -255,9 +255,20 @@ def test_token_files_round_trip(ready, library, delta, tmp_path):
 def test_encoder_equals_the_library(library):
     texts = [t or "" for t in odd_texts()]
     encoder = encoding.Encoder(common.default_tokenizer())
-    encoder.KEPT = 100  # forgets all the time
-    ids, edges = encoder.encode(texts)
-    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.sizes is not None  # new units are encoded together
+    for encoder.KEPT in (100, encoding.Encoder.KEPT):  # forgets all the time, or not
+        ids, edges = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_joined_units_are_told_apart(library):
+    encoder = encoding.Encoder(common.default_tokenizer())
+    units = [b + w for b in (" ", "\n", "  ", "\t\r\n ") for w in ("a", "don't", "é日本", "<|endoftext|>", "x<|endoftext|>y", "😀!", "12,5", "wordlike" * 5)]
+    for make in (encoder.joined, encoder.each):
+        ids, lengths = make(units)
+        assert [i.tolist() for i in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode(u, add_special_tokens=False).ids for u in units]
+    encoder.sizes = encoder.sizes + 1  # lengths that do not fit: each unit by itself
+    assert encoder.joined(units)[0].tolist() == ids.tolist()
 
 
 # 6
