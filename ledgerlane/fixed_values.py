@@ -477,3 +477,18 @@ EXPORT_HEADERS = {
     "task3": ("编号", "问题", "SQL查询语句", "回答"),
 }
 LINE_CHART, BAR_CHART, NO_CHART = "折线图", "柱状图", "无"
+
+# --- trend answers (fixed values); %s: company, periods, values
+TREND_PATTERNS = (
+    ("v_shape", "V型反转强波动走势"), ("inverted_v", "倒V型波动走势"), ("rising", "持续上升走势"),
+    ("falling", "持续下降走势"), ("mixed", "波动走势"),
+)
+TREND_HEAD = "%s%s的%s呈“%s”"
+TREND_NONE = "%s%s暂无可用趋势数据"
+TREND_SINGLE = "%s%s目前仅有%s一期数据（%s）"
+TREND_DECLINE = "%s至%s持续回落并在%s触底"
+TREND_LOW = "%s为阶段低点"
+TREND_LOW_VALUE = "%s为阶段低点（%s）"
+TREND_HIGH_VALUE = "%s为阶段高点（%s）"
+TREND_RECOVERY = (("steady", "此后持续修复至%s"), ("uneven", "此后震荡修复至%s"))
+TREND_RECENT = (("improving", "%s至%s季度改善显著"), ("falling_back", "%s至%s季度主要表现为回落"))

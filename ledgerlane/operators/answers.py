@@ -19,7 +19,7 @@ from .conversation import carry_slots, turn_signals
 from .lookups import threshold
 from .matching import best_company
 from .tagging import clarification, query_mode, tag_questions
-from .trend import trend_shape, window_rule
+from .trend import trend_shape, trend_text, window_rule
 
 ANSWER = ("row_key", "question_id", "seq", "question", "route", "status", "content", "chart", "references")
 
@@ -176,10 +176,11 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
         ~c("annual") | c("report_period").endswith("FY"))
     shown = top_per(shown, keys, [period_key(c("report_period")).desc(), c("value").desc()], 12, rank="back").filter(c("back") <= c("keep"))
     shapes = trend_shape(shown, keys)
-    tr2 = ruled.select("*", "rule.annual", "rule.keep").join(shapes, keys, "left")
-    out.append(_answer(tr2, F.lit("answered"),
-                       F.concat_ws("", "company_name_shown", "span", F.lit("的"), "label", F.lit("："), "pattern", F.lit("，"), "low_period", F.lit("低点，"), "high_period", F.lit("高点")), F.lit(fv.LINE_CHART)))
-    out.append(_answer(tr.join(counts, ["company", "metric_key"], "left_anti"), F.lit("not_found"), F.lit("")))
+    tr2 = ruled.drop("n_periods").select("*", "rule.annual", "rule.keep").join(shapes, keys, "left")
+    titled = F.concat_ws("", "company_name_shown", F.lit("（"), "company", F.lit("）"))
+    out.append(_answer(tr2, F.lit("answered"), trend_text(titled, c("label"), lambda x: _shown(x, c("metric_key"))), F.lit(fv.LINE_CHART)))
+    unseen = tr.join(counts, ["company", "metric_key"], "left_anti")
+    out.append(_answer(unseen, F.lit("not_found"), F.format_string(fv.TREND_NONE, titled, c("label"))))
 
     if stock_reports is not None:
         last = top_per(stock_reports, ["stockCode"], [c("publishDate").desc_nulls_last(), c("title").asc()], 5, rank="position")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions.periods import period_key
 from ..functions.text import compact_text
 from ..scale import top_per
@@ -95,6 +96,9 @@ def trend_shape(window: DataFrame, keys=("stock_code",)) -> DataFrame:
         *keys,
         n.alias("n_periods"),
         span.alias("span"),
+        F.element_at("labels", 1).alias("first_period"),
+        newest.alias("last_period"),
+        F.element_at(recent, 1).alias("recent_start"),
         pattern.alias("pattern"),
         F.element_at("labels", low).alias("low_period"),
         F.array_min("v").alias("low_value"),
@@ -106,6 +110,33 @@ def trend_shape(window: DataFrame, keys=("stock_code",)) -> DataFrame:
     )
 
 
+def trend_text(company: Column, label: Column, shown) -> Column:
+    """Wording of a row of ``trend_shape`` about a metric called ``label``; ``shown`` turns a value into text."""
+    c = F.col
+    say = F.format_string
+
+    def told(column, forms, *args):
+        out = F.lit(None).cast("string")
+        for code, form in forms:
+            out = F.when(c(column) == code, say(form, *args)).otherwise(out)
+        return out
+
+    patterns = F.create_map(*[F.lit(x) for pair in fv.TREND_PATTERNS for x in pair])
+    falls = c("decline").isNotNull()
+    parts = F.concat_ws(
+        "，",
+        say(fv.TREND_HEAD, company, c("span"), label, F.try_element_at(patterns, c("pattern"))),
+        F.when(~falls, say(fv.TREND_LOW_VALUE, c("low_period"), shown(c("low_value"))))
+        .when(c("decline") == "steady", say(fv.TREND_DECLINE, c("first_period"), c("low_period"), c("low_period")))
+        .otherwise(say(fv.TREND_LOW, c("low_period"))),
+        F.when(~falls, say(fv.TREND_HIGH_VALUE, c("high_period"), shown(c("high_value"))))
+        .otherwise(told("recovery", fv.TREND_RECOVERY, c("last_period"))),
+        told("recent_move", fv.TREND_RECENT, c("recent_start"), c("last_period")),
+    )
+    single = say(fv.TREND_SINGLE, company, label, c("low_period"), shown(c("low_value")))
+    return F.when(c("n_periods") == 1, single).otherwise(F.concat(parts, F.lit("。")))
+
+
 def in_period_order(rows: DataFrame, periods) -> DataFrame:
     """Rows of the listed periods, in the listed order."""
     wanted = F.array(*[F.lit(p) for p in periods])

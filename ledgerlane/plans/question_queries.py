@@ -20,7 +20,7 @@ from ..operators import tagging as TG
 from . import sql as S
 from .driver_tables import read, supplier_statements
 from .registry import query
-from .statement_queries import company_master, sup
+from .statement_queries import CLEAN, SHAPE, company_master, sup
 from .text_queries import any_of
 
 CONNECTOR = "nicht"
@@ -279,31 +279,42 @@ def _answers(spark, d):
     return questions, A.answer_all(planned, facts, master, L.latest_fy(facts))
 
 
-ANSWERS = sup("""
+def _cases(column: str, forms) -> str:
+    """SQL for a text per code, with the columns that the %s of a form stand for."""
+    return f"CASE {column} " + " ".join(f"WHEN '{code}' THEN format('{form.replace('%s', '{}')}', {args})" for code, form, args in forms) + " END"
+
+
+TREND = f"""CASE WHEN n_periods = 1 THEN '净利润目前仅有' || low_period || '一期数据（' || low_shown || '）' ELSE concat_ws('，',
+    span || '的净利润呈“' || {_cases("pattern", [("v_shape", "V型反转强波动走势", "''"), ("inverted_v", "倒V型波动走势", "''"), ("rising", "持续上升走势", "''"), ("falling", "持续下降走势", "''"), ("mixed", "波动走势", "''")])} || '”',
+    CASE WHEN decline IS NULL THEN low_period || '为阶段低点（' || low_shown || '）' WHEN decline = 'steady' THEN first_period || '至' || low_period || '持续回落并在' || low_period || '触底' ELSE low_period || '为阶段低点' END,
+    CASE WHEN decline IS NULL THEN high_period || '为阶段高点（' || high_shown || '）' ELSE {_cases("recovery", [("steady", "此后持续修复至%s", "last_period"), ("uneven", "此后震荡修复至%s", "last_period")])} END,
+    {_cases("recent_move", [("improving", "%s至%s季度改善显著", "recent_start, last_period"), ("falling_back", "%s至%s季度主要表现为回落", "recent_start, last_period")])}) || '。' END"""
+
+ANSWERS = sup(CLEAN.format("stmt", "CASE WHEN n_fy >= 3 THEN 3 ELSE 6 END", "n_fy < 3 OR p = 'FY'")) + SHAPE + """,
+told AS (SELECT stock_code, """ + TREND + """ AS told FROM (
+  SELECT *, trim(format('{:,.2f}', low_value)) || '万元' AS low_shown, trim(format('{:,.2f}', high_value)) || '万元' AS high_shown FROM shape)),
 v AS (SELECT stock_code, stock_abbr, report_period, net_profit AS v FROM stmt),
 fmt AS (SELECT *, trim(format('{:,.2f}', v)) || '万元' AS shown FROM v),
-s AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_code, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+sups AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_code, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 top AS (SELECT string_agg(n || '. ' || stock_abbr || '（' || stock_code || '）: ' || shown, '；' ORDER BY n) AS l FROM (
   SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2020FY') WHERE n <= 3),
 ovr AS (SELECT string_agg(n || '. ' || stock_abbr || '（' || stock_code || '）: ' || shown, '；' ORDER BY n) FILTER (n <= 50) AS l, count(*) AS c FROM (
   SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2019FY' AND v > 300)),
 ans AS (
-  SELECT 'a' || k AS question_id, 0 AS seq, 'scalar' AS route, s_name || '2020FY的净利润为：' || shown AS content FROM s JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
-  UNION ALL SELECT 'b' || k, 0, 'ranking', '2020FY的净利润排名结果如下：' || l FROM s, top
-  UNION ALL SELECT 'c' || k, 0, 'threshold', '2019FY命中净利润的公司共' || c || '家：' || coalesce(l, '') FROM s, ovr
-  UNION ALL SELECT 'd' || k, 0, 'trend', NULL FROM s
-  UNION ALL SELECT 'e' || k, 0, 'company_profile', s_name || '的所属证监会行业为：' || n_name FROM s
-  UNION ALL SELECT 'f' || k, 0, 'clarify', 'missing_company' FROM s
-  UNION ALL SELECT 'g' || k, 0, 'latest', s_name || report_period || '的净利润为：' || shown FROM s JOIN fmt USING (stock_code) QUALIFY report_period = max(report_period) OVER (PARTITION BY stock_code)
-  UNION ALL SELECT 'h' || k, 0, 'scalar', s_name || '2020FY的净利润为：' || shown FROM s JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
-  UNION ALL SELECT 'h' || k, 1, 'scalar', s_name || '2019FY的净利润为：' || shown FROM s JOIN fmt USING (stock_code) WHERE report_period = '2019FY')""")
+  SELECT 'a' || k AS question_id, 0 AS seq, 'scalar' AS route, s_name || '2020FY的净利润为：' || shown AS content FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
+  UNION ALL SELECT 'b' || k, 0, 'ranking', '2020FY的净利润排名结果如下：' || l FROM sups, top
+  UNION ALL SELECT 'c' || k, 0, 'threshold', '2019FY命中净利润的公司共' || c || '家：' || coalesce(l, '') FROM sups, ovr
+  UNION ALL SELECT 'd' || k, 0, 'trend', s_name || '（' || stock_code || '）' || coalesce(told, '净利润暂无可用趋势数据') FROM sups LEFT JOIN told USING (stock_code)
+  UNION ALL SELECT 'e' || k, 0, 'company_profile', s_name || '的所属证监会行业为：' || n_name FROM sups
+  UNION ALL SELECT 'f' || k, 0, 'clarify', 'missing_company' FROM sups
+  UNION ALL SELECT 'g' || k, 0, 'latest', s_name || report_period || '的净利润为：' || shown FROM sups JOIN fmt USING (stock_code) QUALIFY report_period = max(report_period) OVER (PARTITION BY stock_code)
+  UNION ALL SELECT 'h' || k, 0, 'scalar', s_name || '2020FY的净利润为：' || shown FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
+  UNION ALL SELECT 'h' || k, 1, 'scalar', s_name || '2019FY的净利润为：' || shown FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2019FY')"""
 
 
 @query("batch_answers", ANSWERS + "SELECT question_id, CAST(seq AS INTEGER) AS seq, route, content FROM ans")
 def batch_answers(spark, d):
-    _, out = _answers(spark, d)
-    content = F.when(F.col("route") != "trend", F.col("content"))
-    return out.select("question_id", "seq", "route", content.alias("content"))
+    return _answers(spark, d)[1].select("question_id", "seq", "route", "content")
 
 
 @query("export_rows", ANSWERS + """

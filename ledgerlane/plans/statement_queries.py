@@ -223,13 +223,16 @@ def trend_window(spark, d):
     return TR.trend_window(series, question="近三年的净利润变化").select("stock_code", "report_period", "value", "back")
 
 
-@query("trend_shape", sup(CLEAN.format("stmt", "CASE WHEN n_all >= 4 THEN 12 ELSE 8 END", "n_all >= 4 OR n_fy < 3 OR p = 'FY'")) + """,
+# the shape of the windows that CLEAN makes
+SHAPE = """,
 a AS (SELECT stock_code, list(value ORDER BY k) AS v, list(report_period ORDER BY k) AS p FROM w WHERE back <= keep GROUP BY stock_code),
 b AS (SELECT *, len(v) AS n, list_position(v, list_min(v)) AS lo, list_position(v, list_max(v)) AS hi FROM a),
 e AS (SELECT *, len(list_filter(range(1, n), lambda i: v[i] > v[i + 1])) = 0 AS up, len(list_filter(range(1, n), lambda i: v[i] < v[i + 1])) = 0 AS down,
   len(list_filter(range(1, lo), lambda i: v[i] < v[i + 1])) = 0 AS fell, len(list_filter(range(lo, n), lambda i: v[i] > v[i + 1])) = 0 AS rose,
-  len(list_filter(p, lambda x: x NOT LIKE '%FY')) > 0 AS mixed FROM b)
-SELECT stock_code, CAST(n AS INTEGER) AS n_periods,
+  len(list_filter(p, lambda x: x NOT LIKE '%FY')) > 0 AS mixed FROM b),
+shape AS (SELECT stock_code, CAST(n AS INTEGER) AS n_periods,
+  p[1][1:4] || '-' || p[n][1:4] || '年' || CASE WHEN p[n] LIKE '%FY' THEN '' ELSE '（截至' || p[n] || '）' END AS span,
+  p[1] AS first_period, p[n] AS last_period, p[greatest(n - 2, 1)] AS recent_start,
   CASE WHEN n = 1 THEN 'single' WHEN n >= 3 AND lo NOT IN (1, n) AND v[1] > v[lo] AND v[lo] < v[n] THEN 'v_shape'
        WHEN n >= 3 AND hi NOT IN (1, n) AND v[1] < v[hi] AND v[hi] > v[n] THEN 'inverted_v' WHEN up THEN 'rising' WHEN down THEN 'falling' ELSE 'mixed' END AS pattern,
   p[lo] AS low_period, v[lo] AS low_value, p[hi] AS high_period, v[hi] AS high_value,
@@ -237,10 +240,14 @@ SELECT stock_code, CAST(n AS INTEGER) AS n_periods,
   CASE WHEN mixed AND lo > 1 AND lo < n THEN CASE WHEN rose THEN 'steady' ELSE 'uneven' END END AS recovery,
   CASE WHEN n >= 3 AND p[n][1:4] = p[n - 2][1:4] AND p[n][1:4] = p[n - 1][1:4] THEN
     CASE WHEN v[n - 2] <= v[n - 1] AND v[n - 1] <= v[n] THEN 'improving' WHEN v[n - 2] >= v[n - 1] AND v[n - 1] >= v[n] THEN 'falling_back' END END AS recent_move
-FROM e""")
+  FROM e)
+"""
+
+
+@query("trend_shape", sup(CLEAN.format("stmt", "CASE WHEN n_all >= 4 THEN 12 ELSE 8 END", "n_all >= 4 OR n_fy < 3 OR p = 'FY'")) + SHAPE + "SELECT * FROM shape")
 def trend_shape(spark, d):
     series = TR.clean_series(supplier_statements(spark, d, metrics=("net_profit",)), "net_profit")
-    return TR.trend_shape(TR.trend_window(series, question="近几年的净利润趋势")).drop("span")
+    return TR.trend_shape(TR.trend_window(series, question="近几年的净利润趋势"))
 
 
 @query("growth_recompute", cus() + f"""

@@ -92,6 +92,26 @@ def test_answers_and_export(spark):
     assert answers.export_variant(q) == "task2"
 
 
+def test_trend_wording(spark):
+    from ledgerlane.operators import trend
+
+    series = {
+        "a": [("2022FY", 9.0), ("2023FY", 4.0), ("2024FY", 6.0)], "b": [("2024FY", 5.0)],
+        "c": [("2023FY", 9.0), ("2024Q1", 7.0), ("2024HY", 3.0), ("2024Q3", 8.0)],
+        "d": [("2023HY", 8.0), ("2023Q3", 6.0), ("2023FY", 7.0), ("2024Q1", 5.0), ("2024HY", 4.0), ("2024Q3", 3.0)],
+    }
+    rows = [(k, p, v, len(s) - i) for k, s in series.items() for i, (p, v) in enumerate(s)]
+    shapes = trend.trend_shape(spark.createDataFrame(rows, "stock_code string, report_period string, value double, back int"))
+    said = trend.trend_text(F.col("stock_code"), F.lit("利润"), lambda x: x.cast("string"))
+    got = {r.stock_code: r.said for r in shapes.select("stock_code", said.alias("said")).collect()}
+    assert got == {
+        "a": "a2022-2024年的利润呈“V型反转强波动走势”，2023FY为阶段低点（4.0），2022FY为阶段高点（9.0）。",
+        "b": "b利润目前仅有2024FY一期数据（5.0）",
+        "c": "c2023-2024年（截至2024Q3）的利润呈“V型反转强波动走势”，2023FY至2024HY持续回落并在2024HY触底，此后持续修复至2024Q3。",
+        "d": "d2023-2024年（截至2024Q3）的利润呈“波动走势”，2024Q3为阶段低点，2024Q1至2024Q3季度主要表现为回落。",
+    }
+
+
 def test_repeated_question_ids_keep_their_own_answers(spark):
     from ledgerlane.operators import answers
 
