@@ -213,10 +213,10 @@ def _refined(hot: DataFrame, radius: int) -> DataFrame:
         .withColumn("key", F.xxhash64("fixed", F.col("fp").bitwiseAND(F.col("fixed"))))
 
 
-def buckets(fp: Column, radius: int, table: int = 0) -> Column:
+def buckets(fp: Column, radius: int) -> Column:
     """Column: the buckets of a fingerprint as structs (key, fp, fixed)."""
     return F.array(*[
-        F.struct(F.xxhash64(F.lit(table), F.lit(m), fp.bitwiseAND(F.lit(m))).alias("key"), fp.alias("fp"), F.lit(m).alias("fixed"))
+        F.struct(F.xxhash64(F.lit(0), F.lit(m), fp.bitwiseAND(F.lit(m))).alias("key"), fp.alias("fp"), F.lit(m).alias("fixed"))
         for m in map(signed, covering_masks(radius))])
 
 
@@ -241,57 +241,194 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = RADIUS, bucke
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-TABLES = 6  # fingerprints of distinct words that find candidates
-DIFFERENT = 26  # of 128 signature bits; pairs of similarity 0.8 differ in 19 on average
+SIMILAR = 0.8  # least Jaccard similarity of the shingle sets of near copies
+BANDS, ROWS = 20, 4  # least hashes: a pair of similarity 0.8 agrees on a whole band but for 3 in 100,000
+LOOSE = 0.6  # share of agreeing least hashes below which a pair is not compared: 4 spreads under 0.8
 
 
-def similar_groups(df: DataFrame, shingle: int = 5, tables: int = TABLES, different: int = DIFFERENT, radius: int = RADIUS, bucket: int = 8 * BUCKET,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str, n: int):
+    """Sorted distinct hashes of the n-word shingles."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(s) for s in shingles(words_of(text), n)], np.uint64))
+
+
+def least_hashes(sets: list, count: int):
+    """MinHash of sets (none empty): a row each, a column per hash function."""
+    import numpy as np
+
+    factors = np.random.default_rng(SEED).integers(0, 1 << 64, count, np.uint64, endpoint=False) | np.uint64(1)
+    out = np.empty((len(sets), count), np.uint64)
+    if sets:
+        h = np.concatenate(sets)
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+        for t, f in enumerate(factors):
+            m = h * f
+            m ^= m >> np.uint64(32)
+            out[:, t] = np.minimum.reduceat(m * factors[t - 1], at)
+    return out
+
+
+def _agreeing(batch_sigs, size: int):
+    import numpy as np
+
+    return np.frombuffer(b"".join(batch_sigs), np.uint8).reshape(-1, size)
+
+
+def _groups(batches, names: tuple):
+    """(columns) of each run of equal ``names`` in sorted rows; memory holds one run and one batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        n = table.num_rows
+        if not n:
+            continue
+        new = np.zeros(n - 1, bool)
+        for c in names:
+            v = table.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1]).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a > 1:
+                yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
+def _first_pairs(members: DataFrame, size: int, loose: float, bucket: int) -> DataFrame:
+    """a, b: per node the best loose pair with a lesser node out of the spanning forests of its buckets, which are dealt in parts."""
+    def linked(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for group in _groups(batches, ("key", "part")):
+            ids, sig = group.column("id").to_numpy(), _agreeing(group.column("sig").to_pylist(), size)
+            pairs = np.array(_forest(len(ids), lambda i, rest: (sig[i] == sig[rest]).sum(1) >= loose * size), np.int64).reshape(-1, 2)
+            if len(pairs):
+                a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
+                same = (sig[pairs[:, 0]] == sig[pairs[:, 1]]).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(same.astype(np.int64))], names=["a", "b", "same"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / bucket)))
+    return dealt.select("key", "part", "id", "sig").repartition(n, "key", "part").sortWithinPartitions("key", "part", "id") \
+        .mapInArrow(linked, "a long, b long, same long").groupBy("b").agg(F.min(F.struct(-F.col("same"), "a")).alias("k")).select("k.a", "b")
+
+
+def _other_pairs(members: DataFrame, labels: DataFrame, size: int, loose: float, bucket: int) -> DataFrame:
+    """a, b: every loose pair that meets in a bucket and is not in one component yet.
+
+    Of a bucket, the members outside its most frequent component meet all members, in blocks of ``bucket`` by ``bucket``.
+    """
+    def paired(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for group in _groups(batches, ("key", "row", "column")):
+            ids, label, few = (group.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "few"))
+            sig = _agreeing(group.column("sig").to_pylist(), size)
+            every = np.flatnonzero(~few)
+            for i in np.flatnonzero(few):
+                rest = every[label[every] != label[i]]
+                rest = rest[(sig[i] == sig[rest]).sum(1) >= loose * size]
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[rest])), pa.array(np.maximum(ids[i], ids[rest]))], names=["a", "b"])
+
+    marked = stored(members.join(labels, members["id"] == labels["node"], "left").select("key", "id", "sig", F.coalesce("component", "id").alias("label")))
+    counts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = stored(counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("most.n < n")
+                   .select("key", F.col("most.label").alias("main"), F.ceil(F.col("n") / bucket).alias("columns"), F.ceil((F.col("n") - F.col("most.n")) / bucket).alias("rows")))
+    open_ = marked.join(split, "key")
+    spot = F.xxhash64("id", "key")
+    every = open_.withColumn("column", F.pmod(spot, "columns")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("few", F.lit(False))
+    few = open_.filter("label <> main").withColumn("row", F.pmod(spot, "rows")).withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).withColumn("few", F.lit(True))
+    fields = ("key", "row", "column", "id", "sig", "label", "few")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return every.select(*fields).union(few.select(*fields)).repartition(n, "key", "row", "column").sortWithinPartitions("key", "row", "column") \
+        .mapInArrow(paired, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``least``."""
+    def compared(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                small, large = min(len(x), len(y)), max(len(x), len(y))
+                if small >= least * large:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good[i] = both >= least * (small + large - both)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+
+    one, two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+    return stored(pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
+
+
+def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, bands: int = BANDS, per_band: int = ROWS, loose: float = LOOSE,
+                   bucket: int = 8 * BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark (hash of the text), copies, group of every distinct (id, text): near copies by word shingles share a group.
 
-    Candidates meet in a covering table of one of ``tables`` SimHash fingerprints of the distinct words, which near
-    copies barely change.  They are near copies if their 128-bit SimHash signatures of ``shingle``-word shingles differ in
-    at most ``different`` bits: an estimate of similarity, placed so that pairs of 0.8 and more pass.  Groups are the connected components.
-    Texts without words are one group.  Repeated rows count as copies; null ids are kept.
+    Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more, judged
+    on the sets; groups are the connected components.  Candidates agree on one of ``bands`` bands of ``per_band`` least
+    hashes each and on a share ``loose`` of all.  A first pass confirms one pair a node, a second one every pair that is not
+    in one component by then, so the groups do not depend on ``bucket``, the members one task compares; many texts a
+    little less than ``least`` alike cost a comparison per pair.  Texts without words are one group.  Repeated rows count as copies; null ids are kept.
     """
-    rows = texts(df, id_col, text_col)
+    rows = texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    size = bands * per_band
 
     def hashed(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        digest, wide = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
-        low = (1 << 64) - 1
-        for batch in slices(batches):
-            by_word, edges, lo, hi, ends = [], [0], [], [], [0]
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                by_word.extend([digest(w, SEED) for w in set(words)])
-                edges.append(len(by_word))
-                made = [wide(s) for s in shingles(words, shingle)]
-                lo.extend([h & low for h in made])
-                hi.extend([h >> 64 for h in made])
-                ends.append(len(made) + ends[-1])
-            h = np.array(by_word, np.uint64)
-            fps = []
-            for t in range(tables):  # a fingerprint each from remixed hashes
-                m = (h ^ np.uint64(t * 0x9E3779B97F4A7C15 & low)) * np.uint64(0xBF58476D1CE4E5B9)
-                m ^= m >> np.uint64(32)
-                m *= np.uint64(0x94D049BB133111EB)
-                m ^= m >> np.uint64(29)
-                fps.append(majority(m, edges).view(np.int64))
-            columns = [*fps, majority(np.array(lo, np.uint64), ends).view(np.int64), majority(np.array(hi, np.uint64), ends).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *map(pa.array, columns)], names=["doc_id", "mark", *prints, "lo", "hi"])
-
-    prints = [f"fp{t}" for t in range(tables)]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    made = rows.withColumn("mark", F.xxhash64("text")).mapInArrow(
-        hashed, f"doc_id {kind}, mark long, " + ", ".join(f"{p} long" for p in (*prints, "lo", "hi")))
-    docs = stored(made.withColumn("id", F.xxhash64(*prints, "lo", "hi")))
-    nodes = docs.select("id", *prints, "lo", "hi").dropDuplicates(["id"])
-    table = nodes.select("id", "lo", "hi", F.explode(F.concat(*[buckets(F.col(p), radius, t) for t, p in enumerate(prints)])).alias("b")).select("id", "lo", "hi", "b.*")
-    grouped = stored(components(link(table, different, radius, bucket)))
+        for batch in slices(batches, limit=1 << 20):
+            sets = [shingle_set(text, shingle) for text in batch.column("text").to_pylist()]
+            ids = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            mins = least_hashes([sets[i] for i in some], size)
+            keys = np.zeros((len(some), bands), np.uint64)
+            for r in range(per_band):
+                keys = (keys ^ mins[:, r::per_band]) * np.uint64(0x9E3779B97F4A7C15)
+                keys ^= keys >> np.uint64(29)
+            keys = ((keys + np.arange(bands, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+            sigs = (mins & np.uint64(255)).astype(np.uint8)
+            of, sig = [[]] * len(sets), [b""] * len(sets)
+            for at, i in enumerate(some):
+                of[i], sig[i] = keys[at], sigs[at].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(ids), pa.array(of, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                                             names=["doc_id", "mark", "id", "keys", "sig"])
+
+    def listed(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, limit=1 << 20):
+            sets = [shingle_set(text, shingle).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+
+    docs = stored(rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, id long, keys array<long>, sig binary"))
+    nodes = stored(docs.dropDuplicates(["id"]).select("id", "mark", "keys", "sig"))
+    table = nodes.select("id", F.explode("keys").alias("key"))
+    met = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(table.join(met, "key").join(nodes.select("id", "sig"), "id").select("key", "id", "sig", "n"))
+    first = stored(_first_pairs(members, size, loose, bucket))
+    wanted = members.select("id").distinct().join(nodes, "id").select("id", "mark")
+    sets = stored(rows.join(wanted, "mark").select("id", "text").mapInArrow(listed, "id long, hashes binary").dropDuplicates(["id"]))
+    sure = _confirmed(first, sets, least)
+    more = _confirmed(_other_pairs(members, components(sure), size, loose, bucket).join(first, ["a", "b"], "left_anti"), sets, least)
+    grouped = stored(components(sure.union(more)))
     counted = docs.groupBy("doc_id", "mark", "id").agg(F.count(F.lit(1)).alias("copies"))
     return counted.join(grouped, counted["id"] == grouped["node"], "left").select(
         "doc_id", "mark", "copies", F.coalesce("component", "id").alias("group"))

@@ -153,6 +153,39 @@ def test_one_of_each_keeps_unrelated_and_one_copy(ready):
     assert sorted(kept, key=str) == sorted([*range(20), None], key=str)
 
 
+def similar_texts() -> list:
+    """Short and long texts with appended, inserted, cut and changed copies, of similarities around the least one."""
+    rng = random.Random(11)
+    texts = []
+    for n in (20, 30, 60, 150, 400):
+        for _ in range(6):
+            base, other = ([f"u{rng.randrange(5000)}" for _ in range(n)] for _ in range(2))
+            part, at = n // 10, rng.randrange(n)
+            texts += [base, base + other[:part], base + other[:2 * part], base[:at] + other[:part] + base[at:], base[part:], base[:-2 * part], base[:at] + other[:1] + base[at + 1:],
+                      base[:at] + other[:3 * part] + base[at:]]
+    return [" ".join(t) for t in texts]
+
+
+def plain_groups(texts: list) -> dict:
+    sets = [{" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    return {i: m for i, m in enumerate(least)}
+
+
+@pytest.mark.parametrize("bucket", [8 * simhash.BUCKET, 3])  # 3: buckets are dealt out in parts and blocks
+def test_near_copies_equal_brute_force(ready, bucket):
+    texts = similar_texts()
+    got = by_id(simhash.similar_groups(documents(ready, texts), bucket=bucket), "group")
+    first: dict = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert {i: first[g] for i, g in got.items()} == plain_groups(texts)
+
+
 # 3
 
 
