@@ -186,6 +186,13 @@ def test_near_copies_equal_brute_force(ready, bucket):
     assert {i: first[g] for i, g in got.items()} == plain_groups(texts)
 
 
+@pytest.mark.parametrize("bucket", [8 * simhash.BUCKET, 3])
+def test_a_hot_template_is_one_group_whatever_the_bucket(ready, bucket):
+    words = [f"t{i}" for i in range(80)]
+    texts = [" ".join(words[:40] + [f"n{i}"] + words[40:]) for i in range(60)]
+    assert simhash.one_of_each(documents(ready, texts), bucket=bucket).count() == 1
+
+
 # 3
 
 
