@@ -193,6 +193,15 @@ def test_a_hot_template_is_one_group_whatever_the_bucket(ready, bucket):
     assert simhash.one_of_each(documents(ready, texts), bucket=bucket).count() == 1
 
 
+def test_unlike_texts_are_not_dropped(ready):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(40):  # similarities of 0.6 to 0.75
+        base = [f"u{rng.randrange(5000)}" for _ in range(100)]
+        texts += [" ".join(base), " ".join(base + [f"x{rng.randrange(5000)}" for _ in range(rng.randint(34, 60))])]
+    assert simhash.one_of_each(documents(ready, texts)).count() == 80
+
+
 # 3
 
 
