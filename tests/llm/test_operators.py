@@ -202,6 +202,13 @@ def test_unlike_texts_are_not_dropped(ready):
     assert simhash.one_of_each(documents(ready, texts)).count() == 80
 
 
+def test_texts_of_the_same_words_share_no_bucket(ready):
+    rng = random.Random(14)
+    words = [f"t{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(words, 60)) for _ in range(50)]
+    assert simhash.one_of_each(documents(ready, texts), bucket=4).count() == 50
+
+
 # 3
 
 
