@@ -397,6 +397,18 @@ def test_language_on_held_out_rows(ready):
     assert got[500] == got[501] == ("und", 0.0, None) and got[502][0] == "xx"
 
 
+def test_an_unlearnt_language_is_rejected_whatever_its_share(ready):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    syllables = {"xx": ["ka", "to", "mi", "su"], "yy": ["str", "eng", "olf", "ach"], None: ["qua", "vez", "dij", "pnu", "wyb"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(5, 60)), lang) for i in range(600) for lang in [("xx", "yy", None)[i % 3]]]
+    rows += [(1000 + i, text(lang, 1 + i % 3), lang) for i in range(60) for lang in [("xx", "yy")[i % 2]]]
+    kept = corpus_pipeline.identify_language(ready, ready.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i, _, lang in rows if lang]
+
+
 def test_language_without_training_rows(ready):
     model = language.fit(empty(ready))
     assert by_id(language.identify(documents(ready, ["abc"]), model), "lang_pred") == {0: ("und",)}
