@@ -414,6 +414,18 @@ def test_language_without_training_rows(ready):
     assert by_id(language.identify(documents(ready, ["abc"]), model), "lang_pred") == {0: ("und",)}
 
 
+def test_a_rare_language_stays_in_a_pruned_model(ready):
+    rng = random.Random(15)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)), "big") for i in range(40)] + [(100, "rstu vwxy zrst", "rare")] * 2
+    df = ready.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, max_grams=2000)
+    assert model["langs"] == ["big", "rare"] and len(model["orders"][-1][0]) <= 2100
+    got = by_id(language.identify(documents(ready, ["rstu zrst", "abcd fghi"]), model), "lang_pred")
+    assert got == {0: ("rare",), 1: ("big",)}
+    rest = [np.exp(language.log_probabilities(model, language.codes_of(["abc" + c]))[0, 0]) for c in "abcdefghij rstuvwxyz?"]
+    assert sum(rest) == pytest.approx(1, abs=0.01)
+
+
 def test_probabilities_of_a_context_sum_to_one():
     grams = [("xx", g, n) for g, n in (("abca", 3), ("abcb", 1), ("bcab", 2), ("cabc", 4), ("abcc", 1))]
     model = language.build_model(grams)
