@@ -210,13 +210,20 @@ def decide(wrapper: list) -> dict:
         return {"main": mains, "template": []}
     if not mass(wrapper, frozenset(template), ""):
         template = set()
+    left_out = frozenset(template)
     node, path = wrapper, ""
-    while True:  # down to the smallest element with nearly all slot text
-        whole = mass(node, frozenset(template), path)
-        heavy = [c for c in node[5] if whole and mass(c[0], frozenset(template), f"{path}/{c[0][0]}") >= 0.9 * whole]
-        if len(heavy) != 1 or heavy[0][2]:
+    while True:  # down while nothing but template texts and links lies beside one child
+        own = path not in template and node[2] > 0
+        full = [c for c in node[5] if texts_below(c[0], left_out, f"{path}/{c[0][0]}")]
+        if own or len(full) != 1 or full[0][2]:
             return {"main": [path], "template": sorted(template)}
-        node, path = heavy[0][0], f"{path}/{heavy[0][0][0]}"
+        node, path = full[0][0], f"{path}/{full[0][0][0]}"
+
+
+def texts_below(node: list, template: frozenset, path: str) -> bool:
+    """Whether a wrapper node holds text that is neither template nor links alone."""
+    own = path not in template and node[2] > node[3]
+    return own or any(texts_below(c[0], template, f"{path}/{c[0][0]}") for c in node[5])
 
 
 def blocks_of(node: Node, path: str, template: frozenset, out: list) -> None:

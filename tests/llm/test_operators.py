@@ -228,6 +228,14 @@ def test_main_text(ready):
     assert got == sorted([(i, t, len(t)) for i, t in [*want.items(), (8, ""), (9, ""), (10, "plain text"), (10, "plain text"), (None, "x\n<"), (11, "deep")]], key=str)
 
 
+def test_title_and_lead_outside_the_body_are_kept(ready):
+    page = "<body><nav>menu</nav><p>Same on all pages</p><div><h1>Title {i}</h1><p>Lead {i}</p><div class=body><p>{long}</p></div><p>End {i}</p></div></body>"
+    long = [" ".join(f"word{i}x{j}" for j in range(200)) for i in range(6)]
+    df = ready.createDataFrame([(i, f"http://h.org/{i}", page.format(i=i, long=t)) for i, t in enumerate(long)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_text(df).collect()}
+    assert got == {i: f"Title {i}\nLead {i}\n{t}\nEnd {i}" for i, t in enumerate(long)}
+
+
 def test_wrappers_find_optional_and_repeated_groups():
     a = wrappers.shape(wrappers.parse("<div><p>same</p><ul><li>1<li>2</ul></div>"))
     b = wrappers.shape(wrappers.parse("<div><p>same</p><h2>new</h2><ul><li>3</ul></div>"))
