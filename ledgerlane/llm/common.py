@@ -33,6 +33,15 @@ def stored(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("llm-"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batches, column: str = "text", limit: int = 4 << 20):
     """Parts of Arrow batches with at most ``limit`` bytes of ``column`` (or one row)."""
     import numpy as np

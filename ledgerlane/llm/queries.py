@@ -8,11 +8,14 @@ from . import language, quality
 from .common import crc_bucket, prepare
 from .decontaminate import find_benchmark
 from .fingerprint import edited_fingerprints, likeness, serialized
+from .mixing import mix
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_index, write_tokens
 from .url_rules import judge_urls
+from .vector_codes import PARTS, ROUNDS, SCALE, ENTRIES, code_table
 from .wrappers import extract_text
 
 QUERIES: dict = {}
@@ -147,3 +150,99 @@ def op4(spark, sf_dir):
 @query("op3_main_text")
 def op3(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_mixing")
+def op11(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def _codes_sql(rounds: int = ROUNDS) -> str:
+    """Reference SQL: components as rows, one assignment and one update a round."""
+    width = f"(SELECT max(len(v)) // {PARTS} FROM kept)"
+
+    def assigned(r: int) -> str:
+        return f"""
+), far{r} AS (
+  SELECT c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+  FROM comp c JOIN book{r} b ON c.part = b.part AND c.k = b.k GROUP BY ALL
+), code{r} AS (
+  SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM far{r} GROUP BY vec_id, part"""
+
+    sql = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comp AS (
+  SELECT vec_id, i // {width} AS part, i % {width} AS k, v[i + 1] AS x
+  FROM kept, unnest(generate_series(0, len(v) - 1)) AS s(i)
+), seed AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {ENTRIES}
+), book0 AS (
+  SELECT part, entry, k, x FROM comp JOIN seed USING (vec_id)"""
+    for r in range(rounds):
+        sql += assigned(r) + f"""
+), mean{r} AS (
+  SELECT c.part, e.entry, c.k, CAST(floor(CAST(sum(c.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+  FROM comp c JOIN code{r} e USING (vec_id, part) GROUP BY ALL
+), book{r + 1} AS (
+  SELECT b.part, b.entry, b.k, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN mean{r} m USING (part, entry, k)"""
+    return sql + assigned(rounds) + f"""
+), line AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM code{rounds} GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM line JOIN kept USING (vec_id), digest
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark, sf_dir):
+    return code_table(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body,
+         md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'m': mark, 'b': strlen(body)} ORDER BY turn NULLS FIRST, mark) AS t FROM turns GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, CAST(0 AS BIGINT) AS i, CAST(4294967295 AS BIGINT) AS v FROM own
+  UNION ALL
+  SELECT conv_id, s, i + 1,
+         CASE WHEN w % 2 = 1 THEN xor(w // 2, CAST(3988292384 AS BIGINT)) ELSE w // 2 END
+  FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE v END AS w FROM crc WHERE i < 8 * length(s))
+), take AS (
+  SELECT conv_id, xor(v, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE i = 8 * length(s)
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(g.t, [])[1:h], o.t[h + 1:]) AS t
+  FROM own o JOIN take USING (conv_id) LEFT JOIN own g ON g.conv_id = o.conv_id - o.conv_id % 5
+), member AS (
+  SELECT conv_id, d AS depth, md5(CAST(t[1:d] AS VARCHAR)) AS node, CASE WHEN d > 0 THEN md5(CAST(t[1:d - 1] AS VARCHAR)) END AS parent,
+         CASE WHEN d > 0 THEN t[d].b ELSE 0 END AS bytes, len(t) = d AS at_end
+  FROM rebuilt, unnest(generate_series(0, len(t))) AS s(d)
+), node AS (
+  SELECT node, depth, any_value(parent) AS parent, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256
+  FROM member GROUP BY node, depth
+), kids AS (
+  SELECT parent AS node, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent
+), under AS (
+  SELECT DISTINCT a.node AS top, b.node FROM member a JOIN member b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), sums AS (
+  SELECT top AS node, count(*) FILTER (k.node IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.bytes) AS BIGINT) AS saved_tokens
+  FROM under u JOIN node n ON u.node = n.node LEFT JOIN kids k ON k.node = n.node GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM node n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN node p ON p.node = n.parent
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
