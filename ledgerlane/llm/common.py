@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_folder, tune
 
@@ -64,6 +65,16 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever they are called."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def schema_of(df: DataFrame, names, more: str) -> T.StructType:
+    """Columns of ``df`` and then those of the DDL string ``more``; not written as text, so nested names may be any."""
+    return T.StructType([df.schema[n] for n in names] + T.StructType.fromDDL(more).fields)
+
+
 def crc_bucket(id_col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as the empty text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

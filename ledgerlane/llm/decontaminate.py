@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import schema_of, slices, stored, texts
 
 WINDOW = 10
 PATTERN_BYTES = 24 << 20  # of patterns searched for in one pass; more patterns take more passes
@@ -100,9 +100,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     blocks = max(1, -(-total * 3 // (2 * pattern_bytes))) if total > pattern_bytes else 1
     names = [f"_k{i}" for i in range(len(keep))]
     rows = texts(df, id_col, text_col, *[F.col(c).alias(n) for c, n in zip(keep, names)]).withColumn("row", F.monotonically_increasing_id())
-    kept = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}{kept}, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+    schema = schema_of(rows, ("row", "doc_id", *names), "n_words long, spans array<struct<a:int,b:int>>, items array<string>")
 
     def one_pass(block: int) -> DataFrame:
         part = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block) if blocks > 1 else patterns

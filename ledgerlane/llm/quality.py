@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, slices, stored, texts
+from .common import crc_bucket, schema_of, slices, stored, texts
 
 FEATURES = 256  # random Fourier features
 RIDGE = 1e-2  # per training row
@@ -57,8 +57,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             x = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *names)), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", *names, "x"])
 
-    kept = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    out = rows.mapInArrow(measured, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}{kept}, x array<double>")
+    out = rows.mapInArrow(measured, schema_of(rows, ("doc_id", *names), "x array<double>"))
     return out.select("doc_id", *[F.col(n).alias(c) for c, n in zip(keep, names)], "x")
 
 
@@ -190,8 +189,7 @@ def score(measured: DataFrame, model: dict | None, keep: tuple = ()) -> DataFram
                     s = calibrated(shared.value, raw_scores(shared.value, matrix(batch.column("x"))))
                     yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(s)], names=["doc_id", *keep, "score"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "x")
-        out = rows.mapInArrow(scored, f"{schema}, score double")
+        out = rows.mapInArrow(scored, schema_of(rows, rows.columns[:-1], "score double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import slices, stored, texts, whole_row
 from .graph import components
 
 RADIUS = 3
@@ -243,6 +243,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = RADIUS, bucke
 
 SIMILAR = 0.8  # least Jaccard similarity of the shingle sets of near copies
 BANDS, ROWS = 20, 4  # least hashes: a pair of similarity 0.8 agrees on a whole band but for 3 in 100,000
+SET_ROOM = 1 << 23  # shingles of a block
 LOOSE = 0.6  # share of agreeing least hashes below which a pair is not compared: 4 spreads under 0.8
 
 
@@ -323,37 +324,75 @@ def _first_pairs(members: DataFrame, size: int, loose: float, bucket: int) -> Da
         .mapInArrow(linked, "a long, b long, same long").groupBy("b").agg(F.min(F.struct(-F.col("same"), "a")).alias("k")).select("k.a", "b")
 
 
-def _other_pairs(members: DataFrame, labels: DataFrame, size: int, loose: float, bucket: int) -> DataFrame:
-    """a, b: every loose pair that meets in a bucket and is not in one component yet.
+def similar(x, y, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least ``least``."""
+    import numpy as np
+
+    small, large = min(len(x), len(y)), max(len(x), len(y))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (small + large - both)
+
+
+def _met_before(keys, i: int, rest, key: int):
+    """Which of ``rest`` share with ``i`` a bucket of a lesser key than ``key``."""
+    import numpy as np
 
-    Of a bucket, the members outside its most frequent component meet all members, in blocks of ``bucket`` by ``bucket``.
+    mine = set(k for k in keys[i] if k < key)
+    return np.array([any(k in mine for k in keys[j] if k < key) for j in rest], bool) if mine else np.zeros(len(rest), bool)
+
+
+def _more_edges(members: DataFrame, labels: DataFrame, sets: DataFrame, size: int, loose: float, least: float, bucket: int) -> DataFrame:
+    """a, b: confirmed pairs that join what is not in one component yet; with ``labels`` they give the components of all close pairs.
+
+    Of a bucket, the members outside its most frequent component meet all members, in blocks of ``bucket`` by ``bucket``
+    with their shingle sets.  A block confirms a pair only where no pair has joined its components before, and tells one
+    edge for each join: at most one a member.  A pair is looked at in the least of its buckets alone.
     """
-    def paired(batches):
+    def joined(batches):
         import numpy as np
         import pyarrow as pa
 
         for group in _groups(batches, ("key", "row", "column")):
-            ids, label, few = (group.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "few"))
+            ids, root, few, minor = (group.column(c).to_numpy(zero_copy_only=False).copy() for c in ("id", "label", "few", "minor"))
+            key, keys = group.column("key")[0].as_py(), group.column("keys").to_pylist()
             sig = _agreeing(group.column("sig").to_pylist(), size)
-            every = np.flatnonzero(~few)
+            hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in group.column("hashes")]
+            every, edges = np.flatnonzero(~few), []
             for i in np.flatnonzero(few):
-                rest = every[label[every] != label[i]]
-                rest = rest[(sig[i] == sig[rest]).sum(1) >= loose * size]
-                if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[rest])), pa.array(np.maximum(ids[i], ids[rest]))], names=["a", "b"])
-
-    marked = stored(members.join(labels, members["id"] == labels["node"], "left").select("key", "id", "sig", F.coalesce("component", "id").alias("label")))
-    counts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = stored(counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("most.n < n")
-                   .select("key", F.col("most.label").alias("main"), F.ceil(F.col("n") / bucket).alias("columns"), F.ceil((F.col("n") - F.col("most.n")) / bucket).alias("rows")))
-    open_ = marked.join(split, "key")
+                rest = every[root[every] != root[i]]
+                rest = rest[~minor[rest] | (ids[i] < ids[rest])]
+                same = (sig[i] == sig[rest]).sum(1)
+                rest = rest[same >= loose * size][np.argsort(-same[same >= loose * size], kind="stable")]
+                if not len(rest):
+                    continue
+                for j in rest[~_met_before(keys, i, rest, key)].tolist():
+                    if root[j] != root[i] and similar(hashes[i], hashes[j], least):
+                        edges.append((int(ids[i]), int(ids[j])))
+                        root[root == root[j]] = root[i]
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
+
+    marked = stored(members.join(labels, members["id"] == labels["node"], "left").select("key", "id", "sig", "shingles", F.coalesce("component", "id").alias("label")))
+    counts = marked.groupBy("key", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("of"))
+    open_ = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.sum("of").alias("of"), F.max(F.struct("n", "label")).alias("most")) \
+        .filter("most.n < n")
+    wide = F.greatest(F.col("n") / bucket, F.col("shingles") / SET_ROOM, F.lit(1))  # blocks are bounded in bytes, too
+    # buckets of the same members are one
+    split = stored(open_.groupBy("n", "of", "shingles", "most").agg(F.min("key").alias("key")).select(
+        "key", F.col("most.label").alias("main"), F.ceil(wide).cast("long").alias("columns"), F.ceil(wide * (1 - F.col("most.n") / F.col("n"))).cast("long").alias("rows")))
+    some = stored(marked.join(split, "key").select("key", "id", "sig", "label", "main", "rows", "columns"))
+    spots = some.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    full = some.join(spots.join(sets, "id"), "id").withColumn("minor", F.col("label") != F.col("main"))
     spot = F.xxhash64("id", "key")
-    every = open_.withColumn("column", F.pmod(spot, "columns")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("few", F.lit(False))
-    few = open_.filter("label <> main").withColumn("row", F.pmod(spot, "rows")).withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).withColumn("few", F.lit(True))
-    fields = ("key", "row", "column", "id", "sig", "label", "few")
+    every = full.withColumn("column", F.pmod(spot, "columns")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("few", F.lit(False))
+    few = full.filter("minor").withColumn("row", F.pmod(spot, "rows")).withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).withColumn("few", F.lit(True))
+    fields = ("key", "row", "column", "id", "sig", "label", "few", "minor", "keys", "hashes")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.select(*fields).union(few.select(*fields)).repartition(n, "key", "row", "column").sortWithinPartitions("key", "row", "column") \
-        .mapInArrow(paired, "a long, b long").distinct()
+    return stored(every.select(*fields).union(few.select(*fields)).repartition(n, "key", "row", "column").sortWithinPartitions("key", "row", "column")
+                  .mapInArrow(joined, "a long, b long"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -365,11 +404,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if small >= least * large:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[i] = both >= least * (small + large - both)
+                good[i] = similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
     one, two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
@@ -382,9 +417,9 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, band
 
     Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more, judged
     on the sets; groups are the connected components.  Candidates agree on one of ``bands`` bands of ``per_band`` least
-    hashes each and on a share ``loose`` of all.  A first pass confirms one pair a node, a second one every pair that is not
-    in one component by then, so the groups do not depend on ``bucket``, the members one task compares; many texts a
-    little less than ``least`` alike cost a comparison per pair.  Texts without words are one group.  Repeated rows count as copies; null ids are kept.
+    hashes each and on a share ``loose`` of all.  A first pass confirms one pair a node; a second one looks at every pair that is
+    not in one component by then and tells those that join two, so the groups do not depend on ``bucket``, the members one
+    task compares; many texts a little less than ``least`` alike cost a comparison per pair, but no row.  Texts without words are one group.  Repeated rows count as copies; null ids are kept.
     """
     rows = texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     size = bands * per_band
@@ -408,8 +443,8 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, band
             of, sig = [[]] * len(sets), [b""] * len(sets)
             for at, i in enumerate(some):
                 of[i], sig[i] = keys[at], sigs[at].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(ids), pa.array(of, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                                             names=["doc_id", "mark", "id", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(ids), pa.array(of, pa.list_(pa.int64())), pa.array(sig, pa.binary()),
+                                              pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "mark", "id", "keys", "sig", "shingles"])
 
     def listed(batches):
         import pyarrow as pa
@@ -418,16 +453,16 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, band
             sets = [shingle_set(text, shingle).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    docs = stored(rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, id long, keys array<long>, sig binary"))
-    nodes = stored(docs.dropDuplicates(["id"]).select("id", "mark", "keys", "sig"))
+    docs = stored(rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, id long, keys array<long>, sig binary, shingles long"))
+    nodes = stored(docs.dropDuplicates(["id"]).select("id", "mark", "keys", "sig", "shingles"))
     table = nodes.select("id", F.explode("keys").alias("key"))
     met = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(table.join(met, "key").join(nodes.select("id", "sig"), "id").select("key", "id", "sig", "n"))
+    members = stored(table.join(met, "key").join(nodes.select("id", "sig", "shingles"), "id").select("key", "id", "sig", "shingles", "n"))
     first = stored(_first_pairs(members, size, loose, bucket))
     wanted = members.select("id").distinct().join(nodes, "id").select("id", "mark")
     sets = stored(rows.join(wanted, "mark").select("id", "text").mapInArrow(listed, "id long, hashes binary").dropDuplicates(["id"]))
     sure = _confirmed(first, sets, least)
-    more = _confirmed(_other_pairs(members, components(sure), size, loose, bucket).join(first, ["a", "b"], "left_anti"), sets, least)
+    more = _more_edges(members, components(sure), sets, size, loose, least, min(bucket, BUCKET))
     grouped = stored(components(sure.union(more)))
     counted = docs.groupBy("doc_id", "mark", "id").agg(F.count(F.lit(1)).alias("copies"))
     return counted.join(grouped, counted["id"] == grouped["node"], "left").select(
@@ -435,13 +470,17 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, band
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near copies: of each group the row with the least id (then text hash) stays, once."""
+    """The rows of ``df`` without near copies: of each group the row with the least id (then text hash) stays, once.
+
+    Null texts are empty texts; a null id comes after all others; of repeated rows one stays, and of rows with the same id and
+    text but other columns any one; all columns are kept, whatever their names; an empty table stays empty.
+    """
     groups = stored(similar_groups(df, id_col=id_col, text_col=text_col, **options))
     first = stored(groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "copies")).alias("k"))
-                   .select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"), F.col("k.copies").alias("_copies")))
-    marked = df.withColumn("_text_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = marked.join(first, (marked["_text_mark"] == first["_mark"]) & marked[id_col].eqNullSafe(first["_id"]))
-    once = kept.filter("_copies = 1").select(df.columns)
-    if first.filter("_copies > 1").isEmpty():
+                   .select("k.doc_id", "k.mark", "k.copies"))
+    marked = df.select(whole_row(df).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_mark"))
+    kept = marked.join(first, (marked["text_mark"] == first["mark"]) & marked["id"].eqNullSafe(first["doc_id"]))
+    once = kept.filter("copies = 1").select("row.*")
+    if first.filter("copies > 1").isEmpty():
         return once
-    return once.union(kept.filter("_copies > 1").dropDuplicates(["_mark", "_id"]).select(df.columns))
+    return once.union(kept.filter("copies > 1").dropDuplicates(["mark", "id"]).select("row.*"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, running_start, slices, stored, texts
+from .common import default_tokenizer, schema_of, slices, stored, texts
 from .encoding import shared_encoder
 
 ROW_GROUP = 32 << 20  # bytes
@@ -62,7 +62,9 @@ def write_tokens(df: DataFrame, path: str | None = None, tokenizer: str | None =
 def token_index(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the rows of ``write_tokens``, from the files alone.
 
-    ``start`` counts the ids of all rows before; the checksum covers the ids as little-endian unsigned 32-bit integers.
+    ``start`` counts the ids of all rows before in the order of the files, also between rows of one id; the checksum
+    covers the ids as little-endian unsigned 32-bit integers.  Files are read once and in place: a task counts along the
+    stretch of a file that it reads, and the stretches, a row each, are added up by file name and place.
     """
     def summed(batches):
         import zlib
@@ -70,13 +72,26 @@ def token_index(tokens: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        at, run, before = None, 0, 0
         for batch in batches:
             lists = batch.column("ids")
             edges, values = lists.offsets.to_numpy(), np.ascontiguousarray(lists.values.to_numpy(), "<u4")
             crc = [zlib.crc32(values[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())],
-                                             names=["doc_id", "n_tokens", "ids_crc32"])
-
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    narrow = tokens.select("doc_id", "ids").mapInArrow(summed, f"doc_id {kind}, n_tokens long, ids_crc32 long")
-    return running_start(narrow, ["doc_id", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+            size, firsts, starts = np.diff(edges), [], []
+            for name, row, n in zip(batch.column("file_name").to_pylist(), batch.column("row_index").to_pylist(), size.tolist()):
+                if at != (name, row):
+                    run, before = row, 0
+                firsts.append(run)
+                starts.append(before)
+                before += n
+                at = (name, row + 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), batch.column("file_name"), pa.array(firsts, pa.int64()), pa.array(starts, pa.int64())],
+                names=["doc_id", "n_tokens", "ids_crc32", "file_name", "run", "before"])
+
+    read = tokens.select("doc_id", "ids", "_metadata.file_name", "_metadata.row_index")
+    narrow = stored(read.mapInArrow(summed, schema_of(read, ("doc_id",), "n_tokens long, ids_crc32 long, file_name string, run long, before long")))
+    earlier = Window.orderBy("file_name", "run").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+    runs = narrow.groupBy("file_name", "run").agg(F.sum("n_tokens").alias("n")).select(
+        "file_name", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
+    return narrow.join(runs, ["file_name", "run"]).select("doc_id", (F.col("skip") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

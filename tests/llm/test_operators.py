@@ -316,6 +316,38 @@ def test_token_files_round_trip(ready, library, delta, tmp_path):
     assert token_files.token_index(token_files.write_tokens(empty(ready))).count() == 0
 
 
+def test_starts_are_places_in_the_files(ready, tmp_path):
+    """Also of rows that share an id, and where a file is read in several parts."""
+    rows = [(i, f"text {i} {j} " * (1 + (3 * (i or 0) + j) % 4)) for i, n in ((None, 2), (0, 1), (1, 5), (2, 3), (3, 200)) for j in range(n)]
+    df = ready.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    files = token_files.write_tokens(df, path=str(tmp_path / "t"), row_group=1)
+    ready.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        got = sorted(tuple(r) for r in token_files.token_index(files).select("start", "n_tokens", "ids_crc32").collect())
+    finally:
+        ready.conf.unset("spark.sql.files.maxPartitionBytes")
+    import pyarrow.parquet as pq
+
+    want, start = [], 0
+    for f in sorted((tmp_path / "t").glob("*.parquet")):
+        for ids in pq.read_table(f).column("ids").to_pylist():
+            want.append((start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+    assert got == want and len(want) == len(rows)
+
+
+def test_one_id_is_read_without_the_other_pages(ready, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [(i, f"text {i} " * 200) for i in range(2000)]
+    files = token_files.write_tokens(ready.createDataFrame(rows, "doc_id long, text string").coalesce(1), path=str(tmp_path / "t"), row_group=20_000, page_rows=50)
+    assert files.filter("doc_id = 1234").select("ids").count() == 1
+    groups = [(f.metadata.row_group(g).column(0).statistics, f.metadata.row_group(g).total_byte_size)
+              for f in map(pq.ParquetFile, sorted((tmp_path / "t").glob("*.parquet"))) for g in range(f.metadata.num_row_groups)]
+    hit = sum(size for s, size in groups if s.min <= 1234 <= s.max)
+    assert hit * 4 < sum(size for _, size in groups)  # the id's row group against all
+
+
 def test_encoder_equals_the_library(library):
     texts = [t or "" for t in odd_texts()]
     encoder = encoding.Encoder(common.default_tokenizer())
@@ -471,3 +503,53 @@ def test_sketches_estimate_containment(ready):
     assert (ab, ac, aa, empties, one) == (1, 0, 1, 1, 0)
     kept = df.select(F.size(s["a"])).first()[0]
     assert 0.2 < kept / (6000 - 4) < 0.3
+
+
+# pipeline
+
+
+ODD_NAMES = ["doc_id", "text", "lang", "source", "n_chars", "my col", "x.y", "a-b", "a:b", "_copies", "_text_mark", "document", "row", "b`q"]
+
+
+def corpus(spark, rows):
+    """Rows (doc_id, text, lang) as documents with columns of odd names."""
+    from pyspark.sql import types as T
+
+    kinds = [T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.LongType(), *[T.StringType()] * (len(ODD_NAMES) - 5)]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(ODD_NAMES, kinds)])
+    return spark.createDataFrame([(i, t, lang, None, len(t or ""), *"abcdefghi") for i, t, lang in rows], schema)
+
+
+def corpus_rows():
+    rng = random.Random(8)
+    pools = {"en": "abcdefgh", "xx": "stuvwxyz"}
+    rows = []
+    for i in range(160):
+        lang = ("en", "xx")[i % 2]
+        words = ["".join(rng.choice(pools[lang]) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+        rows.append((i, " ".join(words), lang if i % 5 else None))
+    rows += [(200, None, "en"), (201, "", None), (202, "12 34", "en"), (None, rows[2][1] + " aaa", "en"), (203, rows[4][1], "en"), (4, rows[4][1], "en"), (204, "abc def " * 20_000, "en")]
+    return rows
+
+
+@pytest.mark.parametrize("rows", [[], corpus_rows()], ids=["empty", "odd"])
+def test_each_stage_takes_odd_names_and_rows(ready, tmp_path, rows):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    corpus(ready, rows).write.parquet(f"{folder}/documents.parquet")
+    ready.createDataFrame([(i, i % 4 // 2, 0) for i in range(0, 160, 3) if rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    ready.createDataFrame([("q", corpus_rows()[8][1]), ("n", None)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = ready.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(ready, docs, folder)
+        assert out.columns == ODD_NAMES, name
+        kept = out.select("doc_id", "text", "`x.y`", "`b``q`").collect()
+        assert all((r[2], r[3]) == ("b", "i") for r in kept)
+        if name == "near_duplicates" and rows:
+            texts = [r["text"] for r in kept]
+            assert texts.count(corpus_rows()[4][1]) == 1 and corpus_rows()[2][1] + " aaa" not in texts
+        if name == "decontamination" and rows:
+            assert corpus_rows()[8][1] not in [r["text"] for r in kept] and len(kept) > 100
+    whole = corpus_pipeline.run(ready, folder)
+    assert (whole.count() > 0) == bool(rows)
