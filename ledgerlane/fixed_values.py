@@ -492,3 +492,11 @@ TREND_LOW_VALUE = "%s为阶段低点（%s）"
 TREND_HIGH_VALUE = "%s为阶段高点（%s）"
 TREND_RECOVERY = (("steady", "此后持续修复至%s"), ("uneven", "此后震荡修复至%s"))
 TREND_RECENT = (("improving", "%s至%s季度改善显著"), ("falling_back", "%s至%s季度主要表现为回落"))
+
+# wording of rankings with growth and of extremes in a company set; fixed values
+LEAST_WORDS = ("最低", "最小")
+HIGHEST, LOWEST, GROWTH_WORD = "最高", "最低", "同比增幅"
+GROWTH_NOT_KNOWN, GROWTH_NOT_APPLICABLE = "未知", "不适用"
+GROWTH_BEST = "%s Top%d 企业中，%s同比增幅最高的是%s，为 %s%%。"
+GROWTH_UNKNOWN = "%s Top%d 企业已列出，但当前可用同比数据不足。"
+SET_EXTREME = "在上一轮命中的 %d 家公司里，%s%s%s%s的是%s，为 %s。"

@@ -47,6 +47,10 @@ def format_metric(c: Column, is_eps: Column) -> Column:
     )
 
 
+def two_decimals(c: Column) -> Column:
+    return F.format_string("%.2f", c)
+
+
 def abs_ratio(a: Column, b: Column) -> Column:
     """Larger over smaller absolute value; 1 when both are zero or missing, NULL when one is."""
     x, y = F.coalesce(F.abs(a), F.lit(0.0)), F.coalesce(F.abs(b), F.lit(0.0))

@@ -4,32 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import numbers as N
 from ..functions.periods import period_key
 from ..functions.questions import chart_cell, payload_questions
-from ..functions.text import normalize_text
+from ..functions.text import contains_any, normalize_text
 from ..lexicon import DEFAULT, Lexicon
 from ..scale import top_per
 from ..session import checkpointed
+from ..functions.questions import canonical_question, detect_metric, detect_top_k, fragments, intents
 from .conversation import carry_slots, turn_signals
-from .lookups import threshold
+from .lookups import compare, threshold
 from .matching import best_company
-from .tagging import clarification, query_mode, tag_questions
+from .statements_sql import statement_text
+from .tagging import clarification, has, query_mode, tag_questions
+from .tasks import growing_tops, point_at_sets, set_extremes
 from .trend import trend_shape, trend_text, window_rule
 
-ANSWER = ("row_key", "question_id", "seq", "question", "route", "status", "content", "chart", "references")
+ANSWER = ("row_key", "question_id", "seq", "question", "route", "status", "content", "chart", "references", "sql")
 
 
 def keyed(questions: DataFrame) -> DataFrame:
-    """``questions`` with ``row_key``; a group of the window holds equal rows only."""
+    """question_id, payload, row_key of every question row: the hash of its content and a number among equal rows.
+
+    Equal rows (blank cells, popular questions) are counted before they are shuffled and numbered as they are dealt out again.
+    """
     content = F.concat_ws("\u0001", F.coalesce("question_id", F.lit("\u0002")), F.coalesce("payload", F.lit("\u0002")))
-    same = Window.partitionBy("_hash").orderBy("_hash")
-    return questions.withColumn("_hash", F.md5(content)).withColumn(
-        "row_key", F.concat("_hash", F.lit("-"), F.row_number().over(same).cast("string"))).drop("_hash")
+    counted = questions.groupBy("question_id", "payload").agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.select("question_id", "payload", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_i"))
+    return each.withColumn("row_key", F.concat(F.md5(content), F.lit("-"), F.col("_i").cast("string"))).drop("_i")
 
 
 def explode_payloads(questions: DataFrame) -> DataFrame:
@@ -41,16 +47,39 @@ def explode_payloads(questions: DataFrame) -> DataFrame:
     return keyed(questions).select("row_key", "question_id", F.posexplode(asked).alias("seq", "question"))
 
 
+def explode_steps(questions: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
+    """row_key, question_id, step, seq, part, question, fragment: the questions of a payload as steps in the order they are answered.
+
+    A compound question is a step for each fragment, unless it asks for a ranking with growth and its best, which is
+    one step.  ``seq`` is the question's place in the payload, ``part`` the fragment's in the question.
+    """
+    c = F.col
+    rows = explode_payloads(questions).withColumn("_text", canonical_question(c("question"), lex)).withColumn("_again", canonical_question(c("_text"), lex))
+    whole = has(c("_intents"), "ranking", "yoy", "maxmin") & detect_top_k(c("_text")).isNotNull() & detect_metric(c("question"), lex).isNotNull()
+    rows = rows.withColumn("_intents", intents(c("_again"), lex)).withColumn("_cut", F.filter(fragments(c("_again"), lex), lambda f: f != ""))
+    one = F.array("question")  # a question of one part keeps its own words
+    rows = rows.withColumn("_parts", F.when(whole | (F.size("_cut") < 2), one).otherwise(c("_cut")))
+    in_turn = Window.partitionBy("row_key").orderBy("seq", "part")  # the steps of one payload cell
+    parts = rows.select("row_key", "question_id", "seq", "question", F.posexplode("_parts").alias("part", "fragment"))
+    return checkpointed(parts.withColumn("step", F.row_number().over(in_turn) - 1))
+
+
 def plan_answers(asked: DataFrame, aliases: DataFrame, facts: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
-    """Tags, slots carried inside each payload, and the route each question takes."""
-    found = best_company(asked, ["row_key", "seq"], "question", aliases).select("row_key", "seq", "stock_code")
-    rows = asked.join(found, ["row_key", "seq"], "left")
-    signals = turn_signals(rows, lex=lex).withColumn("turn", F.col("seq").cast("bigint"))
+    """Tags, slots carried inside each payload, and the route each step takes.
+
+    ``asked`` comes from ``explode_steps``, or from ``explode_payloads``, where every question is one step.
+    """
+    if "step" not in asked.columns:
+        asked = asked.select("*", F.col("seq").alias("step"), F.lit(0).alias("part"), F.col("question").alias("fragment"))
+    asked = asked.withColumnRenamed("question", "asked_question").withColumnRenamed("fragment", "question")
+    found = best_company(asked, ["row_key", "step"], "question", aliases).select("row_key", "step", "stock_code")
+    rows = asked.join(found, ["row_key", "step"], "left")
+    signals = turn_signals(rows, lex=lex).withColumn("turn", F.col("step").cast("bigint"))
     slots = carry_slots(signals, "row_key").select(
-        "row_key", F.col("turn").cast("int").alias("seq"), F.col("stock_code").alias("company"),
+        "row_key", F.col("turn").cast("int").alias("step"), F.col("stock_code").alias("company"),
         "metric_key", F.col("report_period").alias("asked_period"),
     )
-    tagged = tag_questions(asked, lex=lex).join(slots, ["row_key", "seq"])
+    tagged = tag_questions(asked, lex=lex).join(slots, ["row_key", "step"])
     labels = F.create_map(*[x for _, m, label, _, _ in lex.metrics for x in (F.lit(m), F.lit(label))])
     tables = F.create_map(*[x for t, m, _, _, _ in lex.metrics for x in (F.lit(m), F.lit(t))])
     tagged = tagged.withColumn("metric", F.when(F.col("metric_key").isNotNull(), F.struct(
@@ -72,6 +101,7 @@ def plan_answers(asked: DataFrame, aliases: DataFrame, facts: DataFrame, lex: Le
         F.when(c("missing").isNotNull(), "clarify")
         .when(c("company_field").isNotNull() & has_company, "company_profile")
         .when(c("wants_research"), "research")
+        .when(metric & c("top_k").isNotNull() & has(c("intents"), "ranking", "yoy", "maxmin"), "ranking_growth")
         .when(metric & c("top_k").isNotNull(), "ranking")
         .when(c("wants_attribution") & has_company & metric, "attribution")
         .when(metric & has_company & c("wants_trend"), "trend")
@@ -80,6 +110,11 @@ def plan_answers(asked: DataFrame, aliases: DataFrame, facts: DataFrame, lex: Le
         .when(metric & ~has_company & c("limit_asked").isNotNull(), "threshold")
         .otherwise("retrieval")
     )
+    # what an extreme is taken of is known once the steps before are answered
+    over_set = metric & has(c("intents"), "maxmin") & ~c("wants_research") & (c("company_field").isNull() | ~has_company)
+    out = out.withColumns({
+        "over_set": over_set, "by_growth": has(c("intents"), "yoy"), "least": contains_any(c("compact"), fv.LEAST_WORDS),
+    })
     # every route reads the planned questions: write them once
     return checkpointed(out.withColumn("route", route))
 
@@ -87,12 +122,31 @@ def plan_answers(asked: DataFrame, aliases: DataFrame, facts: DataFrame, lex: Le
 def _answer(df: DataFrame, status, content, chart=None, references=None) -> DataFrame:
     empty = F.array().cast("array<struct<paper_path:string,text:string>>")
     return df.select(
-        "row_key", "question_id", "seq", "question", "route", status.alias("status"), content.alias("content"),
+        "row_key", "question_id", "seq", "part", "asked_question", "route", status.alias("status"), content.alias("content"),
         (chart if chart is not None else F.lit(None).cast("string")).alias("chart"),
-        (references if references is not None else empty).alias("references"),
+        (references if references is not None else empty).alias("references"), statement_text(df).alias("sql"),
     )
 
 
+def join_parts(answers: DataFrame) -> DataFrame:
+    """One row per question: the answers of its parts numbered, their charts and statements one after another.
+
+    A group holds the parts of one question.
+    """
+    item = F.struct("part", "route", "status", "content", "chart", "references", "sql")
+    g = answers.groupBy("row_key", "question_id", "seq", F.col("asked_question").alias("question")).agg(F.array_sort(F.collect_list(item)).alias("p"))
+    every = lambda name: F.transform("p", lambda x: x[name])
+    said = F.transform("p", lambda x, i: F.when(F.coalesce(x["content"], F.lit("")) != "", F.concat((i + 1).cast("string"), F.lit(". "), x["content"])))
+    one = F.size("p") == 1
+    return g.select(
+        "row_key", "question_id", "seq", "question", F.array_join(F.array_distinct(every("route")), "+").alias("route"),
+        F.array_join(F.array_distinct(every("status")), "+").alias("status"),
+        F.when(one, F.get("p", 0)["content"]).otherwise(F.array_join(F.array_compact(said), "\n")).alias("content"),
+        F.get(F.array_compact(every("chart")), 0).alias("chart"), F.array_distinct(F.flatten(every("references"))).alias("references"),
+        F.array_join(F.filter(every("sql"), lambda x: x != ""), "\n\n").alias("sql"),
+    ).select(*ANSWER)
+
+
 def _shown(value, key):
     return N.format_metric(value, key.isin(*fv.EPS_COLUMNS))
 
@@ -102,18 +156,31 @@ def _plain(key, value):
 
 
 def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, latest_period: DataFrame,
-               stock_reports: DataFrame | None = None, evidence: DataFrame | None = None, listed: int = 50) -> DataFrame:
+               stock_reports: DataFrame | None = None, evidence: DataFrame | None = None, listed: int | None = None) -> DataFrame:
     """Answers of all routes.  ``latest_period``: one row, the newest annual period.
 
     ``evidence`` (question_id, seq, status, summary, references) comes from the retrieval job for
     attribution and retrieval questions; with a ``row_key`` it is matched by that.  A threshold answer counts all
-    companies and lists the first ``listed``.
+    companies and lists them, or the first ``listed``.
     """
     c = F.col
     values = facts.select("stock_code", "stock_abbr", "report_period", "metric_key", "metric_value")
     names = companies.groupBy(c("stock_code").alias("company")).agg(F.max("stock_abbr").alias("company_name_shown"))
     rows = planned.join(names, "company", "left").crossJoin(F.broadcast(latest_period.withColumnRenamed("report_period", "_latest")))
     rows = rows.withColumn("at", F.coalesce("asked_period", "_latest")).withColumn("label", F.coalesce("metric.metric_label", "metric_key"))
+
+    # ranking questions repeat: rank each distinct (metric, period) once
+    largest = [c("metric_value").desc_nulls_last(), c("stock_code").asc()]
+    ranked = rows.filter(c("route").isin("ranking", "ranking_growth"))
+    asked = ranked.select("metric_key", "at", "top_k").distinct()
+    most = asked.groupBy("metric_key", "at").agg(F.max("top_k").alias("_most"))
+    at_values = values.withColumnRenamed("report_period", "at")
+    deep = top_per_bound(at_values.join(most, ["metric_key", "at"]), ["metric_key", "at"], largest, "_most")
+    tops = checkpointed(asked.join(deep, ["metric_key", "at"]).filter(c("position") <= c("top_k")))
+    fine_tops = tops.filter(~_plain(c("metric_key"), c("metric_value")))
+    sets = fine_tops.withColumn("route", F.lit("ranking")).unionByName(
+        tops.filter("metric_value is not null").withColumn("route", F.lit("ranking_growth")))
+    rows = checkpointed(point_at_sets(rows, sets))
     route = lambda name: rows.filter(c("route") == name)
     out = [_answer(route("clarify"), F.lit("clarify"), c("missing"))]
 
@@ -136,29 +203,38 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
     out.append(_answer(n, F.when(c("_n").isNull(), "not_found").otherwise("answered"),
                        F.concat_ws("", "company_name_shown", "_n.report_period", F.lit("的"), "label", F.lit("为："), _shown(c("_n.metric_value"), c("metric_key")))))
 
-    # ranking and threshold questions repeat: rank each distinct (metric, period) once
     item = F.struct("position", F.concat_ws("", c("position").cast("string"), F.lit(". "), "stock_abbr", F.lit("（"), "stock_code", F.lit("）: "), _shown(c("metric_value"), c("metric_key"))).alias("line"))
     lines = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "；")
-    largest = [c("metric_value").desc_nulls_last(), c("stock_code").asc()]
     r = route("ranking")
-    asked = r.select("metric_key", "at", "top_k").distinct()
-    hit = asked.join(values.withColumnRenamed("report_period", "at"), ["metric_key", "at"]).withColumn("_k", c("top_k"))
-    most = asked.groupBy("metric_key", "at").agg(F.max("top_k").alias("_most"))
-    deep = top_per_bound(values.withColumnRenamed("report_period", "at").join(most, ["metric_key", "at"]), ["metric_key", "at"], largest, "_most")
-    top = asked.join(deep, ["metric_key", "at"]).filter((c("position") <= c("top_k")) & ~_plain(c("metric_key"), c("metric_value")))
-    tops = top.groupBy("metric_key", "at", "top_k").agg(lines().alias("_l"))  # at most top_k lines
-    rr = r.join(tops, ["metric_key", "at", "top_k"], "left")
+    listed_tops = fine_tops.groupBy("metric_key", "at", "top_k").agg(lines().alias("_l"))  # at most top_k lines
+    rr = r.join(listed_tops, ["metric_key", "at", "top_k"], "left")
     out.append(_answer(rr, F.when(c("_l").isNull(), "not_found").otherwise("answered"),
                        F.concat_ws("", "at", F.lit("的"), "label", F.lit("排名结果如下："), "_l"), F.when(c("_l").isNotNull(), fv.BAR_CHART)))
 
+    grown = growing_tops(tops.join(route("ranking_growth").select("metric_key", "at", "top_k").distinct(), ["metric_key", "at", "top_k"]), values, _shown)
+    rg = route("ranking_growth").join(grown, ["metric_key", "at", "top_k"], "left")
+    best = F.when(c("_best").isNull(), F.format_string(fv.GROWTH_UNKNOWN, "at", "_n")).otherwise(
+        F.format_string(fv.GROWTH_BEST, "at", "_n", "label", "_best.stock_abbr", N.two_decimals(c("_best.yoy"))))
+    out.append(_answer(rg, F.when(c("_n").isNull(), "not_found").otherwise("answered"), F.concat_ws("\n", best, "_l"), F.when(c("_n").isNotNull(), fv.BAR_CHART)))
+
+    x = route("set_extreme")
+    x = x.join(set_extremes(x, sets, values), ["set", "metric_key", "at", "by_growth", "least"], "left")
+    edge = F.when(c("least"), fv.LOWEST).otherwise(fv.HIGHEST)
+    amount = F.when(c("by_growth"), F.concat(N.two_decimals(c("_x.score")), F.lit("%"))).otherwise(_shown(c("_x.score"), c("metric_key")))
+    text = F.format_string(fv.SET_EXTREME, c("set.n"), "at", "label", F.when(c("by_growth"), fv.GROWTH_WORD).otherwise(""), edge, "_x.stock_abbr", amount)
+    out.append(_answer(x, F.when(c("_x").isNull(), "not_found").otherwise("answered"), F.when(c("_x").isNotNull(), text)))
+
     t = route("threshold")
     asked_t = t.select("metric_key", "at", "limit_asked").distinct().withColumn("_id", F.xxhash64("metric_key", "at", "limit_asked"))
-    from .lookups import compare
     over = asked_t.join(values.withColumnRenamed("report_period", "at"), ["metric_key", "at"]).filter(
         compare(c("metric_value"), c("limit_asked.operator"), c("limit_asked.bound")))
     met = over.groupBy("metric_key", "at", "limit_asked").agg(F.count(F.lit(1)).alias("_n"))  # all that meet the bound
-    over = top_per(over, ["metric_key", "at", "limit_asked"], largest, listed, rank="position")
-    tl = over.groupBy("metric_key", "at", "limit_asked").agg(lines().alias("_l"))  # at most ``listed`` lines
+    by_request = ["metric_key", "at", "limit_asked"]
+    if listed is None:  # the answer's text holds them all
+        over = over.withColumn("position", F.row_number().over(Window.partitionBy(*by_request).orderBy(*largest)))
+    else:
+        over = top_per(over, by_request, largest, listed, rank="position")
+    tl = over.groupBy("metric_key", "at", "limit_asked").agg(lines().alias("_l"))
     tt = t.join(tl, ["metric_key", "at", "limit_asked"], "left").join(met, ["metric_key", "at", "limit_asked"], "left")
     out.append(_answer(tt, F.when(c("_l").isNull(), "none_met").otherwise("answered"),
                        F.concat_ws("", "at", F.lit("命中"), "label", F.lit("的公司共"), F.coalesce("_n", F.lit(0)).cast("string"), F.lit("家："), "_l")))
@@ -200,7 +276,7 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
                            F.coalesce("_refs", F.array().cast("array<struct<paper_path:string,text:string>>"))))
     else:
         out.append(_answer(rest, F.lit("no_match"), F.lit("")))
-    return reduce(DataFrame.unionByName, out)
+    return join_parts(reduce(DataFrame.unionByName, out))
 
 
 def top_per_bound(df: DataFrame, keys, order, bound: str) -> DataFrame:
@@ -217,7 +293,7 @@ def assemble(answers: DataFrame) -> DataFrame:
 
     A group holds the questions of one payload cell.
     """
-    item = F.struct("seq", "question", "content", "chart", "references")
+    item = F.struct("seq", "question", "content", "chart", "references", "sql")
     g = answers.groupBy("row_key", "question_id").agg(F.array_sort(F.collect_list(item)).alias("parts"))
     n = F.size("parts")
     numbered = F.transform("parts", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(p["content"], F.lit(""))))
@@ -226,7 +302,7 @@ def assemble(answers: DataFrame) -> DataFrame:
         "row_key", "question_id", n.alias("n_parts"),
         F.when(n == 1, F.coalesce(F.get("parts", 0)["content"], F.lit(""))).otherwise(F.array_join(numbered, "\n")).alias("content"),
         chart_cell(F.filter(F.transform("parts", lambda p: p["chart"]), lambda x: x.isNotNull())).alias("chart"),
-        refs.alias("references"), "parts",
+        refs.alias("references"), F.array_join(F.filter(F.transform("parts", lambda p: p["sql"]), lambda x: x != ""), "\n").alias("sql"), "parts",
     )
 
 
@@ -240,7 +316,7 @@ def export_rows(assembled: DataFrame, questions: DataFrame, variant: str = "task
         return F.struct(p["question"].alias("Q"), answer.alias("A"))
 
     cells = {
-        "编号": F.col("question_id"), "问题": F.col("payload"), "SQL查询语句": F.lit(""), "图形格式": F.col("chart"),
+        "编号": F.col("question_id"), "问题": F.col("payload"), "SQL查询语句": F.col("sql"), "图形格式": F.col("chart"),
         "回答": F.to_json(F.transform("parts", record)),
     }
     rows = keyed(questions).join(assembled.drop("question_id"), "row_key")

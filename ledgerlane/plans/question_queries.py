@@ -257,6 +257,11 @@ def slot_carry_forward_segmented(spark, d):
 ASKED = (
     ("a", "{name}2020年的净利润是多少"), ("b", "2020年净利润top3企业是哪些"), ("c", "2019年净利润超过300的公司有哪些"),
     ("d", "{name}近三年的净利润变化趋势"), ("e", "{name}的所属行业是什么"), ("f", "净利润是多少"), ("g", "{name}净利润最新是多少"),
+    ("i", "2020年净利润top5企业中同比增幅最大的是哪家"), ("k", "{name}2020年的净利润是多少，2019年的净利润是多少"),
+)
+# payloads of several questions: a ranking, then what is extreme among its companies
+ASKED_IN_TURN = (
+    ("h", ("{name}2020年的净利润是多少", "那2019年呢")), ("j", ("2020年净利润top3企业是哪些", "这些公司里2020年净利润最低的是哪家", "这些公司里2020年净利润同比增幅最高的是哪家")),
 )
 
 
@@ -265,18 +270,19 @@ def _questions(spark, d):
     rows = F.array(*[
         F.struct(F.concat(F.lit(k), F.col("s_suppkey").cast("string")).alias("question_id"), F.replace(F.lit(t), F.lit("{name}"), name).alias("payload")) for k, t in ASKED
     ])
-    follow = F.struct(
-        F.concat(F.lit("h"), F.col("s_suppkey").cast("string")).alias("question_id"),
-        F.to_json(F.array(F.concat(name, F.lit("2020年的净利润是多少")), F.lit("那2019年呢"))).alias("payload"))
-    return read(spark, d, "supplier").select(F.inline(F.concat(rows, F.array(follow))))
+    turns = F.array(*[
+        F.struct(F.concat(F.lit(k), F.col("s_suppkey").cast("string")).alias("question_id"),
+                 F.to_json(F.array(*[F.replace(F.lit(t), F.lit("{name}"), name) for t in asked])).alias("payload")) for k, asked in ASKED_IN_TURN
+    ])
+    return read(spark, d, "supplier").select(F.inline(F.concat(rows, turns)))
 
 
 def _answers(spark, d):
     master, facts = company_master(spark, d), FA.table_facts(supplier_statements(spark, d, metrics=("net_profit",)), "income_sheet")
     aliases = M.company_names(master)
     questions = _questions(spark, d)
-    planned = A.plan_answers(A.explode_payloads(questions), aliases, facts)
-    return questions, A.answer_all(planned, facts, master, L.latest_fy(facts))
+    planned = A.plan_answers(A.explode_steps(questions), aliases, facts)
+    return questions, A.answer_all(planned, facts, master, L.latest_fy(facts), listed=50)
 
 
 def _cases(column: str, forms) -> str:
@@ -290,6 +296,16 @@ TREND = f"""CASE WHEN n_periods = 1 THEN '净利润目前仅有' || low_period |
     CASE WHEN decline IS NULL THEN high_period || '为阶段高点（' || high_shown || '）' ELSE {_cases("recovery", [("steady", "此后持续修复至%s", "last_period"), ("uneven", "此后震荡修复至%s", "last_period")])} END,
     {_cases("recent_move", [("improving", "%s至%s季度改善显著", "recent_start, last_period"), ("falling_back", "%s至%s季度主要表现为回落", "recent_start, last_period")])}) || '。' END"""
 
+def _scalar(period: str) -> str:
+    return f"'SELECT net_profit FROM income_sheet WHERE stock_code = ''' || stock_code || ''' AND report_period = ''{period}'''"
+
+
+def _top(more: str, k: int) -> str:
+    return f"'SELECT stock_code, stock_abbr{more}, net_profit AS metric_value FROM income_sheet WHERE report_period = ''2020FY'' ORDER BY metric_value DESC LIMIT {k}'"
+
+
+SET_SQL = "'SELECT stock_code, stock_abbr, net_profit AS metric_value FROM income_sheet WHERE report_period = ''2020FY'' AND stock_code IN (' || codes || ')'"
+
 ANSWERS = sup(CLEAN.format("stmt", "CASE WHEN n_fy >= 3 THEN 3 ELSE 6 END", "n_fy < 3 OR p = 'FY'")) + SHAPE + """,
 told AS (SELECT stock_code, """ + TREND + """ AS told FROM (
   SELECT *, trim(format('{:,.2f}', low_value)) || '万元' AS low_shown, trim(format('{:,.2f}', high_value)) || '万元' AS high_shown FROM shape)),
@@ -299,32 +315,54 @@ sups AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stoc
 top AS (SELECT string_agg(n || '. ' || stock_abbr || '（' || stock_code || '）: ' || shown, '；' ORDER BY n) AS l FROM (
   SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2020FY') WHERE n <= 3),
 ovr AS (SELECT string_agg(n || '. ' || stock_abbr || '（' || stock_code || '）: ' || shown, '；' ORDER BY n) FILTER (n <= 50) AS l, count(*) AS c FROM (
-  SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2019FY' AND v > 300)),
-ans AS (
-  SELECT 'a' || k AS question_id, 0 AS seq, 'scalar' AS route, s_name || '2020FY的净利润为：' || shown AS content FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
-  UNION ALL SELECT 'b' || k, 0, 'ranking', '2020FY的净利润排名结果如下：' || l FROM sups, top
-  UNION ALL SELECT 'c' || k, 0, 'threshold', '2019FY命中净利润的公司共' || c || '家：' || coalesce(l, '') FROM sups, ovr
-  UNION ALL SELECT 'd' || k, 0, 'trend', s_name || '（' || stock_code || '）' || coalesce(told, '净利润暂无可用趋势数据') FROM sups LEFT JOIN told USING (stock_code)
-  UNION ALL SELECT 'e' || k, 0, 'company_profile', s_name || '的所属证监会行业为：' || n_name FROM sups
-  UNION ALL SELECT 'f' || k, 0, 'clarify', 'missing_company' FROM sups
-  UNION ALL SELECT 'g' || k, 0, 'latest', s_name || report_period || '的净利润为：' || shown FROM sups JOIN fmt USING (stock_code) QUALIFY report_period = max(report_period) OVER (PARTITION BY stock_code)
-  UNION ALL SELECT 'h' || k, 0, 'scalar', s_name || '2020FY的净利润为：' || shown FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
-  UNION ALL SELECT 'h' || k, 1, 'scalar', s_name || '2019FY的净利润为：' || shown FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2019FY')"""
-
-
-@query("batch_answers", ANSWERS + "SELECT question_id, CAST(seq AS INTEGER) AS seq, route, content FROM ans")
+  SELECT *, row_number() OVER (ORDER BY v DESC, stock_code) AS n FROM fmt WHERE report_period = '2019FY' AND v > 300)),""" + f"""
+grow AS (SELECT a.*, row_number() OVER (ORDER BY a.v DESC, a.stock_code) AS n, CASE WHEN z.v = 0 OR a.v * z.v < 0 THEN NULL ELSE (a.v - z.v) / abs(z.v) * 100 END AS raw, z.v AS was
+  FROM fmt a LEFT JOIN v z ON z.stock_code = a.stock_code AND z.report_period = '2019FY' WHERE a.report_period = '2020FY'),
+grown AS (SELECT *, CASE WHEN abs(raw) <= 500 THEN raw END AS yoy,
+  CASE WHEN was IS NULL THEN '未知' WHEN raw IS NULL THEN '不适用' WHEN abs(raw) > 500 THEN '未知' ELSE printf('%.2f', raw) || '%' END AS growth FROM grow),
+best5 AS (SELECT '2020FY Top5 企业中，净利润同比增幅最高的是' || (SELECT stock_abbr || '，为 ' || growth FROM grown WHERE n <= 5 AND yoy IS NOT NULL ORDER BY yoy DESC, n LIMIT 1) || '。' || chr(10)
+  || (SELECT string_agg(n || '. ' || stock_abbr || '：' || shown || '，同比' || growth, chr(10) ORDER BY n) FROM grown WHERE n <= 5) AS l),
+set3 AS (SELECT '在上一轮命中的 3 家公司里，2020FY净利润最低的是' || (SELECT stock_abbr || '，为 ' || shown FROM grown WHERE n <= 3 ORDER BY v, stock_code LIMIT 1) || '。' AS low,
+  '在上一轮命中的 3 家公司里，2020FY净利润同比增幅最高的是' || (SELECT stock_abbr || '，为 ' || growth FROM grown WHERE n <= 3 AND yoy IS NOT NULL ORDER BY yoy DESC, stock_code LIMIT 1) || '。' AS high,
+  (SELECT string_agg('''' || stock_code || '''', ', ' ORDER BY stock_code) FROM grown WHERE n <= 3) AS codes),
+said AS (
+  SELECT 'a' || k AS question_id, 0 AS seq, s_name || '2020年的净利润是多少' AS question, 'scalar' AS route, s_name || '2020FY的净利润为：' || shown AS content, {_scalar('2020FY')} AS sql
+    FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
+  UNION ALL SELECT 'b' || k, 0, '2020年净利润top3企业是哪些', 'ranking', '2020FY的净利润排名结果如下：' || l, {_top(', report_period', 3)} FROM sups, top
+  UNION ALL SELECT 'c' || k, 0, '2019年净利润超过300的公司有哪些', 'threshold', '2019FY命中净利润的公司共' || c || '家：' || coalesce(l, ''),
+    'SELECT stock_code, stock_abbr, report_period, net_profit AS metric_value FROM income_sheet WHERE report_period = ''2019FY'' AND net_profit > 300.0 ORDER BY metric_value DESC' FROM sups, ovr
+  UNION ALL SELECT 'd' || k, 0, s_name || '近三年的净利润变化趋势', 'trend', s_name || '（' || stock_code || '）' || coalesce(told, '净利润暂无可用趋势数据'),
+    'SELECT report_period, net_profit FROM income_sheet WHERE stock_code = ''' || stock_code || ''' ORDER BY report_period' FROM sups LEFT JOIN told USING (stock_code)
+  UNION ALL SELECT 'e' || k, 0, s_name || '的所属行业是什么', 'company_profile', s_name || '的所属证监会行业为：' || n_name, 'SELECT industry FROM company_info WHERE stock_code = ''' || stock_code || '''' FROM sups
+  UNION ALL SELECT 'f' || k, 0, '净利润是多少', 'clarify', 'missing_company', '' FROM sups
+  UNION ALL SELECT 'g' || k, 0, s_name || '净利润最新是多少', 'latest', s_name || report_period || '的净利润为：' || shown,
+    'SELECT report_period, net_profit FROM income_sheet WHERE stock_code = ''' || stock_code || ''' ORDER BY report_period DESC LIMIT 1'
+    FROM sups JOIN fmt USING (stock_code) QUALIFY report_period = max(report_period) OVER (PARTITION BY stock_code)
+  UNION ALL SELECT 'h' || k, 0, s_name || '2020年的净利润是多少', 'scalar', s_name || '2020FY的净利润为：' || shown, {_scalar('2020FY')} FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2020FY'
+  UNION ALL SELECT 'h' || k, 1, '那2019年呢', 'scalar', s_name || '2019FY的净利润为：' || shown, {_scalar('2019FY')} FROM sups JOIN fmt USING (stock_code) WHERE report_period = '2019FY'
+  UNION ALL SELECT 'i' || k, 0, '2020年净利润top5企业中同比增幅最大的是哪家', 'ranking_growth', l, {_top('', 5)} FROM sups, best5
+  UNION ALL SELECT 'j' || k, 0, '2020年净利润top3企业是哪些', 'ranking', '2020FY的净利润排名结果如下：' || l, {_top(', report_period', 3)} FROM sups, top
+  UNION ALL SELECT 'j' || k, 1, '这些公司里2020年净利润最低的是哪家', 'set_extreme', low, {SET_SQL} FROM sups, set3
+  UNION ALL SELECT 'j' || k, 2, '这些公司里2020年净利润同比增幅最高的是哪家', 'set_extreme', high, {SET_SQL} FROM sups, set3
+  UNION ALL SELECT 'k' || k, 0, s_name || '2020年的净利润是多少，2019年的净利润是多少', 'scalar', '1. ' || s_name || '2020FY的净利润为：' || a.shown || chr(10) || '2. ' || s_name || '2019FY的净利润为：' || b.shown,
+    {_scalar('2020FY')} || chr(10) || chr(10) || {_scalar('2019FY')} FROM sups JOIN fmt a USING (stock_code) JOIN fmt b USING (stock_code) WHERE a.report_period = '2020FY' AND b.report_period = '2019FY'),
+ans AS (SELECT *, CASE WHEN starts_with(route, 'ranking') THEN '柱状图' WHEN route = 'trend' THEN '折线图' END AS chart FROM said)"""
+
+
+@query("batch_answers", ANSWERS + "SELECT question_id, CAST(seq AS INTEGER) AS seq, question, route, content, chart, sql FROM ans")
 def batch_answers(spark, d):
-    return _answers(spark, d)[1].select("question_id", "seq", "route", "content")
+    return _answers(spark, d)[1].select("question_id", "seq", "question", "route", "content", "chart", "sql")
 
 
 @query("export_rows", ANSWERS + """
-SELECT question_id AS "编号", CASE WHEN any_value(route) = 'ranking' THEN '柱状图' WHEN any_value(route) = 'trend' THEN '折线图' ELSE '无' END AS "图形格式", count(*) AS n_answers FROM ans GROUP BY 1""")
+SELECT question_id AS "编号", CASE WHEN left(question_id, 1) IN ('h', 'j') THEN CAST(to_json(list(question ORDER BY seq)) AS VARCHAR) ELSE any_value(question) END AS "问题",
+  coalesce(string_agg(sql, chr(10) ORDER BY seq) FILTER (sql <> ''), '') AS "SQL查询语句", coalesce(min(chart), '无') AS "图形格式",
+  '[' || string_agg('{"Q":' || CAST(to_json(question) AS VARCHAR) || ',"A":{"content":' || CAST(to_json(content) AS VARCHAR) || '}}', ',' ORDER BY seq) || ']' AS "回答" FROM ans GROUP BY 1""")
 def export_rows(spark, d):
     questions, out = _answers(spark, d)
-    rows = A.export_rows(A.assemble(out), questions)
-    return rows.select("编号", "图形格式", F.json_array_length("回答").cast("bigint").alias("n_answers"))
+    return A.export_rows(A.assemble(out), questions)
 
 
-@query("flat_records", ANSWERS + "SELECT question_id, CAST(seq AS INTEGER) AS seq, '' AS reference_paths FROM ans")
+@query("flat_records", ANSWERS + "SELECT question_id, CAST(seq AS INTEGER) AS seq, question, content, '' AS reference_paths, '' AS reference_texts FROM ans")
 def flat_records(spark, d):
-    return A.flat_records(_answers(spark, d)[1]).select("question_id", "seq", "reference_paths")
+    return A.flat_records(_answers(spark, d)[1])

@@ -119,3 +119,50 @@ def test_repeated_question_ids_keep_their_own_answers(spark):
     asked = answers.explode_payloads(spark.createDataFrame(rows, "question_id string, payload string"))
     got = asked.groupBy("row_key", "question_id").agg(F.array_sort(F.collect_list("question")).alias("q")).collect()
     assert sorted((r.question_id or "", r.q) for r in got) == [("", ["丁"]), ("B1", ["丙"]), ("B1", ["丙"]), ("B1", ["乙", "甲"])]
+
+
+def answered(spark, rows, **options):
+    sheet = statements(spark)
+    f = facts.table_facts(sheet, "income_sheet")
+    companies = spark.createDataFrame([("000001", "甲厂", "甲厂公司"), ("000002", "乙厂", "乙厂公司"), ("000003", "丙厂", "丙厂公司")],
+                                      "stock_code string, stock_abbr string, company_name string")
+    steps = answers.explode_steps(spark.createDataFrame(rows, "question_id string, payload string"))
+    planned = answers.plan_answers(steps, matching.company_names(companies), f)
+    return answers.answer_all(planned, f, companies, lookups.latest_fy(sheet), **options)
+
+
+def test_steps_read_the_company_set_of_the_ranking_before(spark):
+    rows = [
+        ("s", '["2024年净利润top2企业", "这些公司里2024年净利润最低的是哪家", "这些公司里2024年净利润同比增幅最大的是哪家", "这些公司里2023年净利润最高的是哪家"]'),
+        ("alone", '["2024年净利润top1企业", "这些公司里2024年净利润最低的是哪家"]'),
+        ("none", '["2019年净利润top3企业", "2024年净利润最低的是哪家"]'),
+        ("other", '["这些公司里2024年净利润最低的是哪家"]'),
+    ]
+    got = {(r.question_id, r.seq): (r.route, r.content) for r in answered(spark, rows).collect()}
+    assert got["s", 1] == ("set_extreme", "在上一轮命中的 2 家公司里，2024FY净利润最低的是乙，为 110.00万元。")
+    assert got["s", 2] == ("set_extreme", "在上一轮命中的 2 家公司里，2024FY净利润同比增幅最高的是乙，为 61.76%。")
+    assert got["s", 3] == ("set_extreme", "在上一轮命中的 2 家公司里，2023FY净利润最高的是乙，为 68.00万元。")
+    assert all(got[k, 1][0] != "set_extreme" for k in ("alone", "none")) and got["other", 0][0] != "set_extreme"
+
+
+def test_ranking_with_growth_and_compound_questions(spark):
+    rows = [("g", "2024年净利润top3企业中同比增幅最大的是哪家"), ("c", "甲厂2024年的净利润是多少，2023年的净利润是多少"), ("c", "甲厂2024年的净利润是多少，2023年的净利润是多少")]
+    got = answered(spark, rows).orderBy("question_id", "seq").collect()
+    assert [r.question_id for r in got] == ["c", "c", "g"]
+    assert got[0].content == "1. 甲厂2024FY的净利润为：95.00万元\n2. 甲厂2023FY的净利润为：70.00万元" and got[0].content == got[1].content
+    assert got[0].sql.split("\n\n")[1] == "SELECT net_profit FROM income_sheet WHERE stock_code = '000001' AND report_period = '2023FY'"
+    assert got[2].content == ("2024FY Top3 企业中，净利润同比增幅最高的是乙，为 61.76%。\n1. 丙：120.00万元，同比未知\n"
+                              "2. 乙：110.00万元，同比61.76%\n3. 甲：95.00万元，同比35.71%")
+    assert got[2].chart == "柱状图" and got[2].sql.endswith("LIMIT 3")
+
+
+def test_threshold_answers_list_all_unless_cut(spark):
+    rows = [("t", "2024年净利润超过1的公司有哪些")]
+    assert answered(spark, rows).first().content.count("；") == 2
+    assert answered(spark, rows, listed=1).first().content.count("；") == 0
+
+
+def test_statement_text_quotes_values(spark):
+    from ledgerlane.operators.statements_sql import quoted
+
+    assert spark.range(1).select(quoted(F.lit("o'x"))).first()[0] == "'o''x'"
