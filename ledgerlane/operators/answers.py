@@ -17,8 +17,9 @@ from ..scale import top_per
 from ..session import checkpointed
 from ..functions.questions import canonical_question, detect_metric, detect_top_k, fragments, intents
 from .conversation import carry_slots, turn_signals
-from .lookups import compare, threshold
+from .lookups import threshold
 from .matching import best_company
+from .rank_directory import RankDirectory
 from .statements_sql import statement_text
 from .tagging import clarification, has, query_mode, tag_questions
 from .tasks import growing_tops, point_at_sets, set_extremes
@@ -225,15 +226,10 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
     out.append(_answer(x, F.when(c("_x").isNull(), "not_found").otherwise("answered"), F.when(c("_x").isNotNull(), text)))
 
     t = route("threshold")
-    asked_t = t.select("metric_key", "at", "limit_asked").distinct().withColumn("_id", F.xxhash64("metric_key", "at", "limit_asked"))
-    over = asked_t.join(values.withColumnRenamed("report_period", "at"), ["metric_key", "at"]).filter(
-        compare(c("metric_value"), c("limit_asked.operator"), c("limit_asked.bound")))
-    met = over.groupBy("metric_key", "at", "limit_asked").agg(F.count(F.lit(1)).alias("_n"))  # all that meet the bound
-    by_request = ["metric_key", "at", "limit_asked"]
-    if listed is None:  # the answer's text holds them all
-        over = over.withColumn("position", F.row_number().over(Window.partitionBy(*by_request).orderBy(*largest)))
-    else:
-        over = top_per(over, by_request, largest, listed, rank="position")
+    asked_t = t.select("metric_key", c("at").alias("report_period"), "limit_asked", "limit_asked.*").distinct()
+    directory = RankDirectory(asked_t, values)
+    met = directory.counts().select("metric_key", c("report_period").alias("at"), "limit_asked", c("n_met").alias("_n"))  # all that meet the bound
+    over = directory.listed(listed).withColumnRenamed("report_period", "at")
     tl = over.groupBy("metric_key", "at", "limit_asked").agg(lines().alias("_l"))
     tt = t.join(tl, ["metric_key", "at", "limit_asked"], "left").join(met, ["metric_key", "at", "limit_asked"], "left")
     out.append(_answer(tt, F.when(c("_l").isNull(), "none_met").otherwise("answered"),

@@ -10,6 +10,7 @@ from ..functions import numbers as N
 from ..functions.periods import period_key
 from ..functions.text import compact_text, contains_any
 from ..scale import top_per
+from .rank_directory import RankDirectory
 
 FALLBACKS = {
     "main_business_revenue": "total_operating_revenue",
@@ -107,14 +108,8 @@ def threshold_filter(sheet: DataFrame, column: str, period: str, operator: str,
 
 
 def threshold_requests(requests: DataFrame, facts: DataFrame, limit: int | None = None) -> DataFrame:
-    """The same for a table of requests (request_id, metric_key, report_period, operator, bound)."""
-    hit = requests.join(facts, ["metric_key", "report_period"]).filter(
-        compare(F.col("metric_value"), F.col("operator"), F.col("bound"))
-    )
-    order = [F.col("metric_value").desc_nulls_last(), "stock_code"]
-    if limit is not None:
-        return top_per(hit, ["request_id"], order, limit, rank="position")
-    return hit.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
+    """The same for a table of requests (request_id, metric_key, report_period, operator, bound), read off a rank directory."""
+    return RankDirectory(requests, facts).listed(limit)
 
 
 def in_company_set(sheet: DataFrame, members: DataFrame) -> DataFrame:

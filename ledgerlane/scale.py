@@ -22,7 +22,7 @@ def top_per(df: DataFrame, keys, order, k: int, rank: str | None = None) -> Data
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")
 
 
-def _sorted_everywhere(df: DataFrame, order) -> DataFrame:
+def placed_everywhere(df: DataFrame, order) -> DataFrame:
     """Range-partitioned, sorted and checkpointed, with partition and row numbers.
 
     The checkpoint pins the range bounds: they are sampled, so a recomputed exchange
@@ -38,7 +38,7 @@ def _sorted_everywhere(df: DataFrame, order) -> DataFrame:
 
 def global_row_number(df: DataFrame, order, name: str) -> DataFrame:
     """1-based position of each row in the total order ``order``."""
-    placed = _sorted_everywhere(df, order)
+    placed = placed_everywhere(df, order)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the window and the broadcast are bounded by the partition count
     offsets = placed.groupBy("_pid").count().select(
@@ -83,7 +83,7 @@ def group_ranks(df: DataFrame, keys, value: str) -> DataFrame:
     by value; then one range sort places every group, however large, over many tasks.
     """
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = _sorted_everywhere(counted, [*keys, value])
+    placed = placed_everywhere(counted, [*keys, value])
     inside = Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     part = placed.groupBy(*keys, "_pid").agg(F.sum("_n").alias("_n"))
     # at most one row per group and range partition
