@@ -123,8 +123,8 @@ EXTRA_COLUMNS = {
 }
 
 ROW_METADATA = (
-    "serial_number", "stock_code", "stock_abbr", "report_period", "report_year",
-    "report_date", "source_file", "source_excerpt",
+    "stock_code", "stock_abbr", "report_period", "report_year",
+    "report_date", "source_file", "source_excerpt", "serial_number",
 )
 
 CRITICAL_FIELDS = {
@@ -500,3 +500,40 @@ GROWTH_NOT_KNOWN, GROWTH_NOT_APPLICABLE = "未知", "不适用"
 GROWTH_BEST = "%s Top%d 企业中，%s同比增幅最高的是%s，为 %s%%。"
 GROWTH_UNKNOWN = "%s Top%d 企业已列出，但当前可用同比数据不足。"
 SET_EXTREME = "在上一轮命中的 %d 家公司里，%s%s%s%s的是%s，为 %s。"
+
+# where blanks are taken out of a text, and where numbers printed without a gap are parted; fixed values
+SPACED_PATTERNS = (
+    r"(?<=[\x{4e00}-\x{9fff}])\s+(?=[\x{4e00}-\x{9fff}])",
+    r"(?<=[A-Za-z])\s+(?=[A-Za-z])",
+    r"(?<=\d)\s+(?=\d)",
+    r"(?<=\d)\s+(?=[,.:%/])",
+    r"(?<=[,.:/])\s+(?=\d)",
+    r"(?<=[-+])\s+(?=\d)",
+    rf"(?<=\d)\s+(?=[{UNIT_CHARS}])",
+    rf"(?<=[{UNIT_CHARS}])\s+(?=\d)",
+)
+GLUED_NUMBER_PATTERNS = (
+    r"(?<=\.\d{2})(?=[-+]?\d{1,3},)",
+    r"(?<=\.\d{2})(?=[-+]?\d+\.\d{2,4}%?)",
+    r"(?<=\.\d{2})(?=20\d{2}(?:\D|$))",
+    r"(?<=\.\d{4})(?=[-+]?\d{1,3},)",
+    r"(?<=\.\d{4})(?=[-+]?\d+\.\d{2,4}%?)",
+    r"(?<=\.\d{4})(?=20\d{2}(?:\D|$))",
+)
+NUMBER_BOUNDARY_PATTERNS = (
+    r"(?<=\.\d{2})(?=-?\d{1,3},)",
+    r"(?<=\.\d{2})(?=-?\d+\.\d{2,4}%?)",
+    r"(?<=\.\d{4})(?=-?\d{1,3},)",
+    r"(?<=\.\d{4})(?=-?\d+\.\d{2,4}%?)",
+    r"(?<=\.\d{2})(?=20\d{2}(?:\D|$))",
+    r"(?<=\.\d{4})(?=20\d{2}(?:\D|$))",
+    r"(?<=%)(?=-?\d)",
+    r"(?<=\d)(?=20\d{2}年)",
+)
+
+# codes, names and days in file stems and texts; fixed values
+STEM_CODE_AND_DAY = r"(\d{6})_(\d{8})"
+STEM_NAME_AND_TITLE = r"^([^:：]+)[:：](.+)"
+TEXT_CODE = r"证券代码[:：]?([0-9]{6})"
+TEXT_NAME = r"证券简称[:：]?([A-Za-z0-9\x{4e00}-\x{9fff}]+)"
+DATE_SERIAL = r"^(\d+)(?:\.0+)?$"

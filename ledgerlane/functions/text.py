@@ -109,13 +109,7 @@ def collapse_spaced(c: Column) -> Column:
 
     Each blank run has fixed neighbours, so one pass over all rules is a fixed point.
     """
-    u = fv.UNIT_CHARS
-    gaps = [
-        (f"[{CJK}]", f"[{CJK}]"), ("[A-Za-z]", "[A-Za-z]"), (r"\d", r"\d"), (r"\d", "[,.:%/]"),
-        ("[,.:/]", r"\d"), ("[-+]", r"\d"), (r"\d", f"[{u}]"), (f"[{u}]", r"\d"),
-    ]
-    rule = "|".join(rf"(?<={left})\s+(?={right})" for left, right in gaps)
-    return F.regexp_replace(c, "(?U)" + rule, "")
+    return F.regexp_replace(c, "(?U)" + "|".join(fv.SPACED_PATTERNS), "")
 
 
 def _space_at(c: Column, spots) -> Column:
@@ -129,25 +123,12 @@ def _space_at(c: Column, spots) -> Column:
 
 def split_glued_numbers(c: Column) -> Column:
     """Blank between table numbers printed without a gap (signs allowed)."""
-    spots = []
-    for d in (2, 4):
-        spots += [
-            rf"(?<=\.\d{{{d}}})(?=[-+]?\d{{1,3}},)",
-            rf"(?<=\.\d{{{d}}})(?=[-+]?\d+\.\d{{2,4}}%?)",
-            rf"(?<=\.\d{{{d}}})(?=20\d{{2}}(?:\D|$))",
-        ]
-    return _space_at(c, spots)
+    return _space_at(c, fv.GLUED_NUMBER_PATTERNS)
 
 
 def stabilize_numbers(c: Column) -> Column:
     """The document-level form: also after a percent sign and before a year."""
-    spots = []
-    for d in (2, 4):
-        spots += [rf"(?<=\.\d{{{d}}})(?=-?\d{{1,3}},)", rf"(?<=\.\d{{{d}}})(?=-?\d+\.\d{{2,4}}%?)"]
-    for d in (2, 4):
-        spots.append(rf"(?<=\.\d{{{d}}})(?=20\d{{2}}(?:\D|$))")
-    spots += [r"(?<=%)(?=-?\d)", r"(?<=\d)(?=20\d{2}年)"]
-    return _space_at(c, spots)
+    return _space_at(c, fv.NUMBER_BOUNDARY_PATTERNS)
 
 
 def clean_extracted(c: Column) -> Column:

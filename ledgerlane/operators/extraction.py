@@ -282,16 +282,16 @@ def quarter_series(docs: DataFrame, rules=fv.QUARTER_RULES, anchors=fv.QUARTER_A
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """All candidates of a document table, with quarter series that contradict the stored annual
-    figure left out."""
-    from .resolution import resolve_fields, usable, veto_series
+    """All candidates of a document table, with quarter series that contradict the annual
+    figure held when they arrive left out."""
+    from .resolution import usable, veto_series
 
     d = docs.filter(
         F.col("readable") & (F.coalesce("stock_code", F.lit("")) != "") & (F.coalesce("report_period", F.lit("")) != "")
     ).withColumn("doc_priority", document_priority(F.col("title"), F.col("text")))
     # candidates are small next to the texts and read several times: parse each text once
     main = checkpointed(usable(annual_candidates(d).unionByName(periodic_candidates(d))))
-    series = veto_series(checkpointed(quarter_series(d)), resolve_fields(main, mixed=False)).drop("year", "doc")
+    series = veto_series(checkpointed(quarter_series(d)), main).drop("year", "doc")
     return main.unionByName(checkpointed(usable(profit_candidates(d).unionByName(series))))
 
 

@@ -190,19 +190,37 @@ def recompute_income_growth(income: DataFrame) -> DataFrame:
     return out.drop("_previous", "_has_previous", *[f"_{v}" for v, _ in pairs])
 
 
-def veto_series(series: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Drop a quarter series whose year total conflicts with the field's stored annual value.
-
-    ``series``: table_name, stock_code, field_name, year, doc, report_period, value.
+def _contradicted(series: DataFrame, candidates: DataFrame, bucket_rows: int) -> DataFrame:
+    """Year totals of ``series`` that conflict with the annual value held when they arrived: an as-of prefix state per field."""
+    none = F.lit(None)
+    kinds = {f.name: f.dataType for f in candidates.schema}
+    claim = F.struct("priority", "seq", "value", "source_file", "source_excerpt")
+    total = F.struct("doc", "year", "priority", "value", "source_file", "source_excerpt")
+    probes = series.filter(F.col("report_period").endswith("FY")).select(*FIELD_KEY, "seq", total.alias("total"))
+    known = candidates.filter(F.col("report_period").endswith("FY")).select(*FIELD_KEY, F.col("seq").cast(kinds["seq"]), claim.alias("claim"))
+    rows = known.withColumn("total", none.cast(probes.schema["total"].dataType)).unionByName(
+        probes.withColumn("claim", none.cast(known.schema["claim"].dataType)))
+    held = running(rows.withColumn("_probe", F.col("total").isNotNull()), FIELD_KEY, ["seq", "_probe"], F.floor(F.col("seq") / bucket_rows),
+                   {"held": ("max", F.col("claim"))})
+    return held.filter(F.col("_probe") & N.values_conflict(F.col("held.value"), F.col("total.value")))
+
+
+def veto_series(series: DataFrame, candidates: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Drop a quarter series whose year total conflicts with the annual value that earlier candidates had left.
+
+    ``series``: table_name, stock_code, field_name, year, doc, seq, report_period, value, priority, source_file,
+    source_excerpt; ``candidates``: those of ``resolve_fields``, all of mode ``last``.  What arrives after a series, such as a
+    revised summary, does not count against it.
     """
-    annual = resolved.filter(F.col("report_period").endswith("FY")).select(
-        "table_name", "stock_code", "field_name",
-        F.substring("report_period", 1, 4).alias("year"), F.col("value").alias("stored"),
-    )
-    totals = series.filter(F.col("report_period").endswith("FY")).select(
-        "table_name", "stock_code", "field_name", "year", "doc", F.col("value").alias("total")
-    )
-    vetoed = totals.join(annual, ["table_name", "stock_code", "field_name", "year"]).filter(
-        N.values_conflict(F.col("stored"), F.col("total"))
-    )
-    return series.join(vetoed, ["table_name", "stock_code", "field_name", "year", "doc"], "left_anti")
+    vetoed = _contradicted(series, candidates, bucket_rows).select("table_name", "stock_code", "field_name", "total.year", "total.doc")
+    return series.join(vetoed.distinct(), ["table_name", "stock_code", "field_name", "year", "doc"], "left_anti")
+
+
+def series_conflicts(series: DataFrame, candidates: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """A conflict row, as ``conflicts`` has them, for each quarter series that ``veto_series`` drops."""
+    c = F.col
+    return _contradicted(series, candidates, bucket_rows).select(
+        *FIELD_KEY, "seq", F.lit("keep_existing").alias("decision"), c("held.value").alias("existing_value"), c("total.value").alias("candidate_value"),
+        c("held.priority").alias("existing_priority"), c("total.priority").alias("candidate_priority"),
+        c("held.source_file").alias("existing_source_file"), c("total.source_file").alias("candidate_source_file"),
+        c("held.source_excerpt").alias("existing_source_excerpt"), c("total.source_excerpt").alias("candidate_source_excerpt"))

@@ -86,6 +86,42 @@ def quarter_cumulative(spark, d):
     return out.select("company", "year", "quarter", F.col("v").cast("double").alias("value"), F.col("to_date").cast("double").alias("to_date"))
 
 
+def _series_and_claims(spark, d):
+    """Net profit by quarter as a series of document 2, and annual claims before and after it by supplier: a fourth of them each contradicted before,
+    contradicted after, contradicted by a claim of lower rank, and without claim."""
+    stmt = supplier_statements(spark, d, metrics=("net_profit",)).filter("net_profit is not null")
+    base = stmt.select(F.lit("income_sheet").alias("table_name"), "stock_code", "report_period", F.lit("net_profit").alias("field_name"),
+                       F.substring("report_period", 1, 4).alias("year"), F.col("net_profit").alias("value"))
+    series = base.select("*", F.lit(2).alias("doc"), F.lit(21).alias("seq"), F.lit(0).alias("priority"), F.lit("quarters").alias("source_file"), F.lit("table").alias("source_excerpt"))
+    claim = lambda seq, priority, times, name: F.struct(
+        F.lit(seq).alias("seq"), F.lit(priority).alias("priority"), F.lit(float(times)).alias("times"), F.lit(name).alias("source_file"))
+    kind = F.col("stock_code").cast("int") % 4
+    claims = F.when(kind == 0, F.array(claim(10, 5, 3, "annual"))).when(kind == 1, F.array(claim(30, 9, 3, "revised"))) \
+        .when(kind == 2, F.array(claim(10, 5, 1, "annual"), claim(12, 1, 3, "summary"))).otherwise(F.array().cast("array<struct<seq:int,priority:int,times:double,source_file:string>>"))
+    candidates = base.filter(F.col("report_period").endswith("FY")).select("*", F.explode(claims).alias("c")).select(
+        "table_name", "stock_code", "report_period", "field_name", (F.col("value") * F.col("c.times")).alias("value"), "c.seq", "c.priority", "c.source_file",
+        F.lit("line").alias("source_excerpt"))
+    return series, candidates
+
+
+CONTRADICTED = "CAST(stock_code AS INTEGER) % 4 = 0 AND net_profit <> 0"
+
+
+@query("series_veto", sup() + f"""
+SELECT stock_code, report_period, net_profit AS value FROM stmt t WHERE net_profit IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM stmt z WHERE z.stock_code = t.stock_code AND left(z.report_period, 4) = left(t.report_period, 4) AND z.report_period LIKE '%FY' AND {CONTRADICTED})""")
+def series_veto(spark, d):
+    return RES.veto_series(*_series_and_claims(spark, d)).select("stock_code", "report_period", "value")
+
+
+@query("series_conflicts", sup() + f"""
+SELECT stock_code, report_period, CAST(21 AS INTEGER) AS seq, 'keep_existing' AS decision, net_profit * 3 AS existing_value, net_profit AS candidate_value,
+  CAST(5 AS INTEGER) AS existing_priority, CAST(0 AS INTEGER) AS candidate_priority, 'annual' AS existing_source_file, 'quarters' AS candidate_source_file
+FROM stmt WHERE report_period LIKE '%FY' AND {CONTRADICTED}""")
+def series_conflicts(spark, d):
+    return RES.series_conflicts(*_series_and_claims(spark, d)).drop("table_name", "field_name", "existing_source_excerpt", "candidate_source_excerpt")
+
+
 @query("scalar_batch", sup() + """
 SELECT s.stock_code, s.report_period, 'net_profit' AS metric_key, t.net_profit AS metric_value,
        t.net_profit IS NULL OR abs(t.net_profit) < 1 AS suspicious

@@ -62,3 +62,18 @@ def test_quarters_add_up_past_gaps(spark):
     df = spark.createDataFrame([(None, 2.0, None, 3.0)], "a double, b double, c double, d double")
     got = df.select(*resolution.cumulative([F.col(c) for c in "abcd"])).collect()[0]
     assert tuple(got) == (None, 2.0, 2.0, 5.0)
+
+
+def test_a_series_is_judged_by_what_came_before_it(spark):
+    key = ("income_sheet", "000001", "2024FY", "net_profit")
+    series = spark.createDataFrame(
+        [(*key[:2], p, "net_profit", "2024", doc, seq, v, 0, "q", "") for doc, seq in ((2, 21), (5, 51)) for p, v in (("2024Q1", 10.0), ("2024FY", 100.0))],
+        "table_name string, stock_code string, report_period string, field_name string, year string, doc int, seq int, value double, priority int, source_file string, source_excerpt string")
+    claims = spark.createDataFrame([(*key, 300.0, 40, 5, "revised", "x")],
+                                   "table_name string, stock_code string, report_period string, field_name string, value double, seq int, priority int, source_file string, source_excerpt string")
+    for bucket in (1, 7, 1000):
+        kept = resolution.veto_series(series, claims, bucket)
+        assert sorted((r.doc, r.report_period) for r in kept.collect()) == [(2, "2024FY"), (2, "2024Q1")]
+        row = resolution.series_conflicts(series, claims, bucket).collect()
+        assert [(r.seq, r.decision, r.existing_value, r.candidate_value, r.existing_source_file) for r in row] == [(51, "keep_existing", 300.0, 100.0, "revised")]
+    assert resolution.veto_series(series, claims.limit(0)).count() == 4
