@@ -59,8 +59,8 @@ def test_slots_carry_over_and_segments_do_not_matter(spark):
 
 
 def statements(spark):
-    rows = [("000001", "甲", "2023FY", 450.0, 70.0), ("000001", "甲", "2024FY", 580.0, 95.0), ("000002", "乙", "2023FY", 440.0, 68.0),
-            ("000002", "乙", "2024FY", 610.0, 110.0), ("000003", "丙", "2024FY", 620.0, 120.0)]
+    rows = [("000001", "甲", "2023FY", 503.0, 64.0), ("000001", "甲", "2024FY", 611.0, 88.0), ("000002", "乙", "2023FY", 472.0, 60.0),
+            ("000002", "乙", "2024FY", 655.0, 97.0), ("000003", "丙", "2024FY", 701.0, 131.0)]
     return spark.createDataFrame(rows, "stock_code string, stock_abbr string, report_period string, total_operating_revenue double, net_profit double")
 
 
@@ -68,7 +68,7 @@ def test_ranking_with_growth(spark):
     rows = ranking.top_k_growth(statements(spark), "net_profit", "2024FY", 3).orderBy("position").collect()
     assert [r.stock_code for r in rows] == ["000003", "000002", "000001"]
     assert rows[0].yoy is None and rows[0].yoy_status == "unknown"
-    assert round(rows[1].yoy, 2) == 61.76 and rows[1].best_grower and not rows[2].best_grower
+    assert round(rows[1].yoy, 2) == 61.67 and rows[1].best_grower and not rows[2].best_grower
 
 
 def test_answers_and_export(spark):
@@ -80,9 +80,9 @@ def test_answers_and_export(spark):
     planned = answers.plan_answers(answers.explode_payloads(q), matching.company_names(companies), f)
     out = answers.answer_all(planned, f, companies, lookups.latest_fy(sheet))
     rows = {(r.question_id, r.seq): r for r in out.collect()}
-    assert rows["B1001", 0].content == "甲厂2024FY的净利润为：95.00万元"
-    assert rows["B1001", 1].content == "甲厂2023FY的净利润为：70.00万元"
-    assert rows["B1002", 0].content.startswith("2024FY的净利润排名结果如下：1. 丙（000003）: 120.00万元")
+    assert rows["B1001", 0].content == "甲厂2024FY的净利润为：88.00万元"
+    assert rows["B1001", 1].content == "甲厂2023FY的净利润为：64.00万元"
+    assert rows["B1002", 0].content.startswith("2024FY的净利润排名结果如下：1. 丙（000003）: 131.00万元")
     export = answers.export_rows(answers.assemble(out), q)
     assert export.columns == ["编号", "问题", "SQL查询语句", "图形格式", "回答"]
     cells = {r["编号"]: r for r in export.collect()}
@@ -139,9 +139,9 @@ def test_steps_read_the_company_set_of_the_ranking_before(spark):
         ("other", '["这些公司里2024年净利润最低的是哪家"]'),
     ]
     got = {(r.question_id, r.seq): (r.route, r.content) for r in answered(spark, rows).collect()}
-    assert got["s", 1] == ("set_extreme", "在上一轮命中的 2 家公司里，2024FY净利润最低的是乙，为 110.00万元。")
-    assert got["s", 2] == ("set_extreme", "在上一轮命中的 2 家公司里，2024FY净利润同比增幅最高的是乙，为 61.76%。")
-    assert got["s", 3] == ("set_extreme", "在上一轮命中的 2 家公司里，2023FY净利润最高的是乙，为 68.00万元。")
+    assert got["s", 1] == ("set_extreme", "在上一轮命中的 2 家公司里，2024FY净利润最低的是乙，为 97.00万元。")
+    assert got["s", 2] == ("set_extreme", "在上一轮命中的 2 家公司里，2024FY净利润同比增幅最高的是乙，为 61.67%。")
+    assert got["s", 3] == ("set_extreme", "在上一轮命中的 2 家公司里，2023FY净利润最高的是乙，为 60.00万元。")
     assert all(got[k, 1][0] != "set_extreme" for k in ("alone", "none")) and got["other", 0][0] != "set_extreme"
 
 
@@ -149,10 +149,10 @@ def test_ranking_with_growth_and_compound_questions(spark):
     rows = [("g", "2024年净利润top3企业中同比增幅最大的是哪家"), ("c", "甲厂2024年的净利润是多少，2023年的净利润是多少"), ("c", "甲厂2024年的净利润是多少，2023年的净利润是多少")]
     got = answered(spark, rows).orderBy("question_id", "seq").collect()
     assert [r.question_id for r in got] == ["c", "c", "g"]
-    assert got[0].content == "1. 甲厂2024FY的净利润为：95.00万元\n2. 甲厂2023FY的净利润为：70.00万元" and got[0].content == got[1].content
+    assert got[0].content == "1. 甲厂2024FY的净利润为：88.00万元\n2. 甲厂2023FY的净利润为：64.00万元" and got[0].content == got[1].content
     assert got[0].sql.split("\n\n")[1] == "SELECT net_profit FROM income_sheet WHERE stock_code = '000001' AND report_period = '2023FY'"
-    assert got[2].content == ("2024FY Top3 企业中，净利润同比增幅最高的是乙，为 61.76%。\n1. 丙：120.00万元，同比未知\n"
-                              "2. 乙：110.00万元，同比61.76%\n3. 甲：95.00万元，同比35.71%")
+    assert got[2].content == ("2024FY Top3 企业中，净利润同比增幅最高的是乙，为 61.67%。\n1. 丙：131.00万元，同比未知\n"
+                              "2. 乙：97.00万元，同比61.67%\n3. 甲：88.00万元，同比37.50%")
     assert got[2].chart == "柱状图" and got[2].sql.endswith("LIMIT 3")
 
 
