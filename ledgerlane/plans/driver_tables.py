@@ -94,8 +94,12 @@ def supplier_statements(spark: SparkSession, sf_dir: str, years=None, metrics=SU
     )
 
 
-def customer_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Four statement tables per customer and period, with sparse and implausible cells."""
+def customer_sheets(spark: SparkSession, sf_dir: str, years=None, written: bool = True) -> dict[str, DataFrame]:
+    """Four statement tables per customer and period, with sparse and implausible cells.
+
+    ``years`` prunes the scan.  A job that reads one table once sets ``written`` to False: the sums it does not use are
+    then not made.
+    """
     total = money("o_totalprice")
     status, level = F.col("o_orderstatus"), F.col("o_orderpriority")
 
@@ -103,7 +107,7 @@ def customer_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         return F.when(cond, total).otherwise(F.lit(0).cast("decimal(18,2)"))
 
     rows = _period_rows(
-        read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate",
+        within_years(read(spark, sf_dir, "orders"), "o_orderdate", years), "o_custkey", "o_orderdate",
         {
             "total": total,
             "done": part(status == "F"),
@@ -114,7 +118,8 @@ def customer_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "low": part(level == "5-LOW"),
         },
     ).filter(F.col("total").isNotNull())
-    rows = checkpointed(rows)  # the four tables are read many times; they are written once
+    if written:
+        rows = checkpointed(rows)  # the four tables are read many times; they are written once
     key = [
         F.lpad(F.col("key").cast("string"), 6, "0").alias("stock_code"),
         F.concat(F.lit("C"), F.col("key").cast("string")).alias("stock_abbr"),

@@ -36,10 +36,10 @@ LOCAL = DEFAULT.but(
 
 
 @query("question_dedupe", """
-SELECT 'B' || (conv_id % 50) AS question_id, role AS question_type, left(text, 3) AS question_payload, min('f' || turn) AS source_file FROM conversations GROUP BY 1, 2, 3""")
+SELECT 'B' || (conv_id % 50) AS question_id, role AS question_type, text AS question_payload, min('f' || turn) AS source_file FROM conversations GROUP BY 1, 2, 3""")
 def question_dedupe(spark, d):
     rows = read(spark, d, "conversations").select(
-        F.concat(F.lit("B"), F.col("conv_id") % 50).alias("question_id"), F.col("role").alias("question_type"), F.substring("text", 1, 3).alias("question_payload"),
+        F.concat(F.lit("B"), F.col("conv_id") % 50).alias("question_id"), F.col("role").alias("question_type"), F.col("text").alias("question_payload"),
         F.concat(F.lit("f"), "turn").alias("source_file"), F.col("conv_id").alias("row_seq"))
     return B.load_bank(rows).drop("row_seq")
 

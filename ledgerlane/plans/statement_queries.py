@@ -59,7 +59,7 @@ SELECT CAST(row_number() OVER (ORDER BY metric_value DESC, stock_code) AS INTEGE
   CASE WHEN was IS NULL THEN 'unknown' WHEN y IS NULL THEN 'not_applicable' WHEN profit_yoy IS NULL THEN 'unknown' ELSE 'computed' END AS profit_yoy_status,
   profit_yoy IS NOT NULL AND row_number() OVER (ORDER BY profit_yoy DESC NULLS LAST, metric_value DESC) = 1 AS best_grower FROM h""")
 def profit_topk(spark, d):
-    return R.profit_top_k(customer_sheets(spark, d)["income_sheet"], "2020", 10).drop("sales_yoy_status")
+    return R.profit_top_k(customer_sheets(spark, d, (2019, 2020))["income_sheet"], "2020", 10).drop("sales_yoy_status")
 
 
 @query("metric_facts", cus() + " UNION ALL ".join(
@@ -185,7 +185,7 @@ SELECT report_period AS request_id, stock_code, operating_cf_net_amount AS metri
   SELECT *, row_number() OVER (PARTITION BY report_period ORDER BY operating_cf_net_amount DESC, stock_code) AS n
   FROM cust WHERE operating_cf_net_amount < 0) WHERE n <= 50""")
 def sign_filter(spark, d):
-    sheet = customer_sheets(spark, d)["cash_flow_sheet"]
+    sheet = customer_sheets(spark, d, written=False)["cash_flow_sheet"]
     asked = L.threshold(F.lit("经营活动现金流量净额为负数的公司"), F.lit("operating_cf_net_amount"), F.lit("经营活动现金流量净额"))
     requests = sheet.select("report_period").distinct().select(
         F.col("report_period").alias("request_id"), "report_period", F.lit("operating_cf_net_amount").alias("metric_key"),
@@ -239,7 +239,7 @@ def latest_fy(spark, d):
 @query("available_periods", cus() + """
 SELECT stock_code, string_agg(report_period, ',' ORDER BY report_period) AS periods, count(*) AS n_periods FROM cust GROUP BY stock_code""")
 def available_periods(spark, d):
-    out = L.available_periods(customer_sheets(spark, d)["income_sheet"])
+    out = L.available_periods(customer_sheets(spark, d, written=False)["income_sheet"])
     return out.select("stock_code", F.array_join("periods", ",").alias("periods"), "n_periods")
 
 
@@ -528,7 +528,7 @@ def company_merge(spark, d):
 SELECT c.stock_code, c.report_period, coalesce(s_name, c.stock_abbr) AS label FROM cust c
 LEFT JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = c.stock_code""")
 def company_label(spark, d):
-    rows = customer_sheets(spark, d)["income_sheet"].select("stock_code", "stock_abbr", "report_period")
+    rows = customer_sheets(spark, d, written=False)["income_sheet"].select("stock_code", "stock_abbr", "report_period")
     return C.company_label(rows, company_master(spark, d)).select("stock_code", "report_period", "label")
 
 
@@ -676,7 +676,7 @@ SELECT stock_code || '|' || bad AS row_id, stock_code, bad AS report_period, CAS
 FROM (SELECT stock_code, y, key % 3 AS n, CASE key % 3 WHEN 1 THEN CAST(y AS VARCHAR) || '年第四季度' ELSE 'year ' || CAST(y AS VARCHAR) END AS bad FROM cust WHERE p = 'FY' AND key % 3 > 0)""")
 def period_issues(spark, d):
     year, n = F.col("report_year"), F.substring("stock_abbr", 2, 20).cast("long") % 3
-    sheet = customer_sheets(spark, d)["income_sheet"].filter(F.col("report_period").endswith("FY"))
+    sheet = customer_sheets(spark, d, written=False)["income_sheet"].filter(F.col("report_period").endswith("FY"))
     text = F.when(n == 0, F.concat(year, F.lit("年年度"))).when(n == 1, F.concat(year, F.lit("年第四季度"))).otherwise(F.concat(F.lit("year "), year))
     return Q.invalid_periods(sheet.select("stock_code", text.alias("report_period")))
 
