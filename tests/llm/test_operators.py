@@ -449,6 +449,13 @@ def test_an_unlearnt_language_is_rejected_whatever_its_share(ready):
     assert sorted(r["doc_id"] for r in kept) == [i for i, _, lang in rows if lang]
 
 
+def test_marks_without_a_letter_have_no_language(ready):
+    rows = [(i, "some words of a language " * 5, "en") for i in range(20)] + [(100, "\u0301\u0308 \u0301", None), (101, "e\u0301", None)]
+    df = ready.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(language.identify(df, language.fit(language.training_rows(df))), "lang_pred", "score")
+    assert got[100] == ("und", 0.0) and got[101][0] == "en"
+
+
 def test_language_without_training_rows(ready):
     model = language.fit(empty(ready))
     assert by_id(language.identify(documents(ready, ["abc"]), model), "lang_pred") == {0: ("und",)}
