@@ -40,3 +40,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, component) for every node of a forest, given as one row (a, b) per node b with a lesser parent a.
+
+    Every node asks its parent for that one's parent until all point at a root, so the rounds are the logarithm of the
+    depth; each round is one join on the narrow rows, whose side of many children Spark can split.
+    """
+    p = stored(parents.select(F.col("b").alias("node"), F.col("a").alias("up"), F.lit(True).alias("moved")))
+    while not p.filter("moved").isEmpty():
+        above = p.select(F.col("node").alias("at"), F.col("up").alias("over"))
+        p = stored(p.join(above, p["up"] == above["at"], "left").select(
+            "node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")))
+    roots = p.select(F.col("up").alias("node")).distinct().withColumn("component", F.col("node"))
+    return p.select("node", F.col("up").alias("component")).union(roots)

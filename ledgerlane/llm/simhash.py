@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, texts, whole_row
-from .graph import components
+from .graph import components, forest_roots
 
 RADIUS = 3
 NEARLY_ALL = 54  # fixed bits from which a bucket is compared whole: at most 1024 fingerprints differ in the others
@@ -344,7 +344,7 @@ def _met_before(keys, i: int, rest, key: int):
 
 
 def _more_edges(members: DataFrame, labels: DataFrame, sets: DataFrame, size: int, loose: float, least: float, bucket: int) -> DataFrame:
-    """a, b: confirmed pairs that join what is not in one component yet; with ``labels`` they give the components of all close pairs.
+    """a, b: pairs of components of ``labels`` that confirmed pairs join; both together give the components of all close pairs.
 
     Of a bucket, the members outside its most frequent component meet all members, in blocks of ``bucket`` by ``bucket``
     with their shingle sets.  A block confirms a pair only where no pair has joined its components before, and tells one
@@ -356,6 +356,7 @@ def _more_edges(members: DataFrame, labels: DataFrame, sets: DataFrame, size: in
 
         for group in _groups(batches, ("key", "row", "column")):
             ids, root, few, minor = (group.column(c).to_numpy(zero_copy_only=False).copy() for c in ("id", "label", "few", "minor"))
+            label = root.copy()
             key, keys = group.column("key")[0].as_py(), group.column("keys").to_pylist()
             sig = _agreeing(group.column("sig").to_pylist(), size)
             hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in group.column("hashes")]
@@ -369,7 +370,7 @@ def _more_edges(members: DataFrame, labels: DataFrame, sets: DataFrame, size: in
                     continue
                 for j in rest[~_met_before(keys, i, rest, key)].tolist():
                     if root[j] != root[i] and similar(hashes[i], hashes[j], least):
-                        edges.append((int(ids[i]), int(ids[j])))
+                        edges.append((int(label[i]), int(label[j])))
                         root[root == root[j]] = root[i]
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
@@ -458,15 +459,19 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, band
     table = nodes.select("id", F.explode("keys").alias("key"))
     met = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(table.join(met, "key").join(nodes.select("id", "sig", "shingles"), "id").select("key", "id", "sig", "shingles", "n"))
-    first = stored(_first_pairs(members, size, loose, bucket))
+    first = _first_pairs(members, size, loose, bucket)
     wanted = members.select("id").distinct().join(nodes, "id").select("id", "mark")
     sets = stored(rows.join(wanted, "mark").select("id", "text").mapInArrow(listed, "id long, hashes binary").dropDuplicates(["id"]))
     sure = _confirmed(first, sets, least)
-    more = _more_edges(members, components(sure), sets, size, loose, least, min(bucket, BUCKET))
-    grouped = stored(components(sure.union(more)))
+    labels = stored(forest_roots(sure))  # a node has one confirmed pair with a lesser one at most
+    more = _more_edges(members, labels, sets, size, loose, least, min(bucket, BUCKET))
     counted = docs.groupBy("doc_id", "mark", "id").agg(F.count(F.lit(1)).alias("copies"))
-    return counted.join(grouped, counted["id"] == grouped["node"], "left").select(
-        "doc_id", "mark", "copies", F.coalesce("component", "id").alias("group"))
+    named = counted.join(labels, counted["id"] == labels["node"], "left").select("doc_id", "mark", "copies", F.coalesce("component", "id").alias("label"))
+    if more.isEmpty():
+        return named.withColumnRenamed("label", "group")
+    joined = stored(components(more))  # over components, so a row for each that was joined
+    return named.join(joined, named["label"] == joined["node"], "left").select(
+        "doc_id", "mark", "copies", F.coalesce("component", "label").alias("group"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
