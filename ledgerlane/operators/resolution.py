@@ -139,10 +139,14 @@ def widen(resolved: DataFrame, table: str, sources: DataFrame) -> DataFrame:
     return values.join(meta, ["stock_code", "report_period"]).withColumn("report_year", year)
 
 
-def lineage(resolved: DataFrame, found: DataFrame, fields=fv.KEY_LINEAGE_FIELDS) -> DataFrame:
-    """Chosen rows, then conflict rows, for the fields whose lineage is kept."""
+def lineage(resolved: DataFrame, found: DataFrame, fields=fv.KEY_LINEAGE_FIELDS, updated_at: Column | None = None) -> DataFrame:
+    """Chosen rows, then conflict rows, for the fields whose lineage is kept.
+
+    The stage of a value is the excerpt it was read with; ``updated_at`` is the time of the load (now, unless given).
+    """
     empty = F.lit("")
-    chosen = resolved.filter(F.col("field_name").isin(*fields)).select(
+    when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if updated_at is None else updated_at
+    chosen = resolved.filter(F.col("field_name").isin(*fields) & F.col("value").isNotNull()).select(
         *FIELD_KEY,
         F.col("value").alias("field_value"), "source_file", "source_excerpt",
         F.col("priority").alias("source_priority"),
@@ -168,7 +172,9 @@ def lineage(resolved: DataFrame, found: DataFrame, fields=fv.KEY_LINEAGE_FIELDS)
         side("existing_source_excerpt", "candidate_source_excerpt").alias("candidate_source_excerpt"),
         side("existing_priority", "candidate_priority").alias("candidate_priority"),
     )
-    return chosen.unionByName(lost)
+    stage = lambda excerpt: F.coalesce(F.col(excerpt), empty)
+    return chosen.unionByName(lost).withColumns({
+        "extractor_stage": stage("source_excerpt"), "updated_at": when, "candidate_extractor_stage": stage("candidate_source_excerpt")})
 
 
 def recompute_income_growth(income: DataFrame) -> DataFrame:
