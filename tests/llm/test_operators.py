@@ -560,3 +560,20 @@ def test_each_stage_takes_odd_names_and_rows(ready, tmp_path, rows):
             assert corpus_rows()[8][1] not in [r["text"] for r in kept] and len(kept) > 100
     whole = corpus_pipeline.run(ready, folder)
     assert (whole.count() > 0) == bool(rows)
+
+
+def test_forest_roots_equal_walking_up(ready):
+    forest_roots = graph.forest_roots
+
+    rng = random.Random(5)
+    parent = {b: b - 1 for b in range(1, 12)} | {b: 20 for b in range(21, 60)} | {b: rng.randrange(60, b) for b in range(61, 120) if b % 7}
+    df = ready.createDataFrame([(a, b) for b, a in parent.items()], "a long, b long")
+
+    def top(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    nodes = set(parent) | set(parent.values())
+    assert sorted(map(tuple, forest_roots(df).collect())) == sorted((x, top(x)) for x in nodes)
+    assert forest_roots(df.limit(0)).count() == 0
