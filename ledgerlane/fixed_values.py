@@ -537,3 +537,23 @@ STEM_NAME_AND_TITLE = r"^([^:：]+)[:：](.+)"
 TEXT_CODE = r"证券代码[:：]?([0-9]{6})"
 TEXT_NAME = r"证券简称[:：]?([A-Za-z0-9\x{4e00}-\x{9fff}]+)"
 DATE_SERIAL = r"^(\d+)(?:\.0+)?$"
+
+# how far retrieval looks (terms of a question, candidates of a company, of a focused and of any other question) and its wording; fixed values
+RETRIEVAL_TERMS = 6
+RETRIEVAL_LIMITS = (600, 400, 300)
+THEME_SENTENCE = 180
+LIST_MARK, NEW_MARK, THIN_MARK = "、", "新增", "不足"
+EVIDENCE_NONE = "当前未检索到足够的离线证据。可以补充公司名称、报告期或指标后再提问。"
+EVIDENCE_TITLES = "当前本地行业研报正文抽取不足，无法稳定列出完整产品名单。可先参考这些相关题名："
+EVIDENCE_PRODUCT_TITLES = "当前本地研报正文抽取不足，无法稳定枚举“国家医保目录新增的中药产品”名单。当前可参考的证据来源为："
+EVIDENCE_THIN = "当前检索到的离线证据不足以稳定支持归因分析。建议补充公司名称、报告期或更具体的指标后再提问。"
+EVIDENCE_CAUSE = "结论：%s\n证据依据：%s"
+
+# attribution of a metric: question put to retrieval, conclusion by growth, themes, and the closing words; fixed values
+REVENUE_COLUMNS = ("main_business_revenue", "total_operating_revenue")
+ATTRIBUTION_QUESTION = "%s %s 上升原因"
+ATTRIBUTION_VALUE = "从结构化数据库看，%s%s的%s为%s"
+ATTRIBUTION_UP, ATTRIBUTION_DOWN, ATTRIBUTION_GROWTH = "同比上升", "同比下降", "同比"
+ATTRIBUTION_THEMES = "综合本地财报与研报证据，%s主营业务收入上升主要受%s驱动。"
+ATTRIBUTION_THIN = " 当前离线证据不足以稳定支撑归因分析。"
+ATTRIBUTION_EVIDENCE = "\n证据依据：\n"

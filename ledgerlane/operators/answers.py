@@ -266,7 +266,8 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
     rest = rows.filter(c("route").isin("retrieval", "attribution"))
     if evidence is not None:
         by = ["row_key" if "row_key" in evidence.columns else "question_id", "seq"]
-        e = evidence.select(*by, c("status").alias("_status"), "summary", c("references").alias("_refs"))
+        told = c("content" if "content" in evidence.columns else "summary")
+        e = evidence.select(*by, c("status").alias("_status"), told.alias("summary"), c("references").alias("_refs"))
         rest = rest.join(e, by, "left")
         out.append(_answer(rest, F.coalesce("_status", F.lit("no_match")), c("summary"), None,
                            F.coalesce("_refs", F.array().cast("array<struct<paper_path:string,text:string>>"))))

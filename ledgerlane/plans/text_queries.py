@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.codes import file_metadata, normalize_code
 from ..lexicon import DEFAULT
+from ..operators import attribution as AT
 from ..operators import chunking as CH
 from ..operators import companies as C
 from ..operators import extraction as X
@@ -142,7 +144,7 @@ QUALIFY row_number() OVER (PARTITION BY source, theme_order ORDER BY 'documents/
 def theme_first_sentence(spark, d):
     docs = read(spark, d, "documents").select(
         "source", F.lit("").alias("title"), F.concat(F.lit("documents/"), "doc_id").alias("file_path"), F.lit("stock_research_pdf").alias("source_type"), "text")
-    return RT.theme_sentences(CH.explode_chunks(docs), THEMES, keys=("source",), least_cjk=0.0)
+    return RT.theme_sentences(CH.explode_chunks(docs), THEMES, keys=("source",), least_cjk=0.0, longest=fv.THEME_SENTENCE)
 
 
 @query("number_tokens", r"""
@@ -302,21 +304,24 @@ def _in(column: str, names) -> str:
     return f"{column} IN (" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-def _retrieval_sql() -> str:
-    from .. import fixed_values as fv
+TURN_REQUESTS = """SELECT conv_id * 1000 + turn AS request_id, text AS question, conv_id % 3 = 0 AS prefer,
+    CASE WHEN conv_id % 4 = 0 THEN lpad(CAST(conv_id % 50 AS VARCHAR), 6, '0') END AS code, CASE WHEN conv_id % 4 = 0 THEN 'name' || (conv_id % 70) END AS abbr,
+    CASE WHEN conv_id % 4 = 0 THEN 'name' || ((conv_id + 1) % 70) END AS name FROM conversations WHERE role = 'user'"""
+TURN_WORDS = f"regexp_extract_all({S.squeeze('question')}, '[一-鿿]{{2,8}}|{WORD}')"
+
 
+def _retrieval_sql(requests: str, words: str) -> str:
+    """Ranked chunks ``ra`` of the requests: a WITH list to go on from."""
     hits = "(" + " + ".join(f"CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END" for w in CAUSE) + ")"
     dbl = lambda x: f"CAST({x} AS DOUBLE)"
-    terms = f"""[lower(w) for w in list_concat(regexp_extract_all({S.squeeze('question')}, '[一-鿿]{{2,8}}|{WORD}'),
+    terms = f"""[lower(w) for w in list_concat({words},
         CASE WHEN code IS NULL THEN CAST([] AS VARCHAR[]) ELSE [abbr, name, code] END)]"""
     stop = ", ".join(f"'{w}'" for w in STOP)
     return f"""WITH {S.CHUNKS},
 ch AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, chunk_index, text, source || ' ' || lang AS title,
     [{', '.join(f"'{k}'" for k in KINDS)}][doc_id % 5 + 1] AS kind, lpad(CAST(doc_id % 50 AS VARCHAR), 6, '0') AS c_code, 'name' || (doc_id % 70) AS c_name,
-    CAST(2015 + doc_id % 7 AS VARCHAR) || 'FY' AS period FROM chunks),
-rq0 AS (SELECT conv_id * 1000 + turn AS request_id, text AS question, conv_id % 3 = 0 AS prefer,
-    CASE WHEN conv_id % 4 = 0 THEN lpad(CAST(conv_id % 50 AS VARCHAR), 6, '0') END AS code, CASE WHEN conv_id % 4 = 0 THEN 'name' || (conv_id % 70) END AS abbr,
-    CASE WHEN conv_id % 4 = 0 THEN 'name' || ((conv_id + 1) % 70) END AS name FROM conversations WHERE role = 'user'),
+    CAST(2015 + doc_id % 7 AS VARCHAR) || 'FY' AS period, 'documents/' || doc_id AS path FROM chunks),
+rq0 AS ({requests}),
 rq1 AS (SELECT *, {VISIBLE.format('question')} AS compact, {terms} AS raw FROM rq0),
 rq2 AS (SELECT *, {any_of('compact', INDUSTRY)} AS industry, {any_of('compact', INDUSTRY)} AND {any_of('compact', PRODUCT)} AS product, contains(compact, 'elle') AS research,
     [w for w in raw if length(w) >= 2 AND w NOT IN ({stop}) AND NOT (regexp_matches(w, '^[0-9]+$') AND length(w) < 4)] AS useful FROM rq1),
@@ -345,24 +350,63 @@ sc AS (SELECT *, CASE WHEN len(qt) = 0 OR len(tt) = 0 THEN {dbl(0)} ELSE len([x
     + CASE WHEN prefer AND kind IN ('stock_research_pdf', 'stock_research_meta') THEN {dbl(3)} ELSE {dbl(0)} END
     - CASE WHEN prefer AND kind = 'financial_report_pdf' THEN {dbl(1)} ELSE {dbl(0)} END
     + CASE WHEN prefer THEN CASE WHEN hits > 0 THEN least(hits, 2) * {dbl(1.5)} ELSE {dbl(-2)} END ELSE {dbl(0)} END AS score FROM cc),
-ra AS (SELECT request_id, chunk_id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC,
+ra AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC,
     CASE WHEN industry THEN {_case('kind', fv.RESULT_ORDER['industry'])} WHEN prefer THEN {_case('kind', fv.RESULT_ORDER['cause'])} ELSE {_case('kind', fv.RESULT_ORDER['plain'])} END, cr) AS n
-  FROM sc WHERE score >= CASE WHEN prefer THEN 3 ELSE 2 END)
-SELECT request_id, chunk_id, round(score, 6) AS score, CAST(n AS INTEGER) AS result_rank FROM ra WHERE n <= 5"""
-
-
-@query("retrieval_topk", _retrieval_sql())
+  FROM sc WHERE score >= CASE WHEN prefer THEN 3 ELSE 2 END)"""
+
+
+def _evidence_sql(requests: str, words: str) -> str:
+    """Evidence ``ev`` of the requests (status, content, references as lists ``paths`` and ``texts``): goes on from ``ra``."""
+    some = "(len(terms) = 0 OR len([t for t in terms if contains({0}, t]) > 0)".replace("t]", "t)]")
+    tokens = f"[lower(x) for x in regexp_extract_all(s, '[一-鿿]+|{WORD}')]"
+    clean_title = CLEAN_SENTENCE.replace("(c)", f"({clip_sql('title', 400)})").replace("c,", clip_sql("title", 400) + ",")
+    return _retrieval_sql(requests, words) + f""",
+five AS (SELECT * FROM ra WHERE n <= 5),
+cut AS (SELECT request_id, n, terms, qt, question, {S.squeeze('x')} AS s, i FROM (
+  SELECT request_id, n, terms, qt, question, {SPLIT.format('text')} AS x, generate_subscripts(regexp_extract_all(text, '[^。！？；!?;\\n]*(?:[。！？；!?;\\n]|$)'), 1) AS i FROM five)),
+neat AS (SELECT * FROM (SELECT *, {clip_sql('s', 400)} AS c FROM cut WHERE s <> '') WHERE {CLEAN_SENTENCE}),
+sent AS (SELECT *, {any_of('s', LOCAL.industry_sentence)} AND {some.format('s')} AS ind, {any_of('s', CAUSE)} AND {some.format('s')} AS cau, {tokens} AS st,
+  len([t for t in terms if contains(s, t)]) AS nt FROM neat),
+rated AS (SELECT *, nt + CASE WHEN len(qt) = 0 OR len(st) = 0 THEN 0 ELSE len([x for x in qt if list_contains(st, x)]) + CASE WHEN contains({S.squeeze('s')}, {S.squeeze('question')}) THEN 2 ELSE 0 END END AS w FROM sent),
+picks AS (SELECT request_id, n, list(s ORDER BY i) FILTER (ind) AS li, list(s ORDER BY i) FILTER (cau) AS lc, list(s ORDER BY w DESC, i) FILTER (w > 0) AS lb FROM rated GROUP BY 1, 2),
+quo AS (SELECT five.*, CASE WHEN industry AND len(li) > 0 THEN li WHEN prefer AND len(lc) > 0 THEN lc WHEN len(lb) > 0 THEN lb[1:3]
+  WHEN {some.format('title')} AND {clean_title} THEN [title] END AS chosen FROM five LEFT JOIN picks USING (request_id, n)),
+sni AS (SELECT *, array_to_string(CASE WHEN prefer THEN chosen[1:1] ELSE chosen[1:2] END, ' ') AS told FROM quo),
+snk AS (SELECT *, {clip_sql('told', 120)} AS k FROM sni),
+snp AS (SELECT *, CASE WHEN length(k) >= 12 AND {ratio_sql('k')} <= 0.08 AND (length(k) - length(regexp_replace(k, '[0-9]', '', 'g'))) / greatest(length(k), 1) <= 0.55 THEN k END AS snippet FROM snk),
+ref AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n, path, snippet) AS k FROM (
+  SELECT request_id, path, snippet, min(n) AS n FROM snp WHERE snippet IS NOT NULL GROUP BY 1, 2, 3) QUALIFY k <= 3),
+refs AS (SELECT request_id, list(path ORDER BY k) AS paths, list(snippet ORDER BY k) AS texts FROM ref GROUP BY 1),
+fnd AS (SELECT request_id, count(*) AS nc, count(*) FILTER ({any_of('snippet', CAUSE)}) AS ncause, list(title ORDER BY n) AS titles FROM snp GROUP BY 1),
+ev0 AS (SELECT rq.request_id, prefer, paths, texts, list_filter(titles, lambda t, i: list_position(titles, t) = i)[1:3] AS titles,
+  CASE WHEN nc IS NULL THEN 'no_match' WHEN texts IS NULL AND industry THEN 'titles_only' WHEN texts IS NULL THEN 'no_evidence'
+    WHEN product AND NOT (len([t for t in texts if contains(t, '、') AND contains(t, '新增')]) > 0) THEN 'titles_only'
+    WHEN prefer AND ncause = 0 THEN 'thin_evidence' ELSE 'answered' END AS status
+  FROM rq LEFT JOIN fnd USING (request_id) LEFT JOIN refs USING (request_id)),
+ev AS (SELECT *, CASE WHEN status IN ('no_match', 'no_evidence') THEN '{fv.EVIDENCE_NONE}'
+    WHEN status = 'titles_only' THEN CASE WHEN texts IS NULL THEN '{fv.EVIDENCE_TITLES}' ELSE '{fv.EVIDENCE_PRODUCT_TITLES}' END || array_to_string(titles, '；')
+    WHEN status = 'thin_evidence' THEN '{fv.EVIDENCE_THIN}'
+    WHEN prefer THEN '结论：' || texts[1] || chr(10) || '证据依据：' || array_to_string(texts[1:2], '；') ELSE array_to_string(texts[1:3], ' ') END AS content FROM ev0)"""
+
+
+@query("retrieval_topk", _retrieval_sql(TURN_REQUESTS, TURN_WORDS) + """
+SELECT request_id, chunk_id, round(score, 6) AS score, CAST(n AS INTEGER) AS result_rank FROM ra WHERE n <= 5""")
 def retrieval_topk(spark, d):
     chunks = retrieval_chunks(spark, d)
-    prepared = RT.prepare_requests(retrieval_requests(spark, d), LOCAL)
-    top = RT.top_chunks(RT.scored(prepared, chunks, RT.candidates(prepared, chunks), LOCAL))
+    prepared = RT.prepare_requests(retrieval_requests(spark, d), LOCAL, fv.RETRIEVAL_TERMS, fv.RETRIEVAL_LIMITS)
+    top = RT.top_chunks(RT.scored(prepared, chunks, RT.candidates(prepared, chunks, fv.RETRIEVAL_LIMITS), LOCAL))
     return top.select("request_id", "chunk_id", F.round("score", 6).alias("score"), "result_rank")
 
 
-@query("evidence_answers")
+def _texts(references: str, field: str):
+    return F.coalesce(F.array_join(F.col(f"{references}.{field}"), "|"), F.lit(""))
+
+
+@query("evidence_answers", _evidence_sql(TURN_REQUESTS, TURN_WORDS) + """
+SELECT request_id, status, content, coalesce(array_to_string(paths, '|'), '') AS paths, coalesce(array_to_string(texts, '|'), '') AS texts FROM ev""")
 def evidence_answers(spark, d):
-    out = RT.retrieve(retrieval_requests(spark, d), retrieval_chunks(spark, d), LOCAL)
-    return out.select("request_id", "status", "summary", F.size("references").alias("n_references"))
+    out = RT.retrieve(retrieval_requests(spark, d), retrieval_chunks(spark, d), LOCAL, fv.RETRIEVAL_TERMS, fv.RETRIEVAL_LIMITS)
+    return out.select("request_id", "status", "content", _texts("references", "paper_path").alias("paths"), _texts("references", "text").alias("texts"))
 
 
 @query("industry_titles", """
