@@ -437,6 +437,68 @@ def attribution_facts(spark, d):
     return RT.attribution_facts(requests, facts).select("stock_code", "report_period", "metric_value", "yoy", "yoy_status")
 
 
+ATTRIBUTION_ASK = "%s %s tion"
+LABEL_TERMS = {  # search terms of a label: whole, first and last four characters, pairs
+    label: [label, *([label[:4], label[-4:]] if len(label) >= 4 else []), *[label[i:i + 2] for i in range(len(label) - 1)]]
+    for label in ("净利润", "主营业务收入")
+}
+LABEL_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"'{t}'" for t in v) + "]" for k, v in LABEL_TERMS.items()) + " END"
+# every third supplier asks after revenue, the others after profit; every second one names a period
+ATTRIBUTION_REQUESTS = """SELECT s_suppkey AS request_id, s_name || ' ' || CASE WHEN s_suppkey % 3 = 0 THEN '主营业务收入' ELSE '净利润' END || ' tion' AS question, true AS prefer,
+    lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_name AS abbr, 'name' || (s_suppkey % 70) AS name, CASE WHEN s_suppkey % 3 = 0 THEN '主营业务收入' ELSE '净利润' END AS label FROM supplier"""
+ATTRIBUTION_WORDS = f"list_concat(regexp_extract_all({S.squeeze('abbr')}, '{WORD}'), {LABEL_SQL}, ['tion'])"
+
+
+def money_sql(column: str) -> str:
+    return f"CASE WHEN abs({column}) >= 10000 THEN format('{{:.2f}}', {column} / 10000) || '亿元' ELSE format('{{:,.2f}}', {column}) || '万元' END"
+
+
+@query("attribution_answers", _evidence_sql(ATTRIBUTION_REQUESTS, ATTRIBUTION_WORDS).replace("WITH ", f"WITH {S.SUPPLIER}, ", 1) + f""",
+vals AS (SELECT stock_code, report_period, y, p, unnest([net_profit, main_business_revenue]) AS v, unnest(['净利润', '主营业务收入']) AS label FROM stmt),
+grow AS (SELECT a.*, {S.growth('a.v', 'z.v')} AS gr, z.v AS was FROM vals a LEFT JOIN vals z ON z.stock_code = a.stock_code AND z.label = a.label AND z.p = a.p AND z.y = a.y - 1),
+aim AS (SELECT request_id, code, abbr, rq.label, CASE WHEN request_id % 2 = 0 THEN '2019Q3' ELSE
+  (SELECT max(report_period) FROM stmt WHERE stock_code = code AND p = 'FY') END AS period FROM rq),
+fact AS (SELECT aim.*, CASE WHEN period IS NULL OR v IS NULL OR abs(v) < 1 THEN '' ELSE '从结构化数据库看，' || abbr || period || '的' || aim.label || '为' || {money_sql('v')} ||
+  CASE WHEN p = 'FY' AND abs(gr) <= 500 THEN '，同比' || CASE WHEN gr >= 0 THEN '上升' ELSE '下降' END || format('{{:.2f}}', abs(gr)) || '%'
+    WHEN p = 'FY' AND was IS NOT NULL AND gr IS NULL THEN '，同比不适用' ELSE '' END || '。' END AS said
+  FROM aim LEFT JOIN grow ON grow.stock_code = code AND grow.label = aim.label AND report_period = period),
+own AS (SELECT request_id, rq.abbr, path, chunk_index, {SPLIT.format('ch.text')} AS x,
+  generate_subscripts(regexp_extract_all(ch.text, '[^。！？；!?;\\n]*(?:[。！？；!?;\\n]|$)'), 1) AS i
+  FROM rq JOIN ch ON (c_code = code OR c_name IN (abbr, name)) AND kind IN ('stock_research_pdf', 'stock_research_meta', 'financial_report_pdf') WHERE rq.label = '主营业务收入'),
+owc AS (SELECT * FROM (SELECT *, {clip_sql('s', 400)} AS c FROM (SELECT *, {S.squeeze('x')} AS s FROM own) WHERE s <> '') WHERE {CLEAN_SENTENCE}),
+thm AS ({' UNION ALL '.join(f"SELECT {i} AS o, '{n}' AS theme, * FROM owc WHERE {any_of('s', w)}" for i, (n, w) in enumerate(THEMES))}),
+th1 AS (SELECT *, substring(s, 1, 180) AS t FROM thm QUALIFY row_number() OVER (PARTITION BY request_id, o ORDER BY path, chunk_index, i) = 1),
+thl AS (SELECT request_id, '综合本地财报与研报证据，' || abbr || '主营业务收入上升主要受' || string_agg(theme, '、' ORDER BY o) || '驱动。' AS content FROM th1 GROUP BY request_id, abbr),
+prf AS (SELECT request_id, o AS spot, path, t FROM th1 UNION ALL
+  SELECT request_id, unnest(range(len(texts))) AS spot, unnest(paths), unnest(texts) FROM ev WHERE request_id NOT IN (SELECT request_id FROM thl)),
+prk AS (SELECT *, {clip_sql('t', 120)} AS k FROM prf),
+prd AS (SELECT request_id, path, k, min(spot) AS spot FROM prk WHERE length(k) >= 12 AND {ratio_sql('k')} <= 0.08
+  AND (length(k) - length(regexp_replace(k, '[0-9]', '', 'g'))) / greatest(length(k), 1) <= 0.55 GROUP BY 1, 2, 3),
+pr3 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY spot, path, k) AS n FROM prd QUALIFY n <= 3),
+prs AS (SELECT request_id, string_agg(n || '. ' || k, chr(10) ORDER BY n) AS lines, string_agg(path, '|' ORDER BY n) AS paths FROM pr3 GROUP BY 1),
+con AS (SELECT fact.*, coalesce(thl.content, ev.content) AS content, lines, prs.paths AS proof, {clip_sql('coalesce(thl.content, ev.content)', 120)} AS short
+  FROM fact JOIN ev USING (request_id) LEFT JOIN thl USING (request_id) LEFT JOIN prs USING (request_id))
+SELECT request_id, CASE WHEN lines IS NULL THEN 'thin_evidence' ELSE 'answered' END AS status, coalesce(proof, '') AS paths,
+  CASE WHEN lines IS NOT NULL THEN CASE WHEN said <> '' THEN said WHEN length(short) >= 12 AND {ratio_sql('short')} <= 0.08 THEN short ELSE content END || chr(10) || '证据依据：' || chr(10) || lines
+    WHEN contains(CASE WHEN said <> '' THEN said ELSE content END, '不足') THEN CASE WHEN said <> '' THEN said ELSE content END
+    ELSE CASE WHEN said <> '' THEN said ELSE content END || '{fv.ATTRIBUTION_THIN}' END AS summary FROM con""")
+def attribution_answers(spark, d):
+    from ..operators.facts import table_facts
+    from .driver_tables import supplier_statements
+
+    facts = table_facts(supplier_statements(spark, d, metrics=("net_profit", "main_business_revenue")), "income_sheet")
+    k = F.col("s_suppkey")
+    requests = read(spark, d, "supplier").select(
+        k.alias("request_id"), F.lpad(k.cast("string"), 6, "0").alias("stock_code"), F.col("s_name").alias("stock_abbr"),
+        F.concat(F.lit("name"), (k % 70).cast("string")).alias("company_name"),
+        F.when(k % 3 == 0, "main_business_revenue").otherwise("net_profit").alias("metric_key"),
+        F.when(k % 3 == 0, "主营业务收入").otherwise("净利润").alias("metric_label"), F.when(k % 2 == 0, "2019Q3").alias("report_period"))
+    out = AT.attribution_answers(
+        requests, facts, retrieval_chunks(spark, d), LOCAL, THEMES, least_cjk=0.0, themed=("main_business_revenue",), ask=ATTRIBUTION_ASK,
+        terms=fv.RETRIEVAL_TERMS, limits=fv.RETRIEVAL_LIMITS, longest=fv.THEME_SENTENCE)
+    return out.select("request_id", "status", _texts("references", "paper_path").alias("paths"), "summary")
+
+
 # --- extraction --------------------------------------------------------------------------
 
 
