@@ -16,10 +16,12 @@ from ..lexicon import DEFAULT, Lexicon
 from ..scale import top_per
 from ..session import checkpointed
 from ..functions.questions import canonical_question, detect_metric, detect_top_k, fragments, intents
+from .attribution import attribution_answers
 from .conversation import carry_slots, turn_signals
 from .lookups import threshold
 from .matching import best_company
 from .rank_directory import RankDirectory
+from .retrieval import retrieve
 from .statements_sql import statement_text
 from .tagging import clarification, has, query_mode, tag_questions
 from .tasks import growing_tops, point_at_sets, set_extremes
@@ -156,12 +158,34 @@ def _plain(key, value):
     return ~key.isin(*fv.EPS_COLUMNS, *fv.RATIO_COLUMNS) & (F.abs(value) < 1)
 
 
+def gathered_evidence(planned: DataFrame, facts: DataFrame, companies: DataFrame, chunks: DataFrame, lex: Lexicon = DEFAULT,
+                      terms: int | None = None, limits: tuple | None = None, **attribution) -> DataFrame:
+    """row_key, seq, part, status, content, references for the attribution and retrieval parts of ``planned``.
+
+    ``attribution``: further arguments of ``attribution_answers``.  A retrieval question about a company is searched in that
+    company's chunks, without one in all.
+    """
+    c = F.col
+    keys = ["row_key", "seq", "part"]
+    names = companies.groupBy(c("stock_code").alias("company")).agg(F.min(F.struct("stock_abbr", "company_name")).alias("_n"))
+    asked = planned.filter(c("route").isin("retrieval", "attribution")).join(names, "company", "left").select(
+        F.struct(*keys).alias("request_id"), "question", "route", c("company").alias("stock_code"), "_n.stock_abbr", "_n.company_name",
+        "metric_key", c("metric.metric_label").alias("metric_label"), c("asked_period").alias("report_period"), "wants_attribution")
+    searched = retrieve(asked.filter(c("route") == "retrieval").select(
+        "request_id", "question", F.coalesce("wants_attribution", F.lit(False)).alias("prefer_causes"), "stock_code", "stock_abbr", "company_name",
+    ), chunks, lex, terms, limits).select("request_id", "status", "content", "references")
+    told = attribution_answers(asked.filter(c("route") == "attribution").drop("question", "route", "wants_attribution"), facts, chunks, lex,
+                               terms=terms, limits=limits, **attribution)
+    return searched.unionByName(told.select("request_id", "status", c("summary").alias("content"), "references")).select(
+        *[c(f"request_id.{k}").alias(k) for k in keys], "status", "content", "references")
+
+
 def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, latest_period: DataFrame,
                stock_reports: DataFrame | None = None, evidence: DataFrame | None = None, listed: int | None = None) -> DataFrame:
     """Answers of all routes.  ``latest_period``: one row, the newest annual period.
 
-    ``evidence`` (question_id, seq, status, summary, references) comes from the retrieval job for
-    attribution and retrieval questions; with a ``row_key`` it is matched by that.  A threshold answer counts all
+    ``evidence`` (question_id, seq, status, summary or content, references) answers attribution and retrieval
+    questions (``gathered_evidence``); with a ``row_key`` or ``part`` it is matched by them, too.  A threshold answer counts all
     companies and lists them, or the first ``listed``.
     """
     c = F.col
@@ -265,7 +289,7 @@ def answer_all(planned: DataFrame, facts: DataFrame, companies: DataFrame, lates
 
     rest = rows.filter(c("route").isin("retrieval", "attribution"))
     if evidence is not None:
-        by = ["row_key" if "row_key" in evidence.columns else "question_id", "seq"]
+        by = ["row_key" if "row_key" in evidence.columns else "question_id", "seq"] + ["part"] * ("part" in evidence.columns)
         told = c("content" if "content" in evidence.columns else "summary")
         e = evidence.select(*by, c("status").alias("_status"), told.alias("summary"), c("references").alias("_refs"))
         rest = rest.join(e, by, "left")
