@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ledgerlane.functions import questions
 from ledgerlane.operators import answers, conversation, facts, lookups, matching, ranking, tagging
 
 
@@ -166,3 +167,15 @@ def test_statement_text_quotes_values(spark):
     from ledgerlane.operators.statements_sql import quoted
 
     assert spark.range(1).select(quoted(F.lit("o'x"))).first()[0] == "'o''x'"
+
+
+def test_long_questions_are_cut_in_one_pass(spark):
+    """A question of 40,000 characters that names no drawing: minutes, when the pattern starts anew at every character."""
+    import time
+
+    long = "abc de " * 5700
+    df = spark.createDataFrame([(0, "先绘图再解释"), (1, "甲\n乙绘图然后丙"), (2, "绘图再乙"), (3, long)], "i int, q string")
+    start = time.monotonic()
+    got = {r.i: r.f for r in df.select("i", questions.fragments(F.col("q")).alias("f")).collect()}
+    assert time.monotonic() - start < 15
+    assert got == {0: ["先绘图", "解释"], 1: ["甲 乙绘图", "丙"], 2: ["绘图再乙"], 3: [long.strip()]}
