@@ -179,3 +179,23 @@ def test_long_questions_are_cut_in_one_pass(spark):
     got = {r.i: r.f for r in df.select("i", questions.fragments(F.col("q")).alias("f")).collect()}
     assert time.monotonic() - start < 15
     assert got == {0: ["先绘图", "解释"], 1: ["甲 乙绘图", "丙"], 2: ["绘图再乙"], 3: [long.strip()]}
+
+
+def test_names_meet_texts_alike_for_few_and_many(spark, monkeypatch):
+    """Read off by a pattern, sent to the texts, or met by salted n-grams: the same pairs; texts are never broadcast."""
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["甲公司利润增长", "abcabcabd", "a.b(c", "公司", "ab", "la lacio lab", "x000002", "7000002", "é lac\nlab", "lacilab", ""])], "i int, t string")
+    names = spark.createDataFrame([(n,) for n in [
+        "公司", "利润增长", "abca", "ab", "cabd", "zz", "abcabcabd", "la", "lac", "lab", "lacio", "a.b(", "000002", "é lac\nla"]], "n string")
+    want = sorted((r.i, r.n) for r in texts.crossJoin(names).filter(F.contains("t", "n")).collect())
+    company = names.select(F.col("n").alias("alias"), F.col("n").alias("stock_code"), F.lit(1).alias("tier"))
+    plans, best = [], []
+    for read, few in ((2000, 50_000), (0, 50_000), (0, 0)):
+        monkeypatch.setattr(matching, "READ_NAMES", read)
+        monkeypatch.setattr(matching, "FEW_NAMES", few)
+        df = matching.contains_match(texts, ["i"], "t", names, "n")
+        assert sorted((r.i, r.n) for r in df.collect()) == want
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        best.append({r.i: r.alias for r in matching.best_company(texts, ["i"], "t", company).collect()})
+    assert best[0] == best[1] == best[2] and best[0][6] == "000002" and 7 not in best[0] and best[0][9] == "lac"
+    assert "SortMergeJoin [i" in plans[2] and all("BroadcastHashJoin [i" not in p for p in plans)
