@@ -199,3 +199,16 @@ def test_names_meet_texts_alike_for_few_and_many(spark, monkeypatch):
         best.append({r.i: r.alias for r in matching.best_company(texts, ["i"], "t", company).collect()})
     assert best[0] == best[1] == best[2] and best[0][6] == "000002" and 7 not in best[0] and best[0][9] == "lac"
     assert "SortMergeJoin [i" in plans[2] and all("BroadcastHashJoin [i" not in p for p in plans)
+
+
+def test_answer_joins_do_not_trust_guessed_sizes(spark):
+    """Companies and questions in small files: no join on them may be planned as a broadcast."""
+    companies = spark.createDataFrame([("000001", "甲公司", "甲公司股份", "制造")], "stock_code string, stock_abbr string, company_name string, industry string")
+    values = spark.createDataFrame([("000001", "甲公司", "2020FY", "net_profit", 5.0)],
+                                   "stock_code string, stock_abbr string, report_period string, metric_key string, metric_value double")
+    asked = spark.createDataFrame([("q1", "甲公司2020年的净利润是多少"), ("q2", "甲公司净利润最新是多少"), ("q3", "甲公司近三年的净利润变化趋势")], "question_id string, payload string")
+    planned = answers.plan_answers(answers.explode_steps(asked), matching.company_names(companies), values)
+    out = answers.answer_all(planned, values, companies, lookups.latest_fy(values))
+    plan = answers.export_rows(answers.assemble(out), asked)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not [j for j in joins if "BroadcastHashJoin [company" in j or "BroadcastHashJoin [row_key" in j]
