@@ -28,3 +28,18 @@ def test_report_scan_keeps_only_the_stem_of_oversized_files(spark):
     a, b = chunking.scan_reports(files).orderBy("file_path").collect()
     assert (a.stock_code, a.report_period, a.report_date, a.readable) == ("000001", "2024FY", "2025-03-31", True)
     assert (b.stock_name, b.title, b.report_period, b.readable, b.text) == ("甲", "2023年半年度报告", "2023HY", False, "甲：2023年半年度报告")
+
+
+def test_scored_text_is_cut_once(spark):
+    """A question and a text of 6,000 words: the text is not cut into tokens again for each word of the question."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ledgerlane.functions.text import score_text
+
+    words = " ".join(f"w{i}" for i in range(6000))
+    df = spark.createDataFrame([(words + " other", words)], "q string, t string")
+    start = time.monotonic()
+    assert df.select(score_text(F.col("q"), F.col("t")).alias("s")).first().s == 6000.0
+    assert time.monotonic() - start < 8
