@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -51,26 +51,53 @@ def cells(sheets: dict[str, DataFrame], columns=None) -> DataFrame:
 def peer_profile(sheets: dict[str, DataFrame], columns=None) -> DataFrame:
     """Count, median and nearest-rank 90th percentile per table, column and period.
 
-    A peer group spans all companies, so exact ranks come from one range sort over all groups
-    instead of collecting or sorting a group in one task.
+    A peer group spans all companies.  Its cells are counted by bins that never decrease with the value; only those in
+    the at most three bins that hold a rank asked for are sorted, over all tasks, so most cells are never shuffled.
     """
     keys = ["table_name", "column_name", "report_period"]
-    r = group_ranks(cells(sheets, columns), keys, "value")
-    n = F.col("group_rows")
+    every = cells(sheets, columns).withColumn("_bin", _bin(F.col("value")))
+    n, first, last = F.col("peer_count"), F.col("_first"), F.col("_last")
     targets = {
         "low": F.floor((n + 1) / 2),
         "high": F.floor(n / 2) + 1,
         "p90": F.bround((n - 1) * 0.9).cast("long") + 1,
     }
-    at = lambda t: (F.col("first_rank") <= t) & (F.col("last_rank") >= t)
-    picked = r.filter(reduce(lambda a, b: a | b, [at(t) for t in targets.values()]))
+    at = lambda t: (first <= t) & (last >= t)
+    any_at = reduce(lambda a, b: a | b, [at(t) for t in targets.values()])
+    group = Window.partitionBy(*keys)
+    counts = every.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = counts.withColumn("_last", F.sum("_n").over(group.orderBy("_bin"))).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    held = checkpointed(ranked.withColumn("peer_count", F.sum("_n").over(group)).filter(any_at).select(*keys, "_bin", "_first", "peer_count"))
+    near = group_ranks(_in_bins(every, held.select(*keys, "_bin")), [*keys, "_bin"], "value")
+    skip = F.col("_first") - 1
+    picked = near.join(held, [*keys, "_bin"]).select(
+        *keys, "value", "peer_count", (skip + F.col("first_rank")).alias("_first"), (skip + F.col("last_rank")).alias("_last"))
     return (
-        picked.groupBy(*keys)
-        .agg(F.max("group_rows").alias("peer_count"), *[F.max(F.when(at(t), F.col("value"))).alias(k) for k, t in targets.items()])
+        picked.filter(any_at).groupBy(*keys)
+        .agg(F.max("peer_count").alias("peer_count"), *[F.max(F.when(at(t), F.col("value"))).alias(k) for k, t in targets.items()])
         .select(*keys, "peer_count", ((F.col("low") + F.col("high")) / 2.0).alias("median"), "p90")
     )
 
 
+WELL_FORMED = "^20[0-9]{2}(FY|HY|Q1|Q2|Q3|Q4)$"
+
+
+def _in_bins(every: DataFrame, held: DataFrame) -> DataFrame:
+    """The cells in some bins.  Those of well-formed periods, three a column at most, are broadcast."""
+    keys, good = held.columns, F.col("report_period").rlike(WELL_FORMED)
+    found, odd = every.join(F.broadcast(held.filter(good)), keys, "left_semi"), held.filter(~good)
+    return found if odd.isEmpty() else found.unionByName(every.join(odd, keys, "left_semi"))
+
+
+BINS = 500  # per factor of e
+
+
+def _bin(value: Column) -> Column:
+    """Whole number that never decreases with the value (NaN is the greatest value)."""
+    size = F.floor(F.signum(value) * F.log1p(F.abs(value)) * BINS)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(size)
+
+
 def _peer_limit() -> Column:
     floors = F.create_map(*[F.lit(x) for kv in fv.PEER_FLOORS.items() for x in kv])
     return F.greatest(
@@ -92,10 +119,12 @@ def peer_limits(profile: DataFrame) -> DataFrame:
 def _join_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Peer limits by period.  Well-formed periods number at most 600 (20YY x 6), so that side
     is broadcast; rows with a malformed period take an ordinary join."""
-    code = "^20[0-9]{2}(FY|HY|Q1|Q2|Q3|Q4)$"
-    good = rows.filter(F.col("_period").rlike(code)).join(F.broadcast(limits.filter(F.col("_period").rlike(code))), "_period", "left")
-    odd = rows.filter(~F.col("_period").rlike(code)).join(limits.filter(~F.col("_period").rlike(code)), "_period", "left")
-    return good.unionByName(odd)
+    well = F.col("_period").rlike(WELL_FORMED)
+    odd = limits.filter(~well)
+    if odd.isEmpty():  # as a rule: the rows are then read once
+        return rows.join(F.broadcast(limits), "_period", "left")
+    return rows.filter(well).join(F.broadcast(limits.filter(well)), "_period", "left").unionByName(
+        rows.filter(~well).join(odd, "_period", "left"))
 
 
 # --- rules -------------------------------------------------------------------------------
@@ -178,23 +207,23 @@ def _anchor(sheet: DataFrame, table: str, sheets: dict, parity: bool) -> tuple[D
 
     ``parity`` looks only at the row itself.
     """
-    names = ("revenue", "assets", "liabilities")
     sources = {
         "revenue": ("income_sheet", ("main_business_revenue", "total_operating_revenue")),
         "assets": ("balance_sheet", ("asset_total_assets",)),
         "liabilities": ("balance_sheet", ("liability_total_liabilities",)),
     }
-    out = sheet
-    for name in names:
-        other, cols = sources[name]
+    out, sides = sheet, {}
+    for name, (other, cols) in sources.items():
         own = [F.col(c) for c in cols if c in sheet.columns]
         if parity or other not in sheets or own or not any(c in sheets[other].columns for c in cols):
             out = out.withColumn(f"_{name}", F.coalesce(*own) if own else F.lit(None).cast("double"))
             continue
         have = [F.col(c) for c in cols if c in sheets[other].columns]
-        side = sheets[other].groupBy("stock_code", "report_period").agg(F.max(F.coalesce(*have)).alias(f"_{name}"))
+        sides.setdefault(other, []).append(F.max(F.coalesce(*have)).alias(f"_{name}"))
+    for other, asked in sides.items():
+        side = sheets[other].groupBy("stock_code", "report_period").agg(*asked)
         out = out.join(side, ["stock_code", "report_period"], "left")
-    return out, {n: F.col(f"_{n}") for n in names}
+    return out, {n: F.col(f"_{n}") for n in sources}
 
 
 def judged(sheet: DataFrame, table: str, sheets: dict[str, DataFrame], limits: DataFrame, parity: bool = False) -> DataFrame:
@@ -247,11 +276,12 @@ def judged(sheet: DataFrame, table: str, sheets: dict[str, DataFrame], limits: D
     return rows.drop("_before", "_previous", "_limits", "_revenue", "_assets", "_liabilities", "_period")
 
 
-def judge_all(sheets: dict[str, DataFrame], parity: bool = False) -> dict[str, DataFrame]:
-    """All tables judged.  Issues, repaired tables and reports read them, so each is written once;
-    otherwise every filter on a reason would evaluate the rules again."""
+def judge_all(sheets: dict[str, DataFrame], parity: bool = False, written: bool = True) -> dict[str, DataFrame]:
+    """All tables judged.  Where issues, repaired tables and reports read them, each is written once, or every reader
+    would evaluate the rules again; a job that reads them once sets ``written`` to False."""
     limits = checkpointed(peer_limits(peer_profile(sheets, columns=tuple(fv.AMOUNT_LIMITS))))
-    return {t: checkpointed(judged(df, t, sheets, limits, parity)) for t, df in sheets.items()}
+    done = {t: judged(df, t, sheets, limits, parity) for t, df in sheets.items()}
+    return {t: checkpointed(df) for t, df in done.items()} if written else done
 
 
 def cell_issues(judged_sheets: dict[str, DataFrame]) -> DataFrame:

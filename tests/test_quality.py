@@ -43,3 +43,36 @@ def test_cash_flow_anchor_comes_from_the_other_tables(spark):
     sheets = {"cash_flow_sheet": cash, "income_sheet": income}
     assert quality.cell_issues(quality.judge_all(sheets)).count() == 0
     assert quality.cell_issues(quality.judge_all(sheets, parity=True)).collect()[0].reason == "cashflow_scale_mismatch"
+
+
+def test_peers_are_ranked_exactly_with_equal_close_and_odd_values(spark):
+    schema = "stock_code string, stock_abbr string, report_period string, net_profit double"
+    values = {
+        "2024FY": [0.0] * 40 + [float(i % 7) - 3 for i in range(60)],
+        "2023FY": [1000 + i / 1000 for i in range(50)],  # all in one bin
+        "2022HY": [-1e300, 1e300, float("inf"), 5.0, float("-inf")],
+        "abc": [1.0, 2.0, 3.0, 40.0],  # a period that is no code
+    }
+    rows = [(f"{i:06d}", "x", p, v) for p, vs in values.items() for i, v in enumerate(vs)]
+    got = {r.report_period: r for r in quality.peer_profile({"income_sheet": spark.createDataFrame(rows, schema)}).collect()}
+    assert sorted(got) == sorted(p.upper() for p in values)
+    for p, vs in values.items():
+        vs, n, r = sorted(vs), len(vs), got[p.upper()]
+        assert (r.peer_count, r["median"], r.p90) == (n, (vs[(n - 1) // 2] + vs[n // 2]) / 2, vs[round((n - 1) * 0.9)])
+
+
+def test_few_peer_cells_are_sorted(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    ranks = quality.group_ranks
+    monkeypatch.setattr(quality, "group_ranks", lambda df, *rest: seen.append(df.count()) or ranks(df, *rest))
+    df = spark.range(20000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("stock_code"), F.lit("2024FY").alias("report_period"), (F.col("id") + 1.0).alias("net_profit"))
+    r = quality.peer_profile({"income_sheet": df}).collect()[0]
+    assert (r["median"], r.p90) == (10000.5, 18000.0) and seen[0] < 200
+
+
+def test_rules_run_in_methods_that_the_jvm_compiles(spark):
+    from ledgerlane.session import tune
+
+    assert tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
