@@ -385,7 +385,7 @@ def _more_edges(members: DataFrame, labels: DataFrame, sets: DataFrame, size: in
     split = stored(open_.groupBy("n", "of", "shingles", "most").agg(F.min("key").alias("key")).select(
         "key", F.col("most.label").alias("main"), F.ceil(wide).cast("long").alias("columns"), F.ceil(wide * (1 - F.col("most.n") / F.col("n"))).cast("long").alias("rows")))
     some = stored(marked.join(split, "key").select("key", "id", "sig", "label", "main", "rows", "columns"))
-    spots = some.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    spots = some.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one a band, and a component for each order of the shingles
     full = some.join(spots.join(sets, "id"), "id").withColumn("minor", F.col("label") != F.col("main"))
     spot = F.xxhash64("id", "key")
     every = full.withColumn("column", F.pmod(spot, "columns")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("few", F.lit(False))
@@ -417,8 +417,8 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, band
     """doc_id, mark (hash of the text), copies, group of every distinct (id, text): near copies by word shingles share a group.
 
     Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more, judged
-    on the sets; groups are the connected components.  Candidates agree on one of ``bands`` bands of ``per_band`` least
-    hashes each and on a share ``loose`` of all.  A first pass confirms one pair a node; a second one looks at every pair that is
+    on the sets; groups are the connected components.  Candidates are in one component of ``near_duplicates``, or agree on one
+    of ``bands`` bands of ``per_band`` least hashes each, and agree on a share ``loose`` of all.  A first pass confirms one pair a node; a second one looks at every pair that is
     not in one component by then and tells those that join two, so the groups do not depend on ``bucket``, the members one
     task compares; many texts a little less than ``least`` alike cost a comparison per pair, but no row.  Texts without words are one group.  Repeated rows count as copies; null ids are kept.
     """
@@ -456,7 +456,11 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = SIMILAR, band
 
     docs = stored(rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, id long, keys array<long>, sig binary, shingles long"))
     nodes = stored(docs.dropDuplicates(["id"]).select("id", "mark", "keys", "sig", "shingles"))
-    table = nodes.select("id", F.explode("keys").alias("key"))
+    # a component of fingerprints is one more bucket
+    linked = near_duplicates(rows, id_col="mark") \
+        .select(F.col("doc_id").alias("mark"), F.xxhash64(F.lit("component"), "component_id").alias("key")).distinct()
+    worded = docs.filter(F.size("keys") > 0).select("id", "mark").distinct()
+    table = nodes.select("id", F.explode("keys").alias("key")).union(worded.join(linked, "mark").select("id", "key").distinct())
     met = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(table.join(met, "key").join(nodes.select("id", "sig", "shingles"), "id").select("key", "id", "sig", "shingles", "n"))
     first = _first_pairs(members, size, loose, bucket)

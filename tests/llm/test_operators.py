@@ -186,6 +186,18 @@ def test_near_copies_equal_brute_force(ready, bucket):
     assert {i: first[g] for i, g in got.items()} == plain_groups(texts)
 
 
+def test_texts_that_operator_2_links_are_near_copies_without_a_common_band(ready):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[:150] + ["other"] + words[151:])]
+    docs = documents(ready, texts)
+    linked, group = by_id(simhash.near_duplicates(docs), "component_id"), by_id(simhash.similar_groups(docs, bands=1, per_band=80), "group")
+    pairs = [(i, i + 1) for i in range(0, 50, 2) if linked[i] == linked[i + 1]]
+    assert len(pairs) >= 5 and all(group[a] == group[b] for a, b in pairs)
+
+
 @pytest.mark.parametrize("bucket", [8 * simhash.BUCKET, 3])
 def test_a_hot_template_is_one_group_whatever_the_bucket(ready, bucket):
     words = [f"t{i}" for i in range(80)]
