@@ -7,6 +7,10 @@ score per language is its length-normalised cross-entropy.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,18 +219,123 @@ def fit(df: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, text_col:
 
     Counts, continuation counts and context counts of every order cover all texts.  Of each order the model holds at
     most ``max_grams`` n-grams, which bounds the broadcast: languages with more than an even share of them lose their own
-    rarest, others none.  No rows give a model without languages.
+    rarest, others none.  Where that loses any, ``exact`` holds all of them as addends (see ``_exact``), which ``identify``
+    and ``rejection_limits`` then use.  No rows give a model without languages.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    grams, tables = stored(count_grams(rows, order)), {}
+    grams, tables, whole, cut = stored(count_grams(rows, order)), {}, {}, False
     for k in range(order, 0, -1):
         if k < order:  # in how many contexts a shorter gram continues
             grams = stored(grams.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
         context = F.expr(f"substring(gram, 1, {k - 1})")
         total = grams.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
-        found = _most_frequent(grams, max_grams).withColumn("context", context).join(total, ["lang", "context"]).select("lang", "gram", "n", "total").toPandas()
+        kept = _most_frequent(grams, max_grams)
+        cut = cut or kept is not grams
+        whole[k] = grams.withColumn("context", context).join(total, ["lang", "context"])
+        found = kept.withColumn("context", context).join(total, ["lang", "context"]).select("lang", "gram", "n", "total").toPandas()
         tables[k] = list(zip(*(found[c].tolist() for c in ("lang", "gram", "n", "total"))))
-    return model_of(tables, grams.select("gram").distinct().count())
+    characters = grams.select("gram").distinct().count()
+    model = model_of(tables, characters)
+    return {**model, "exact": _exact(whole, model["langs"], characters, max_grams)} if cut else model
+
+
+CONTEXT = 0x5851F42D4C957F2D  # tells the hash of a context from that of an n-gram
+
+
+def _exact(tables: dict[int, DataFrame], langs: list[str], characters: int, most: int, discount: float = DISCOUNT) -> dict:
+    """The whole model as addends of hashes, for any number of n-grams.
+
+    The log probability of a character is a sum over the orders: what the context leaves to shorter n-grams, and for an n-gram
+    of the model what its probability differs by from that.  So each addend is looked up by itself: the most
+    frequent ones, at most ``most``, in a sorted table (``hashes``, ``values``) that is broadcast, all others in the stored table
+    ``rest`` (hash, v0, v1, ...), which the places of a text that the first lacks are joined to.
+    """
+    unseen = -math.log(max(characters, 1) + 1)
+    parts, shorter, base = [], None, {}
+    for k in sorted(tables):
+        g = tables[k].withColumn("taken", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total"))
+        left = stored(g.groupBy("lang", "context").agg((1 - F.sum("taken")).alias("left"), F.sum("n").alias("times")))
+        met = g.join(left.drop("times"), ["lang", "context"])
+        if shorter is None:
+            met = met.withColumn("below", F.lit(math.exp(unseen)))
+            base = {r["lang"]: math.log(r["left"]) for r in left.collect()}  # a row per language
+        else:
+            met = met.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, ["lang", "suffix"])
+            parts.append(left.select("lang", F.col("context").alias("key"), F.lit(True).alias("is_context"), F.col("times").alias("n"), F.log("left").alias("value")))
+        p = F.col("taken") + F.col("left") * F.col("below")
+        found = stored(met.select("lang", "gram", "n", p.alias("p"), (F.log(p) - F.log(F.col("left") * F.col("below"))).alias("value")))
+        parts.append(found.select("lang", F.col("gram").alias("key"), F.lit(False).alias("is_context"), "n", "value"))
+        shorter = found.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+    own = lambda lang: F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("value"))), F.lit(0.0))
+    columns = [f"v{i}" for i in range(len(langs))]
+    every = reduce(DataFrame.union, parts).groupBy("key", "is_context").agg(F.sum("n").alias("n"), *[own(lang).alias(c) for lang, c in zip(langs, columns)])
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, kind = batch.column("key").to_pylist(), batch.column("is_context").to_numpy(zero_copy_only=False)
+            size, out = np.array([len(key) for key in keys]), np.zeros(len(keys), np.uint64)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                out[at] = gram_hashes(codes_of([keys[i] for i in at.tolist()]), n)[::n]
+            out[kind] ^= np.uint64(CONTEXT)
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))] + [batch.column(c) for c in ("n", *columns)], names=["hash", "n", *columns])
+
+    table = stored(every.mapInArrow(hashed, "hash long, n long, " + ", ".join(f"{c} double" for c in columns)))
+    down = Window.orderBy(F.desc("n"))  # a row per count
+    least = table.groupBy("n").agg(F.count(F.lit(1)).alias("size")).withColumn("upto", F.sum("size").over(down)).filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    core = table.filter(F.col("n") >= least).toPandas() if least is not None else table.limit(0).toPandas()
+    hashes = core["hash"].to_numpy().astype(np.int64).view(np.uint64)
+    at = np.argsort(hashes)
+    return {"hashes": hashes[at], "values": core[columns].to_numpy(np.float64)[at], "constant": np.array([base.get(lang, 0.0) + unseen for lang in langs]),
+            "rest": table if least is None else table.filter(F.col("n") < least)}
+
+
+def _addends(codes, order: int):
+    """Hashes of all addends of each character from the (order - 1)-th on: a row each, a column per n-gram and context."""
+    size = len(codes) - order + 1
+    columns = [gram_hashes(codes, k)[order - k:] for k in range(1, order + 1)]
+    columns += [gram_hashes(codes, k)[order - k - 1:][:size] ^ np.uint64(CONTEXT) for k in range(1, order)]
+    return np.stack(columns, axis=1)
+
+
+def _exact_entropies(rows: DataFrame, model: dict) -> DataFrame:
+    """``rows`` with ``entropies`` (an array over the model's languages), ``known`` (has a letter) and ``places`` (characters
+    judged) instead of ``text``, by all n-grams of the model."""
+    langs, order = model["langs"], model["order"]
+    names = [c for c in rows.columns if c != "text"]
+    shared = rows.sparkSession.sparkContext.broadcast({k: model["exact"][k] for k in ("hashes", "values", "constant")})
+
+    def looked_up(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        for batch in slices(batches, limit=1 << 18):
+            strings = [prepared(t) for t in batch.column("text").to_pylist()]
+            sums, places, missed, times = [], [], [], []
+            for s in strings:
+                wanted, n = np.unique(_addends(codes_of([" " * (order - 2) + s]), order).ravel(), return_counts=True)
+                at = position(m["hashes"], wanted)
+                here = at >= 0
+                places.append(len(s) - 1)
+                sums.append(m["constant"] * places[-1] + n[here] @ m["values"][at[here]])
+                missed.append(wanted[~here].view(np.int64))
+                times.append(n[~here])
+            known = [any(map(str.isalpha, s)) for s in strings]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in names] + [pa.array(known), pa.array(places, pa.int64()), pa.array(sums, pa.list_(pa.float64())),
+                                                    pa.array(missed, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                names=[*names, "known", "places", "sums", "missed", "times"])
+
+    schema = schema_of(rows, names, "known boolean, places long, sums array<double>, missed array<long>, times array<long>")
+    found = stored(rows.mapInArrow(looked_up, schema).withColumn("_row", F.monotonically_increasing_id()))
+    open_ = found.select("_row", F.explode(F.arrays_zip("missed", "times")).alias("m")).select("_row", F.col("m.missed").alias("hash"), F.col("m.times").alias("times"))
+    columns = [f"v{i}" for i in range(len(langs))]
+    more = open_.join(model["exact"]["rest"], "hash").groupBy("_row").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in columns])
+    e = F.array(*[-(F.get("sums", F.lit(i)) + F.coalesce(c, F.lit(0.0))) / F.col("places") for i, c in enumerate(columns)])
+    return found.join(more, "_row", "left").select(*names, "known", "places", e.alias("entropies"))
 
 
 SHARES = 1 << 20
@@ -259,6 +368,14 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """
     names = [f"_k{i}" for i in range(len(keep))]
     rows = texts(df, id_col, text_col, *[F.col(c).alias(n) for c, n in zip(keep, names)])
+    shown = [F.col(n).alias(c) for c, n in zip(keep, names)]
+    if "exact" in model:
+        e, known = F.col("entropies"), F.col("known")
+        odds = F.aggregate(F.transform("entropies", lambda x: F.exp(-TEMPER * (x - F.array_min("entropies")))), F.lit(0.0), lambda a, x: a + x)
+        best = F.get(F.array(*[F.lit(lang) for lang in model["langs"]]), F.array_position(e, F.array_min(e)).cast("int") - 1)
+        return _exact_entropies(rows, model).select(
+            "doc_id", *shown, F.when(known, best).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, 1 / odds).otherwise(0.0).alias("score"),
+            F.when(known, F.array_min(e)).alias("entropy"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams
 
     def scored(batches):
@@ -284,7 +401,7 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", *names, "lang_pred", "score", "entropy"])
 
     out = rows.mapInArrow(scored, schema_of(rows, ("doc_id", *names), "lang_pred string, score double, entropy double"))
-    return out.select("doc_id", *[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score", "entropy")
+    return out.select("doc_id", *shown, "lang_pred", "score", "entropy")
 
 
 TEMPER = 20.0  # characters' worth of evidence in a score
@@ -321,6 +438,10 @@ def rejection_limits(df: DataFrame, model: dict, text_col: str = "text", lang_co
     One row per language of the model that has such rows.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isin(model["langs"]) & F.col("text").isNotNull())
+    if "exact" in model:
+        mine = F.get("entropies", F.array_position(F.array(*[F.lit(lang) for lang in model["langs"]]), F.col("lang")).cast("int") - 1)
+        judged = _exact_entropies(rows, model).select("lang", (F.col("places") + 1).alias("n"), F.when(F.col("places") > 1, mine).alias("entropy"))
+        return _limits(judged)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def own(batches):
@@ -335,7 +456,11 @@ def rejection_limits(df: DataFrame, model: dict, text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([len(s) for s in strings], pa.int64()), pa.array(e.astype(np.float64), mask=~known)],
                                              names=["lang", "n", "entropy"])
 
-    found = stored(rows.mapInArrow(own, "lang string, n long, entropy double").filter("entropy is not null"))
+    return _limits(rows.mapInArrow(own, "lang string, n long, entropy double"))
+
+
+def _limits(judged: DataFrame) -> DataFrame:
+    found = stored(judged.filter("entropy is not null"))
     centre = found.groupBy("lang").agg(F.percentile_approx("entropy", 0.5, 1000).alias("centre"))
     gap = found.join(F.broadcast(centre), "lang").groupBy("lang", "centre").agg(
         F.percentile_approx((F.col("entropy") - F.col("centre")) * F.sqrt("n"), 0.84, 1000).alias("spread"))

@@ -485,6 +485,24 @@ def test_a_rare_language_stays_in_a_pruned_model(ready):
     assert sum(rest) == pytest.approx(1, abs=0.01)
 
 
+def test_a_model_over_its_bound_scores_by_all_its_grams(ready):
+    rng = random.Random(16)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, text(("abcdefgh", "efghij\u00e9\u4e00")[i % 2], 80), ("xx", "yy")[i % 2]) for i in range(30)]
+    df = ready.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = documents(ready, [text("abcdefghij\u00e9\u4e00", n) for n in (1, 3, 40)] + ["", "12", "q", None, text("efgh", 30)] * 2)
+    whole = by_id(language.identify(asked, language.fit(df)), "lang_pred", "score", "entropy")
+    limits = {r["lang"]: (r["centre"], r["spread"]) for r in language.rejection_limits(df, language.fit(df)).collect()}
+    for most in (2, 500):
+        model = language.fit(df, max_grams=most)
+        got = by_id(language.identify(asked, model), "lang_pred", "score", "entropy")
+        assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in whole.items()}
+        for i, w in whole.items():
+            assert got[i][1] == pytest.approx(w[1], abs=1e-3) and got[i][2] == (None if w[2] is None else pytest.approx(w[2], abs=1e-4))
+    cut = {r["lang"]: (r["centre"], r["spread"]) for r in language.rejection_limits(df, model).collect()}
+    assert cut.keys() == limits.keys() and all(cut[k] == pytest.approx(limits[k], abs=1e-3) for k in cut)
+
+
 def test_probabilities_of_a_context_sum_to_one():
     grams = [("xx", g, n) for g, n in (("abca", 3), ("abcb", 1), ("bcab", 2), ("cabc", 4), ("abcc", 1))]
     model = language.build_model(grams)
