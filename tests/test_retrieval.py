@@ -43,3 +43,18 @@ def test_scored_text_is_cut_once(spark):
     start = time.monotonic()
     assert df.select(score_text(F.col("q"), F.col("t")).alias("s")).first().s == 6000.0
     assert time.monotonic() - start < 8
+
+
+def test_pairs_are_narrow_and_any_number_of_lists_gives_the_same(spark, monkeypatch):
+    schema = "chunk_id long, source_type string, title string, stock_code string, stock_name string, report_period string, file_path string, chunk_index int, text string"
+    chunks = spark.createDataFrame([(i, "stock_research_pdf", "甲公司报告", f"00000{i % 3}", "甲乙丙"[i % 3] + "公司", "2024FY", f"r/{i}.pdf", i, "主营业务收入增长的原因是新品放量。") for i in range(12)], schema)
+    requests = spark.createDataFrame([(1, "甲公司主营业务收入上升原因", True, "000000", "甲公司", "甲公司"), (2, "主营业务收入增长", False, None, None, None)],
+                                     "request_id long, question string, prefer_causes boolean, stock_code string, stock_abbr string, company_name string")
+    got = []
+    for few in (retrieval.FEW_LISTS, 0):
+        monkeypatch.setattr(retrieval, "FEW_LISTS", few)
+        prepared = retrieval.prepare_requests(requests)
+        rows = retrieval.scored(prepared, chunks, retrieval.candidates(prepared, chunks))
+        assert not {"text", "question", "query_tokens", "title"} & set(rows.columns)
+        got.append(sorted(map(tuple, rows.collect())))
+    assert got[0] == got[1] and len({r[:2] for r in got[0]}) == len(got[0]) > 12
