@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import numbers as N
 from ..functions.periods import allowed_periods
-from ..functions.text import compact_text, contains_any, quote, split_glued_numbers
+from ..functions.text import compact_text, contains_any, let, quote, split_glued_numbers
 from ..session import checkpointed
 from .resolution import cumulative
 
 NUMBER = r"(不适用|-?[0-9,]+(?:\.[0-9]+)?%?)"
+THOUSANDS = "^-?[0-9][0-9,]*$"  # such a token is a number whatever its commas
 STEPS = 10  # candidates of one document keep this order: main rows, quarter series, statement
 
 
@@ -52,30 +53,37 @@ def snippet_after(text: Column, labels, window: int, stops=()) -> Column:
     return F.regexp_extract(cut, rf"(?sU)^(.*?)(?={any_label(stops)}|\z)", 1)
 
 
-def merge_broken(tokens: Column) -> Column:
-    """Join a thousands prefix with the decimal rest that a line break split off."""
-    def joins(a, b):
-        last = F.element_at(F.split(a, ","), -1)
-        whole = a.rlike("^-?[0-9][0-9,]*$") & N.plain_number(a).isNotNull() & N.plain_number(b).isNotNull()
-        tail = F.regexp_replace(b, "^[+-]+", "")
-        starts = tail.startswith(",") | (tail.rlike("^[0-9]") & a.contains(",") & (F.length(last) < 3))
-        return whole & ~b.endswith("%") & b.contains(".") & starts
+def _glue(tokens: Column) -> Column:
+    """``merge_broken`` for tokens some of which may be a prefix: what a pair is judged by is read off each token once."""
+    def facts(t):
+        last = F.element_at(F.split(t, ","), -1)
+        return F.struct(
+            t.alias("t"), t.rlike(THOUSANDS).alias("prefix"), (t.contains(",") & (F.length(last) < 3)).alias("short"),
+            (t.contains(".") & ~t.endswith("%") & N.plain_number(t).isNotNull()).alias("rest"),
+            t.rlike("^[+-]*,").alias("comma"), t.rlike("^[+-]*[0-9]").alias("digit"),
+        )
 
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("held"))
+    none = F.lit(None).cast("struct<t:string,prefix:boolean,short:boolean,rest:boolean,comma:boolean,digit:boolean>")
+    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("held"))
 
     def step(acc, x):
         held = acc["held"]
-        glue = held.isNotNull() & F.coalesce(joins(held, x), F.lit(False))
+        glue = F.coalesce(held["prefix"] & x["rest"] & (x["comma"] | (x["digit"] & held["short"])), F.lit(False))
         done = (
-            F.when(glue, F.concat(acc["done"], F.array(F.concat(held, x))))
-            .when(held.isNotNull(), F.concat(acc["done"], F.array(held)))
+            F.when(glue, F.concat(acc["done"], F.array(F.concat(held["t"], x["t"]))))
+            .when(held["t"].isNotNull(), F.concat(acc["done"], F.array(held["t"])))
             .otherwise(acc["done"])
         )
         return F.struct(done.alias("done"), F.when(~glue, x).alias("held"))
 
-    end = lambda acc: F.when(acc["held"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"])))
-    return F.aggregate(tokens, start, step, end)
+    end = lambda acc: F.when(acc["held"]["t"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"]["t"])))
+    return F.aggregate(F.transform(tokens, facts), start, step, end)
+
+
+def merge_broken(tokens: Column) -> Column:
+    """Join a thousands prefix with the decimal rest that a line break split off."""
+    has_prefix = lambda ts: F.coalesce(F.exists(ts, lambda t: t.rlike(THOUSANDS)), F.lit(False))
+    return let(tokens, lambda ts: F.when(has_prefix(ts), _glue(ts)).otherwise(F.array_compact(ts)))
 
 
 def number_tokens(snippet: Column, limit: int = 8) -> Column:
@@ -86,10 +94,10 @@ def number_tokens(snippet: Column, limit: int = 8) -> Column:
 def _reading(tokens: Column) -> Column:
     """Tokens with their value, and whether they can stand for a growth figure."""
     def one(t):
-        value = N.plain_number(t)
-        plain = F.regexp_replace(t, ",", "").rlike(r"^-?[0-9]+(\.[0-9]+)?$") & ~t.rlike("^20[0-9]{2}$")
-        grows = (t == fv.NOT_APPLICABLE) | t.endswith("%") | (plain & (F.abs(value) <= 1000))
-        return F.struct(value.alias("v"), F.coalesce(grows, F.lit(False)).alias("g"), t.endswith("%").alias("p"))
+        plain = F.translate(t, ",", "").rlike(r"^-?[0-9]+(\.[0-9]+)?$") & ~t.rlike("^20[0-9]{2}$")
+        grows = lambda v: (t == fv.NOT_APPLICABLE) | t.endswith("%") | ((F.abs(v) <= 1000) & plain)
+        return let(N.plain_number(t), lambda v: F.struct(
+            v.alias("v"), F.coalesce(grows(v), F.lit(False)).alias("g"), t.endswith("%").alias("p")))
 
     return F.transform(tokens, one)
 
@@ -155,10 +163,10 @@ def read_periodic(df: DataFrame, tokens: str, name: str = "row") -> DataFrame:
     return rows.withColumn(name, out).drop("_r")
 
 
-def quarter_values(tokens: Column) -> list[Column]:
-    """First four plain numbers: no percentages, no years."""
-    kept = F.filter(tokens, lambda t: ~t.endswith("%") & ~t.rlike("^20[0-9]{2}$") & N.plain_number(t).isNotNull())
-    return [N.plain_number(F.get(kept, i)) for i in range(4)]
+def quarter_values(tokens: Column) -> Column:
+    """Plain numbers in their order: no percentages, no years."""
+    kept = F.filter(tokens, lambda t: ~t.endswith("%") & ~t.rlike("^20[0-9]{2}$"))
+    return F.array_compact(F.transform(kept, N.plain_number))
 
 
 def period_pick(period: Column, row: Column, what: str) -> Column:
@@ -169,8 +177,8 @@ def period_pick(period: Column, row: Column, what: str) -> Column:
 
 def document_priority(title: Column, text: Column) -> Column:
     probe = compact_text(F.concat(F.coalesce(title, F.lit("")), F.substring(text, 1, 400)))
-    bonus = lambda words, n: F.when(contains_any(probe, words), n).otherwise(0)
-    return bonus(fv.REPORT_TITLE_WORDS, 10) + bonus(fv.SUMMARY_WORDS, -5) + bonus(fv.REVISED_WORDS, 2)
+    bonus = lambda p, words, n: F.when(contains_any(p, words), n).otherwise(0)
+    return let(probe, lambda p: bonus(p, fv.REPORT_TITLE_WORDS, 10) + bonus(p, fv.SUMMARY_WORDS, -5) + bonus(p, fv.REVISED_WORDS, 2))
 
 
 DOC = ["stock_code", "stock_abbr", "report_period", "report_date", "file_path", "doc_seq", "doc_priority"]
@@ -243,8 +251,8 @@ def profit_candidates(docs: DataFrame, anchors=fv.PROFIT_ANCHORS, labels=fv.PROF
     """Total profit from the income statement itself; only documents that have one."""
     d = docs.filter(has_label(F.col("text"), anchors))
     tokens = number_tokens(snippet_after(section_after(F.col("text"), anchors), labels, 240, stops), 6)
-    values = F.filter(F.transform(tokens, N.plain_number), lambda v: v.isNotNull())
-    d = d.withColumn("_v", values).filter(F.size("_v") > 0)
+    # no filter on the numbers, which the optimizer would read twice: a document without any gives no candidate
+    d = d.withColumn("_v", F.array_compact(F.transform(tokens, N.plain_number)))
     now, before = F.get("_v", 0), F.get("_v", 1)
     target = _targets([("money", (("income_sheet", "total_profit", "total_profit_yoy_growth"),))])
     rows = d.select(*DOC, F.get(target, 0).alias("targets"), now.alias("value"), N.growth(N.money_to_10k(now), N.money_to_10k(before)).alias("yoy"))
@@ -262,14 +270,13 @@ def quarter_series(docs: DataFrame, rules=fv.QUARTER_RULES, anchors=fv.QUARTER_A
         )
         for labels, table, field, excerpt in rules
     ]
-    rows = d.select(*DOC, F.inline(F.array(*items))).withColumn("tokens", number_tokens(F.col("snippet"), 12))
-    rows = rows.withColumn("tokens", merge_broken(F.col("tokens")))
-    for i, q in enumerate(quarter_values(F.col("tokens"))):
-        rows = rows.withColumn(f"_q{i}", q)
+    rows = d.select(*DOC, F.inline(F.array(*items))).filter(F.col("snippet") != "")
+    rows = rows.withColumn("tokens", number_tokens(F.col("snippet"), 12))
+    rows = rows.withColumn("_v", quarter_values(merge_broken(F.col("tokens"))))
     year = F.substring("report_period", 1, 4)
     points = F.array(*[
         F.struct(F.concat(year, F.lit(p)).alias("report_period"), N.money_to_10k(v).alias("value"))
-        for p, v in zip(("Q1", "HY", "Q3", "FY"), cumulative([F.col(f"_q{i}") for i in range(4)]))
+        for p, v in zip(("Q1", "HY", "Q3", "FY"), cumulative([F.get("_v", i) for i in range(4)]))
     ])
     out = rows.withColumn("year", year).withColumn("points", F.filter(points, lambda x: x["value"].isNotNull()))
     return out.select(
@@ -277,8 +284,10 @@ def quarter_series(docs: DataFrame, rules=fv.QUARTER_RULES, anchors=fv.QUARTER_A
         # 20 below the annual rows of the document, never below zero
         F.greatest(F.lit(0), F.col("doc_priority")).alias("priority"),
         (F.col("doc_seq") * STEPS + 1).alias("seq"), F.lit("reasonable").alias("mode"),
-        F.col("file_path").alias("source_file"), "source_excerpt", F.explode("points").alias("p"),
-    ).select("*", "p.report_period", "p.value").drop("p")
+        F.col("file_path").alias("source_file"), "source_excerpt",
+        # an inner explode puts a filter on ``points`` below the tokens and so reads them hundreds of times
+        F.explode_outer("points").alias("p"),
+    ).filter(F.col("p").isNotNull()).select("*", "p.report_period", "p.value").drop("p")
 
 
 def extract(docs: DataFrame) -> DataFrame:

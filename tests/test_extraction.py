@@ -71,3 +71,37 @@ def test_annual_report_fields(fields):
 def test_statement_body_outranks_key_data_and_quarters_fill_interim_rows(fields):
     assert fields["total_profit", "2024FY"].value == 90.0 and fields["total_profit", "2024FY"].priority == 50
     assert [fields["total_operating_revenue", p].value for p in ("2024Q1", "2024HY", "2024Q3")] == [100.0, 200.0, 350.0]
+
+
+def test_numbers_of_a_snippet_are_read_once(spark):
+    docs = spark.createDataFrame(
+        [], "file_path string, title string, text string, stock_code string, stock_abbr string, report_period string, report_date string, doc_seq long, doc_priority int, readable boolean")
+    docs = spark.createDataFrame(docs.rdd, docs.schema)  # rows that the optimizer cannot see to be none
+    for make in (X.quarter_series, X.profit_candidates):
+        plan = make(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1
+
+
+def test_broken_tokens_join_by_pairs(spark):
+    rows = [
+        (["1,2", "34.56", "34.56"], ["1,234.56", "34.56"]), (["12", ",345.60"], ["12,345.60"]), (["12", "-,345.60"], ["12-,345.60"]),
+        (["1,2", "34.56%"], ["1,2", "34.56%"]), (["1,234", "56.7"], ["1,234", "56.7"]), (["1,2", "1,3", "4.5"], ["1,2", "1,34.5"]),
+        (["不适用", "4.5"], ["不适用", "4.5"]), ([], []),
+    ]
+    df = spark.createDataFrame(rows, "t array<string>, want array<string>")
+    for r in df.select(X.merge_broken(F.col("t")).alias("got"), "want").collect():
+        assert r.got == r.want
+
+
+def test_reports_need_the_two_years_before_and_lines_are_read_once(spark, tmp_path):
+    from ledgerlane.plans.text_queries import report_files
+
+    lines = [(1, y, 10.0) for y in (1995, 1996, 1997, 1999)] + [(2, 1995, 1.0), (2, 1996, None), (2, 1997, 3.0), (None, 1997, 4.0)]
+    df = spark.createDataFrame(lines, "l_suppkey long, y int, l_extendedprice double").selectExpr(
+        "l_suppkey", "l_extendedprice", "make_timestamp(y, 5, 1, 0, 0, 0) AS l_shipdate")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = report_files(spark, str(tmp_path))
+    assert files._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = {r.path: r.text for r in files.collect()}
+    assert set(got) == {"reports/000001_20180331.pdf", "reports/000002_20180331.pdf"}
+    assert "营 业收入 10.00 10.00 0.00% 10.00" in got["reports/000001_20180331.pdf"] and got["reports/000002_20180331.pdf"] is None
