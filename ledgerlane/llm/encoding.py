@@ -10,27 +10,14 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 BLANKS = " \t\n\r"
 TOGETHER = 16  # new units encoded as one string: a call has its own cost
-UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+TOGETHER_CHARACTERS = 4 << 20  # of texts whose units are told apart in one pass
 OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
-class Numbered(dict):
-    """Numbers strings as they are first met; ``fresh`` lists those not yet learnt."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self.fresh.append(unit)
-        n = self[unit] = len(self)
-        return n
-
-
 def byte_lengths(library):
     """Bytes of text behind each token id of a byte-level tokenizer, whose ids cover a text byte by byte; None for others."""
     import numpy as np
@@ -48,6 +35,24 @@ def byte_lengths(library):
     return sizes
 
 
+def cut(strings: list[str]):
+    """(units of all strings in a row as an Arrow array, the number of units before each string and in all)."""
+    import numpy as np
+    import pyarrow as pa
+
+    _, offsets, data = pa.array(strings, pa.large_string()).buffers()
+    at = np.frombuffer(offsets, np.int64, len(strings) + 1)
+    blank = np.frombuffer(data, np.uint8, at[-1]) if at[-1] else np.zeros(0, np.uint8)
+    blank = (blank == 32) | (blank == 9) | (blank == 10) | (blank == 13)
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    begins[at[:-1][np.diff(at) > 0]] = True
+    begins = np.flatnonzero(begins)
+    edges = np.append(begins, at[-1]).astype(np.int64)
+    units = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(edges), data if at[-1] else pa.py_buffer(b""))
+    return units, np.searchsorted(begins, at)
+
+
 class Encoder:
     KEPT = 6_000_000  # characters of units remembered; beyond it all are forgotten
 
@@ -62,7 +67,7 @@ class Encoder:
     def forget(self):
         import numpy as np
 
-        self.known, self.held = Numbered(), 0
+        self.known, self.held = {}, 0
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def by_library(self, strings: list[str]):
@@ -76,38 +81,51 @@ class Encoder:
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
 
-    def joined(self, units: list[str]):
+    def joined(self, units: list[str], sizes=None):
         """As ``each``, for units that begin with a blank and end visibly: encoded some at a time, since words end
-        between them, and told apart by the bytes that their ids cover."""
+        between them, and told apart by the bytes that their ids cover; ``sizes`` are the units' bytes, where known."""
         import numpy as np
 
         if self.sizes is None or not units:
             return self.each(units)
         ids, _ = self.each(["".join(units[a:a + TOGETHER]) for a in range(0, len(units), TOGETHER)])
         covered = np.cumsum(self.sizes[ids])
-        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)) if sizes is None else sizes)
         last = np.minimum(np.searchsorted(covered, ends), len(ids) - 1)
         if covered[-1] != ends[-1] or (covered[last] != ends).any():
             return self.each(units)
         return ids, np.diff(last, prepend=-1)
 
-    def learn(self):
-        """Encodes the units met since the last call."""
+    def learn(self, new: list[str], sizes):
+        """Encodes and numbers units not met before, each given once, with their bytes."""
         import numpy as np
 
-        new = self.known.fresh
         if not new:
             return
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         framed = np.fromiter((u[0] in BLANKS and u[-1] not in BLANKS for u in new), bool, len(new))
         starts, lengths = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
-        for encode, which in ((self.joined, np.flatnonzero(framed)), (self.each, np.flatnonzero(~framed))):
-            ids, n = encode([new[i] for i in which.tolist()])
+        for encode, which in ((lambda units, at: self.joined(units, sizes[at]), np.flatnonzero(framed)),
+                              (lambda units, at: self.each(units), np.flatnonzero(~framed))):
+            ids, n = encode([new[i] for i in which.tolist()], which)
             starts[which], lengths[which] = len(self.ids) + np.cumsum(n) - n, n
             self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, starts])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.held += sum(map(len, new))
-        new.clear()
+
+    def numbered(self, units):
+        """The numbers of an Arrow array of units: each distinct one of them is looked up once."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        coded = units.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        number[new] = len(self.known) + np.arange(len(new))
+        self.learn([words[i] for i in new.tolist()], pc.binary_length(coded.dictionary).to_numpy()[new])
+        return number[coded.indices.to_numpy()]
 
     def encode(self, strings: list[str]):
         """(ids of all strings in a row, their edges)."""
@@ -120,32 +138,27 @@ class Encoder:
                 return
             if self.held > self.KEPT:
                 self.forget()
-            n = sum(map(len, pending))
-            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pending)), np.int64, n)
-            self.learn()
+            units, edges = cut(pending)
+            index = self.numbered(units)
             lengths = self.lengths[index]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            parts.append(self.ids[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(total)])
-            at = np.concatenate([[0], ends])[np.cumsum([0] + [len(us) for us in pending])]
-            sizes.extend(np.diff(at).tolist())
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            parts.append(self.ids[np.repeat(self.starts[index] - ends[:-1], lengths) + np.arange(ends[-1])])
+            sizes.extend(np.diff(ends[edges]).tolist())
             pending.clear()
 
         held = 0
         for s in strings:
-            units = None if OTHER_BLANKS.search(s) else UNIT.findall(s)
-            if units is None:
+            whole = OTHER_BLANKS.search(s) is not None
+            if whole or held > TOGETHER_CHARACTERS:
                 flush()
                 held = 0
+            if whole:
                 ids = np.array(self.by_library([s])[0], np.int32)
                 parts.append(ids)
                 sizes.append(len(ids))
                 continue
-            pending.append(units)
-            held += len(units)
-            if held > 300_000:
-                flush()
-                held = 0
+            pending.append(s)
+            held += len(s)
         flush()
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         return ids, np.cumsum([0] + sizes)

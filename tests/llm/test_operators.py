@@ -360,6 +360,31 @@ def test_one_id_is_read_without_the_other_pages(ready, tmp_path):
     assert hit * 4 < sum(size for _, size in groups)  # the id's row group against all
 
 
+def test_encoder_looks_each_distinct_unit_up_once_a_call(library):
+    class Known(dict):
+        looked = 0
+
+        def get(self, *a):
+            self.looked += 1
+            return super().get(*a)
+
+    encoder = encoding.Encoder(common.default_tokenizer())
+    encoder.known = Known()
+    text = "one two" + " one two" * 500
+    ids, edges = encoder.encode([text, "", text])
+    want = library.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and edges.tolist() == [0, len(want), len(want), 2 * len(want)]
+    assert encoder.known.looked == len(encoder.known) == 3
+
+
+def test_texts_are_cut_between_visible_and_blank():
+    texts = ["", " a  b", "c\n", " ", "\t é\r\nd", ""]
+    units, edges = encoding.cut(texts)
+    assert units.to_pylist() == [" a", "  b", "c", "\n", " ", "\t é", "\r\nd"] and edges.tolist() == [0, 0, 2, 4, 5, 7, 7]
+    units, edges = encoding.cut(["", ""])
+    assert units.to_pylist() == [] and edges.tolist() == [0, 0, 0]
+
+
 def test_encoder_equals_the_library(library):
     texts = [t or "" for t in odd_texts()]
     encoder = encoding.Encoder(common.default_tokenizer())
