@@ -285,7 +285,7 @@ def quarter_series(docs: DataFrame, rules=fv.QUARTER_RULES, anchors=fv.QUARTER_A
         F.greatest(F.lit(0), F.col("doc_priority")).alias("priority"),
         (F.col("doc_seq") * STEPS + 1).alias("seq"), F.lit("reasonable").alias("mode"),
         F.col("file_path").alias("source_file"), "source_excerpt",
-        # an inner explode puts a filter on ``points`` below the tokens and so reads them hundreds of times
+        # an inner explode puts a filter on ``points`` below the tokens, with a copy of their reading for each use
         F.explode_outer("points").alias("p"),
     ).filter(F.col("p").isNotNull()).select("*", "p.report_period", "p.value").drop("p")
 
