@@ -404,6 +404,56 @@ def test_joined_units_are_told_apart(library):
     assert encoder.joined(units)[0].tolist() == ids.tolist()
 
 
+def same_ids(encoder, library, texts):
+    ids, edges = encoder.encode(texts)
+    return [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_one_unit_whatever_mark_follows(library):
+    encoder = encoding.Encoder(common.default_tokenizer())
+    assert same_ids(encoder, library, ["an end, an end. an end!! an end", "an end"])
+    assert set(encoder.known) == {"an", " end", " an", ",", ".", "!!"}
+
+
+def test_units_met_again_are_not_encoded_again(library):
+    encoder = encoding.Encoder(common.default_tokenizer())
+    encoder.KEPT, encoded, by_library = 60, [], encoder.by_library
+    encoder.by_library = lambda strings: encoded.extend(strings) or by_library(strings)
+    for new in ([""], [" one two three"], [" four five six seven eight nine ten eleven"], [" twelve thirteen"], [" one"]):
+        assert same_ids(encoder, library, ["first common", *new, "first common"])
+    assert encoded.count("first") == 1 and "".join(encoded).count(" common") == 1
+    assert "".join(encoded).count(" one") == 2  # met once before room was made
+    encoder.again[:] = True
+    encoder.KEPT = 1  # units met again that leave no room are forgotten too
+    assert same_ids(encoder, library, ["first common"]) and encoder.held == len("first common")
+
+
+def test_cut_before_marks_equals_the_library(library, tmp_path):
+    rng = np.random.default_rng(5)
+    parts = ["a", "Zs", "1", "t", "ve", "é", "日", "\u0301", "“", "😀", "²", "ª", "\u200b", " ", "  ", "\n", "\t", *"!\"'()*+,-./:;<=>?@[]^_`{|}~#$%&\\", "<|endoftext|>", "'s", "'re", "don't", "x.y"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(4000)]
+    assert same_ids(encoding.Encoder(common.default_tokenizer()), library, texts)
+    library = type(library).from_str(library.to_str())  # a copy: the other tests share it
+    library.add_tokens(["x.y", "1-a"])  # held together
+    library.save(str(tmp_path / "added.json"))
+    encoder = encoding.Encoder(str(tmp_path / "added.json"))
+    assert not encoder.marks[[ord(m) for m in ".-|"]].any() and encoder.marks[ord(",")]
+    assert same_ids(encoder, library, texts)
+
+
+def test_no_cut_before_marks_where_words_may_span_it(library, tmp_path):
+    from tokenizers import AddedToken, pre_tokenizers
+
+    library = type(library).from_str(library.to_str())  # a copy: the other tests share it
+    library.add_tokens([AddedToken("Zs", single_word=True)])
+    library.save(str(tmp_path / "single.json"))
+    assert encoding.Encoder(str(tmp_path / "single.json")).marks is None
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    assert encoding.ending_marks(library) is None
+    library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    assert encoding.ending_marks(library) is None
+
+
 # 6
 
 
