@@ -212,3 +212,22 @@ def test_answer_joins_do_not_trust_guessed_sizes(spark):
     plan = answers.export_rows(answers.assemble(out), asked)._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert not [j for j in joins if "BroadcastHashJoin [company" in j or "BroadcastHashJoin [row_key" in j]
+
+
+def test_threshold_answers_of_the_queries_list_every_company(spark, monkeypatch):
+    """99 of the 100 suppliers of sf0.01 meet the bound: the answers and their SQL list them all, not the first 50."""
+    import duckdb
+
+    from ledgerlane.plans import question_queries as Q
+
+    asked = {}
+    monkeypatch.setattr(answers, "explode_steps", lambda *a, **k: None)
+    monkeypatch.setattr(answers, "plan_answers", lambda *a, **k: None)
+    monkeypatch.setattr(answers, "answer_all", lambda *a, **k: asked.update(k))
+    Q._answers(spark, "/root/testdata/sf0.001")
+    assert asked.get("listed") is None
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    told = con.execute(f"SELECT content FROM ({Q.ANSWERS} SELECT * FROM ans) WHERE question_id = 'c1'").fetchone()[0]
+    assert "共99家" in told and told.count("；") == 98 and "；99. " in told
