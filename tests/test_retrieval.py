@@ -58,3 +58,62 @@ def test_pairs_are_narrow_and_any_number_of_lists_gives_the_same(spark, monkeypa
         assert not {"text", "question", "query_tokens", "title"} & set(rows.columns)
         got.append(sorted(map(tuple, rows.collect())))
     assert got[0] == got[1] and len({r[:2] for r in got[0]}) == len(got[0]) > 12
+
+
+def _case(spark):
+    schema = "chunk_id long, source_type string, title string, stock_code string, stock_name string, report_period string, file_path string, chunk_index int, text string"
+    kinds = ("stock_research_pdf", "industry_research_pdf", "financial_report_pdf", "company_profile")
+    words = ("利润", "收入", "增长", "新品", "渠道")
+    chunks = spark.createDataFrame([
+        (i * 7 % 101, kinds[i % 4], f"报告{i % 3}", f"00000{i % 5}" if i % 11 else None, f"公司{i % 6}", f"{2020 + i % 3}FY" if i % 13 else None, f"r/{i}.pdf", i % 9,
+         "。".join(w * (1 + i % 2) for j, w in enumerate(words) if (i >> j) % 2 or i % 7 == j)) for i in range(101)], schema)
+    requests = spark.createDataFrame([
+        (1, "利润增长的原因", True, "000001", "公司1", "公司2"), (2, "收入", False, None, None, None), (3, "2021年渠道和新品 渠道 渠道 渠道 渠道 渠道", False, None, None, None),
+        (4, "利润", False, "000003", "公司4", "公司4"), (5, "zzz", False, None, None, None)],
+        "request_id long, question string, prefer_causes boolean, stock_code string, stock_abbr string, company_name string")
+    return chunks, requests
+
+
+def test_limited_candidates_are_the_first_of_all(spark, monkeypatch):
+    """Read in blocks that grow and cut where a list has its number: the first of what no limit finds, in the candidate order."""
+    from pyspark.sql import functions as F
+
+    chunks, requests = _case(spark)
+    every = retrieval.candidates(retrieval.prepare_requests(requests), chunks).collect()
+    limits = (7, 5, 6)
+    number = {1: 7, 2: 6, 3: 6, 4: 7, 5: 6}
+    want = sorted((r.request_id, r.chunk_id, r.candidate_rank) for r in every if r.candidate_rank <= number[r.request_id])
+    monkeypatch.setattr(retrieval, "GROWTH", 2)
+    for first, few in ((3, retrieval.BLOCK_LISTS), (4096, 20)):
+        monkeypatch.setattr(retrieval, "FIRST_BLOCK", first)
+        monkeypatch.setattr(retrieval, "BLOCK_LISTS", few)
+        prepared, placed = retrieval.prepare_requests(requests, limits=limits), retrieval.in_order(chunks)
+        got = retrieval.candidates(prepared, placed, limits).join(placed.select("pos", "chunk_id"), "pos")
+        assert sorted((r.request_id, r.chunk_id, r.candidate_rank) for r in got.collect()) == want
+    assert len(every) > len(want) > 20 and placed.agg(F.max("pos")).first()[0] == 101
+
+
+def test_scores_are_those_of_the_texts(spark, monkeypatch):
+    """Shared tokens by hashes in levels, requests sent in parts: the same as counting the question's tokens one by one; no question is shuffled."""
+    from pyspark.sql import functions as F
+
+    from ledgerlane.functions import text as T
+
+    chunks, requests = _case(spark)
+    prepared = retrieval.prepare_requests(requests, limits=(50, 50, 50))
+    placed = retrieval.in_order(chunks)
+    picked = retrieval.candidates(prepared, placed, (50, 50, 50))
+    got = []
+    for many in (50_000, 2):
+        monkeypatch.setattr(retrieval, "MANY_REQUESTS", many)
+        rows = retrieval.scored(prepared, placed, picked)
+        got.append(sorted(map(tuple, rows.collect())))
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {1, 2, 3, 4}
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "asked" not in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x) and "BroadcastHashJoin [request_id" in plan
+    whole = T.normalize_text(F.concat_ws(" ", "title", "text"))
+    plain = prepared.filter("request_id = 3").select("query_tokens", "asked", "terms").crossJoin(placed.select("chunk_id", whole.alias("t")))
+    plain = {r.chunk_id: r for r in plain.select("chunk_id", T.score_text(F.col("asked"), F.col("t"), F.col("query_tokens")).alias("s"),
+                                                 F.size(F.filter("terms", lambda w: F.contains("t", w))).alias("h")).collect()}
+    third = [r for r in got[0] if r[0] == 3]
+    assert third and all(round(r[2] - plain[r[1]].s - min(plain[r[1]].h, 4) * 1.2, 9) == 0 for r in third)
