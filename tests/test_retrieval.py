@@ -117,3 +117,18 @@ def test_scores_are_those_of_the_texts(spark, monkeypatch):
                                                  F.size(F.filter("terms", lambda w: F.contains("t", w))).alias("h")).collect()}
     third = [r for r in got[0] if r[0] == 3]
     assert third and all(round(r[2] - plain[r[1]].s - min(plain[r[1]].h, 4) * 1.2, 9) == 0 for r in third)
+
+
+def test_themes_are_judged_before_companies_are_met(spark):
+    """Companies that share a chunk: its sentences are cut once, below the join with the companies; each gets its own first sentence."""
+    from ledgerlane.operators import attribution
+
+    chunks = spark.createDataFrame([
+        (1, "stock_research_pdf", "t", "000001", "甲", "2024FY", "r/2.pdf", 0, "渠道库存恢复正常水平。"), (2, "stock_research_pdf", "t", "000002", "乙", "2024FY", "r/1.pdf", 0, "渠道库存恢复相当缓慢。"),
+    ], "chunk_id long, source_type string, title string, stock_code string, stock_name string, report_period string, file_path string, chunk_index int, text string")
+    requests = spark.createDataFrame([("000001", "乙", "甲公司"), ("000003", "甲", None), ("000004", "丙", "丙公司")], "stock_code string, stock_abbr string, company_name string")
+    told = attribution.company_themes(requests, chunks)
+    assert {r.stock_code: r.theme_references[0].paper_path for r in told.collect()} == {"000001": "r/1.pdf", "000003": "r/2.pdf"}
+    plan = told._jdf.queryExecution().sparkPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(plan) if "Join [_scope" in x)
+    assert next(i for i, x in enumerate(plan) if "posexplode" in x) > join
